@@ -10,6 +10,7 @@ from vernissage import vocab
 from vernissage.catalog.registry import query
 from vernissage.operators import matching, nearby, places
 from vernissage.plans import browse, search
+from vernissage.session import materialize
 
 NOT_OVER = date(1998, 3, 5)
 
@@ -201,7 +202,7 @@ MATCHED = f"""{CANDIDATES},
 
 def requests(t):
     names = places.place_names(t["v_places"], t["v_venues"])
-    return search.check_requests(t["v_requests"], names)[0]
+    return materialize(search.check_requests(t["v_requests"], names)[0])
 
 
 @query("search", f"""with {MATCHED},
@@ -212,7 +213,7 @@ def requests(t):
     cast(last_day - date_from as bigint) as ends_in_days, distance_km, at_venue, is_free, {_FLAT}
   from ranked where position <= rows""")
 def search_many(t):
-    return _flat(search.search(requests(t), candidates(t), t["v_venues"]))
+    return _flat(search.search(requests(t), materialize(candidates(t)), t["v_venues"]))
 
 
 @query("search_totals", f"""with {MATCHED}
@@ -220,7 +221,7 @@ def search_many(t):
   from v_requests r left join matched m on m.request_id = r.request_id group by 1""")
 def search_totals(t):
     asked = requests(t)
-    counted = search.totals(search.matches(asked, candidates(t), t["v_venues"]), asked)
+    counted = search.totals(search.matches(asked, materialize(candidates(t)), t["v_venues"]), asked)
     return counted.withColumn("returned", F.col("returned").cast("long"))
 
 

@@ -232,6 +232,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._read: dict[str, DataFrame] = {}
 
     @cached_property
     def _defined(self) -> dict[str, str]:
@@ -248,6 +249,9 @@ class Tables:
         return self.spark.sql("with " + ",\n".join(parts) + "\n" + body)
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name in BASE:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return self.sql(f"select * from {name}")
+        if name not in self._read:
+            if name in BASE:
+                self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            else:
+                self._read[name] = self.sql(f"select * from {name}")
+        return self._read[name]

@@ -94,26 +94,26 @@ def overlap_pairs(requests: DataFrame, items: DataFrame, salts: int = 8) -> Data
     `_first`, `_last`, all day numbers; the other column names must not clash.
 
     Two runs overlap iff the item starts inside the request, or it started before and the request
-    starts inside it. Each half puts a day inside a run, which is an equi-join on grid blocks.
-    Requests (the small side by nature) are repeated over `salts`, so a block that holds a third of
-    all items is still spread out; when they are small enough, the join broadcasts them by size and
-    the items are not shuffled at all."""
+    starts inside it. Each half puts a day inside a run, which is an equality of grid blocks, and
+    one join answers both. Requests (the small side by nature) are repeated over `salts`, so a
+    block that holds a third of all items is still spread out; when they are small enough, the
+    join broadcasts them by size and the items are not shuffled at all."""
+
+    def tagged(half: int, blocks: Column) -> Column:
+        return F.transform(blocks, lambda b: F.struct(
+            F.lit(half).alias("half"), b["level"].alias("level"), b["block"].alias("block")))
+
     salt = F.array(*(F.lit(n) for n in range(salts)))
-    spread = requests.withColumn("_salt", F.explode(salt))
+    asked = requests.withColumn("_salt", F.explode(salt)).withColumn("_at", F.explode(F.concat(
+        tagged(0, _run_blocks(F.col("_from"), F.col("_to"))), tagged(1, _day_blocks(F.col("_from"))))))
     # The salt is a function of the row, not of the attempt: a recomputed task gives the same rows.
-    items = items.withColumn("_salt", F.pmod(F.xxhash64(*items.columns), F.lit(salts)).cast("int"))
-
-    starts_inside = (
-        spread.withColumn("_at", F.explode(_run_blocks(F.col("_from"), F.col("_to"))))
-        .join(items.withColumn("_at", F.explode(_day_blocks(F.col("_first")))), ["_at", "_salt"])
-        .filter("_first >= _from AND _first <= _to AND _last >= _from")
-    )
-    started_before = (
-        spread.withColumn("_at", F.explode(_day_blocks(F.col("_from"))))
-        .join(
-            items.withColumn("_at", F.explode(_run_blocks(F.col("_first"), F.col("_last")))),
-            ["_at", "_salt"],
-        )
-        .filter("_first < _from AND _last >= _from AND _first <= _to")
+    held = items.withColumn(
+        "_salt", F.pmod(F.xxhash64(*items.columns), F.lit(salts)).cast("int")
+    ).withColumn("_at", F.explode(F.concat(
+        tagged(0, _day_blocks(F.col("_first"))), tagged(1, _run_blocks(F.col("_first"), F.col("_last"))))))
+    inside = (F.col("_at.half") == 0) == (F.col("_first") >= F.col("_from"))
+    return (
+        asked.join(held, ["_at", "_salt"])
+        .filter(inside & (F.col("_first") <= F.col("_to")) & (F.col("_last") >= F.col("_from")))
+        .drop("_at", "_salt")
     )
-    return starts_inside.unionByName(started_before).drop("_at", "_salt")

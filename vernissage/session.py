@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,14 +34,27 @@ def local_session(name: str = "vernissage", cpus: int | None = None, **conf: str
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and read it back, so that an iterative job
-    survives the loss of an executor without replaying every round.
-
-    The folder is the one the session names in `spark.checkpoint.dir`; a private one is set only
-    where none is (tests)."""
-    context = df.sparkSession.sparkContext
+def _work_folder(spark: SparkSession) -> str:
+    """The shared folder the session names in `spark.checkpoint.dir`; a private one only where none
+    is set (tests)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the reliable checkpoint folder and read it back, so that an iterative job
+    survives the loss of an executor without replaying every round."""
+    _work_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """`df` as a columnar table in the checkpoint folder: computed once, then read by every branch
+    of a plan with only the columns each needs."""
+    spark = df.sparkSession
+    path = f"{_work_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
