@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("read",)
+MODULES = ("read", "sync", "crawl", "items")
 
 
 def load() -> None:

@@ -194,6 +194,60 @@ def views(d: Dialect) -> dict[str, str]:
               case when s_suppkey % 5 = 0 then {d.strings("'exhibition'", "'talk'")} end as kinds,
               s_suppkey % 7 = 0 as free_only, 40 as rows
             from supplier""",
+        "v_terms": f"""
+            select p_partkey as id, case when p_partkey % 4 = 0 then p_name || ' &amp; ' || p_brand else p_name || ' ' || p_brand end as name,
+              case p_partkey % 3 when 0 then 'p' || (p_partkey % 150) || 'x' when 1 then 'P' || (p_partkey % 150) || 'x-2'
+                else 'q' || p_partkey end as slug, 'Street ' || p_size as address, 'City ' || (p_partkey % 7) as city,
+              {d.no_text} as province, {d.no_text} as postcode,
+              case when p_partkey % 6 <> 0 then cast(41 as double) + (p_partkey % 100) / cast(100 as double) end as lat,
+              case when p_partkey % 6 <> 0 then cast(2 as double) + (p_partkey % 90) / cast(100 as double) end as lon, p_partkey as ord
+            from part""",
+        "v_profiles": f"""
+            select s_suppkey as id, case s_suppkey % 4 when 0 then p_brand when 1 then p_name || ' ' || p_brand when 2 then p_name
+                else 'zz' || s_suppkey end as name,
+              'p' || (case when s_suppkey % 10 = 0 then s_suppkey + 1 else s_suppkey end) || 'x' as slug,
+              case s_suppkey % 7 when 0 then 'https://www.site' || s_suppkey || '.example/' when 1 then 'http://u:p@Site' || s_suppkey || '.example:80/a'
+                when 2 then 'https://INSTAGRAM.com/x' || s_suppkey when 3 then 'https://m.instagr.am/x' when 4 then '  '
+                when 5 then 'ftp://site.example' end as url, s_suppkey as ord
+            from supplier join part on p_partkey = s_suppkey""",
+        "v_now_venues": """
+            select id, id as source_venue_id, name, slug, address, city, province, postcode, lat, lon,
+              case when id % 5 = 0 then id % 50 end as source_profile_id,
+              case when id % 5 = 0 then 'https://was.example/' || id end as website_url, """ + d.no_text + """ as instagram_url,
+              id % 5 = 0 as crawl_enabled, false as is_pilot, """ + d.ts("2001-01-01 00:00:00") + """ as updated_at
+            from v_terms where id % 8 <> 1 union all
+            select id + 1000000, id + 1000000, name, slug, address, city, province, postcode, lat, lon,
+              case when id % 2 = 0 then id % 50 end, """ + d.no_text + ", " + d.no_text + """, false, id % 4 = 0, """ + d.ts("2001-01-01 00:00:00") + """
+            from v_terms where id % 16 = 0""",
+        "v_stored_shows": """
+            select e.* from v_exhibitions e join (
+              select max(id) as top from v_exhibitions where id % 2 = 0 group by venue_id, title_key) k on k.top = e.id""",
+        "v_stored_events": """
+            select e.* from v_art_events e join (
+              select max(id) as top from v_art_events where id % 2 = 0 group by venue_id, title_key, start_date) k on k.top = e.id""",
+        "v_crawled": f"""
+            select page_id as id, page_id % (select count(*) from supplier) as venue_id, url,
+              case when page_id % 2 = 0 then 'listing' else 'detail' end as kind,
+              case when page_id % 11 = 0 then 'error' when page_id % 13 = 0 then 'unavailable' when page_id % 17 = 0 then 'thin' else 'ok' end as status,
+              case when page_id % 22 = 0 then 404 when page_id % 11 = 0 then 500 else 200 end as http_status,
+              case when page_id % 3 = 0 then html else html || ' more' end as raw_text,
+              {d.links("url")} as links,
+              case when page_id % 5 = 0 then 'http://site' || (page_id % (select count(*) from supplier) % 30) || '.example' else url end as final_url
+            from pages where page_id % 6 <> 5""",
+        "v_overrides": """
+            select s_suppkey as venue_id, 'https://www.site' || (s_suppkey % 30) || '.example/pin/' as url, 'pin' as action, s_suppkey as ord
+            from supplier where s_suppkey % 10 = 1 union all
+            select page_id % (select count(*) from supplier), url, 'reject', page_id from pages where page_id % 4 = 0""",
+        "v_show_rows": f"""
+            select o_orderkey, venue_id, case when o_orderkey % 5 = 0 then p_name || '.' when o_orderkey % 7 = 0 then upper(p_name) else p_name end as title,
+              case when o_orderkey % 4 <> 0 then p_brand end as brand,
+              case when o_orderkey % 11 <> 0 then cast(o_orderdate as date) end as start_date,
+              case when o_orderkey % 7 <> 0 then {d.add_days("cast(o_orderdate as date)", "o_custkey % 60")} end as end_date,
+              o_orderkey % 10 <> 0 as at_venue,
+              case when o_orderkey % 3 = 0 then 'https://www.site' || (venue_id % 30) || '.example/show/' || o_orderkey end as detail_url,
+              case when o_orderkey % 3 = 1 then substr(p_name || ' shown with ' || p_brand || ' and more', 1, cast(8 + o_orderkey % 25 as int)) end as summary_en,
+              {d.idiv("o_orderkey", "20")} as page_ord, o_orderkey % 20 as item_ord
+            from v_keyed join part on part_key = p_partkey""",
     }
 
 

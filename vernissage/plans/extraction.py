@@ -118,12 +118,18 @@ def verdict_problems(verdicts: DataFrame, summaries: DataFrame) -> DataFrame:
     page_id, number, verdict, claims; `summaries` page_id, number, text."""
     numbered = verdicts.join(
         summaries.withColumnRenamed("text", "_text"), ["page_id", "number"], "left")
+    foreign = (
+        numbered.select("page_id", "number", "_text", F.explode("claims").alias("claim"))
+        .filter(~F.coalesce(is_passage(F.col("claim"), F.col("_text")), F.lit(False)))
+        .select("page_id", "number", F.lit(True).alias("_foreign")).distinct()
+    )
+    numbered = numbered.join(foreign, ["page_id", "number"], "left")
     none = F.size("claims") == 0
     reason = (
         F.when(F.col("_text").isNull(), "number out of range")
         .when((F.col("verdict") == "unsupported") & none, "unsupported without claims")
         .when((F.col("verdict") == "supported") & ~none, "supported with claims")
-        .when(F.exists("claims", lambda c: ~is_passage(c, F.col("_text"))), "claim is not a passage")
+        .when(F.col("_foreign"), "claim is not a passage")
     )
     wrong = numbered.select("page_id", "number", reason.alias("reason")).filter("reason IS NOT NULL")
     twice = verdicts.groupBy("page_id", "number").agg(F.count("*").alias("n")).filter("n > 1").select(

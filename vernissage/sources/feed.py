@@ -122,8 +122,12 @@ def rejects(payloads: DataFrame, required: tuple[str, ...] = ("id",)) -> DataFra
 # --- prose ---------------------------------------------------------------------------------------
 
 
+# Plain values, so that the functions below carry them to the workers.
+_KEYS, _PREFIX, _LONGEST = vocab.PROSE_KEYS, vocab.PROSE_PREFIX, vocab.MAX_PAYLOAD_STRING
+
+
 def _is_prose(key: str) -> bool:
-    return key in vocab.PROSE_KEYS or key.startswith(vocab.PROSE_PREFIX)
+    return key in _KEYS or key.startswith(_PREFIX)
 
 
 def _without_prose(value):
@@ -138,7 +142,7 @@ def _audit(value, found: set[str]) -> set[str]:
     for key, item in inside:
         if isinstance(key, str) and _is_prose(key):
             found.add(key)
-        if isinstance(item, str) and len(item) > vocab.MAX_PAYLOAD_STRING:
+        if isinstance(item, str) and len(item) > _LONGEST:
             found.add(f"long:{key}")
         if isinstance(item, (dict, list)):
             _audit(item, found)

@@ -21,6 +21,8 @@ from vernissage.functions.urls import host, netloc, path, scheme, site_key, url_
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Plain values, so that the functions below carry them to the workers.
+_LINK_TEXT_CHARS = vocab.LINK_TEXT_CHARS
 _INVISIBLE = ("script", "style", "noscript", "template", "svg")
 _HEAD_ONLY = ("head", "title", "meta", "link", "base", "script", "style", "html", "noscript")
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -122,7 +124,7 @@ def _anchors(markup: str, page_url: str) -> list[dict]:
         if url:
             words = ("".join(a["text"]), a["label"], a["title"], a["alt"])
             text = next((" ".join(w.split()) for w in words if w.strip()), "")
-            links.append({"url": url, "text": text[:vocab.LINK_TEXT_CHARS], "region": a["region"]})
+            links.append({"url": url, "text": text[:_LINK_TEXT_CHARS], "region": a["region"]})
     return links
 
 
