@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("read", "sync", "crawl", "items")
+MODULES = ("read", "sync", "crawl", "items", "costs", "log", "scores", "talk", "rules")
 
 
 def load() -> None:

@@ -75,6 +75,7 @@ def views(d: Dialect) -> dict[str, str]:
     event_kind = _pick("o_orderkey", *_quoted(*vocab.EVENT_KINDS))
     category = _pick("o_orderkey", *map(str, [*vocab.CATEGORIES, 999]))
     media = lambda key: d.strings(_pick(key, *_quoted(*vocab.MEDIA)))
+    end, first = ('"end"', 1) if d.duck else ("`end`", 0)
     no_price = "cast(null as decimal(8,2))"
     extracted = f"""
         venue_id, title, lower(title) as title_key, {d.strings("brand")} as artists,
@@ -225,6 +226,27 @@ def views(d: Dialect) -> dict[str, str]:
         "v_stored_events": """
             select e.* from v_art_events e join (
               select max(id) as top from v_art_events where id % 2 = 0 group by venue_id, title_key, start_date) k on k.top = e.id""",
+        "v_labels": f"""
+            select {d.idiv("o_orderkey", "20")} as page_id, o_orderkey % 20 as ord, o_orderkey as k,
+              case when o_orderkey % 3 = 0 then 'event' else 'exhibition' end as kind, p_name || ' ' || o_orderkey as title,
+              {d.strings("p_brand", "'Ann & Bob'")} as artists, cast(o_orderdate as date) as start,
+              case when o_orderkey % 7 <> 0 then {d.add_days("cast(o_orderdate as date)", "o_custkey % 60")} end as {end},
+              o_orderkey % 10 <> 0 as at_venue
+            from v_keyed join part on part_key = p_partkey""",
+        "v_found": f"""
+            select page_id, ord, k, case when k % 11 = 0 then 'event' else kind end as kind,
+              case when k % 7 = 0 then title || ' retitled' when k % 5 = 0 then upper(title) || '!' else title end as title,
+              case when k % 4 = 0 then {d.strings("'Nobody'")} else {d.strings("'ann &amp; bob'", f"lower(artists[{first}])")} end as artists,
+              case when k % 6 = 0 then {d.add_days("start", "1")} else start end as start, {end}, k % 8 <> 0 as at_venue
+            from v_labels where k % 9 <> 0 union all
+            select page_id + (case when k % 2 = 0 then 1000000 else 0 end), ord + 20, k, kind, 'zz ' || k, artists, start, {end}, at_venue
+            from v_labels where k % 13 = 0""",
+        "v_scored_pages": """
+            select page_id, page_id % 5 = 0 as partial, page_id % 17 = 0 as failed from v_labels group by page_id union all
+            select page_id, false, page_id % 17 = 0 from v_found where page_id >= 1000000 group by page_id""",
+        "v_listings": f"""
+            select upper(s_name) as venue, case when s_suppkey % 4 <> 0 then {d.strings("url")} else {d.strings()} end as urls
+            from supplier join pages on page_id = s_suppkey where s_suppkey % 3 <> 0""",
         "v_crawled": f"""
             select page_id as id, page_id % (select count(*) from supplier) as venue_id, url,
               case when page_id % 2 = 0 then 'listing' else 'detail' end as kind,

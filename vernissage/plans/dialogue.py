@@ -125,12 +125,17 @@ def named_items(replies: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFra
     first = outside.groupBy("reply_id", "key").agg(
         F.min("start").alias("first_start"), F.bool_and("_inside").alias("_hidden")
     ).filter("NOT _hidden").drop("_hidden")
-    under = keyed.join(items.select("conversation_id", "id", "distance_km"), ["conversation_id", "id"])
+    under = keyed.join(items.select(
+        "conversation_id", "id", "distance_km", F.col("ord").alias("item_ord")), ["conversation_id", "id"])
+    seen = F.struct("item_ord", "ord")
     shown = under.groupBy("conversation_id", "key").agg(
-        F.min_by("title", "ord").alias("title"), F.min("distance_km").alias("distance_km"))
+        F.min_by("title", seen).alias("title"), F.min("distance_km").alias("distance_km"), F.min(seen).alias("_seen"))
+    # Two titles first named at one place keep the order they were seen in.
+    order = Window.partitionBy("reply_id").orderBy("first_start", "_seen")
     named = first.join(replies.select("reply_id", "conversation_id"), "reply_id").join(
         shown, ["conversation_id", "key"]).select(
-        "reply_id", "conversation_id", "key", "title", F.col("first_start").cast("long"), "distance_km")
+        "reply_id", "conversation_id", "key", "title",
+        F.row_number().over(order).cast("long").alias("rank"), "distance_km")
     ids = named.select("reply_id", "conversation_id", "key").join(
         keyed.select("conversation_id", "key", "id").distinct(), ["conversation_id", "key"]
     ).select("reply_id", "key", "id")
@@ -140,7 +145,7 @@ def named_items(replies: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFra
 def in_distance_order(named: DataFrame) -> DataFrame:
     """(reply_id, in_order): whether the named items with a distance come nearest first; only
     replies with two or more of them have a row."""
-    line = Window.partitionBy("reply_id").orderBy("first_start", "key")
+    line = Window.partitionBy("reply_id").orderBy("rank")
     steps = named.filter("distance_km IS NOT NULL").withColumn("_before", F.lag("distance_km").over(line))
     return steps.groupBy("reply_id").agg(
         F.count("*").alias("n"), F.bool_and(F.coalesce(F.col("distance_km") >= F.col("_before"), F.lit(True))).alias("in_order")

@@ -26,7 +26,7 @@ def label_status(gold: DataFrame, stored: DataFrame) -> DataFrame:
     status = (
         F.when(~F.col("confirmed"), "unconfirmed")
         .when(F.col("p._held") & (F.col("p._hash") == F.col("content_hash")), "ready")
-        .when(F.col("p").isNull() | F.col("p._hash").isNull(), "unreadable")
+        .when(~F.coalesce("p._held", F.lit(False)), "unreadable")
         .otherwise("stale")
     )
     return gold.withColumn("key", url_key(F.col("url"))).join(held, "key", "left").select("url", status.alias("status"))
