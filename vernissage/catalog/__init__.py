@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ("read", "sync", "crawl", "items", "costs", "log", "scores", "talk", "rules")
+MODULES = (
+    "read", "sync", "crawl", "items", "costs", "log", "scores", "talk", "rules", "values", "streams",
+)
 
 
 def load() -> None:

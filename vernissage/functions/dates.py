@@ -29,6 +29,11 @@ def instant_to_utc(ts: Column) -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
 
 
+def utc_to_instant(ts: Column) -> Column:
+    """The reverse: what a watermark needs."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts).cast("timestamp")
+
+
 def parse_instant(c: Column, *, assume_utc: bool = False) -> Column:
     """An ISO 8601 text as UTC. A text without an offset is no instant, unless `assume_utc`."""
     text = F.regexp_replace(F.trim(c), r"([+-]\d{2})(\d{2})$", "$1:$2")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vernissage import vocab
@@ -13,7 +13,6 @@ from vernissage.operators.keyed import append_absent, delete_keys, last_per_key
 from vernissage.operators.ordered import running
 from vernissage.session import cut_lineage
 
-_IDLE_US = vocab.IDLE_HOURS * 3_600_000_000
 CHUNK = 200
 
 
@@ -29,11 +28,6 @@ def _hour_marks(messages: DataFrame) -> DataFrame:
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
 
 
-def _micros(c: Column) -> Column:
-    # Local days with a clock change still compare instants, which are UTC.
-    return F.unix_micros(c.cast("timestamp"))
-
-
 def _session_slots(messages: DataFrame) -> DataFrame:
     """Hour marks with `session`, numbered from 0 within each user and local day.
 
@@ -42,7 +36,8 @@ def _session_slots(messages: DataFrame) -> DataFrame:
     however many messages they hold."""
     marks = _hour_marks(messages)
     line = Window.partitionBy("user_id", "day").orderBy("first_ts")
-    idle = _micros(F.col("first_ts")) - _micros(F.lag("last_ts").over(line)) > _IDLE_US
+    # UTC on both sides, so a clock change does not count as a gap.
+    idle = F.col("first_ts") - F.lag("last_ts").over(line) > F.expr(f"INTERVAL {vocab.IDLE_HOURS} HOURS")
     opened = marks.withColumn("_new", F.coalesce(idle, F.lit(False)).cast("int"))
     return opened.withColumn("session", F.sum("_new").over(
         line.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
@@ -169,6 +164,19 @@ def apply_remember(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return facts, refused
 
 
+def remember_more(facts: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, refused) after a later batch of remember events: `apply_remember` over the whole log,
+    told only the facts it left. Written facts stand; those replaced before stay so."""
+    dead = facts.filter("superseded_by IS NOT NULL").select("user_id", F.col("seq").alias("replaces"), "superseded_by")
+    late = events.join(dead, ["user_id", "replaces"]).select(
+        "user_id", "seq", F.lit("already replaced").alias("reason"), F.col("superseded_by").alias("successor"))
+    open_events = events.join(late.select("user_id", "seq"), ["user_id", "seq"], "left_anti")
+    live = facts.filter("superseded_by IS NULL")
+    roots = live.select("user_id", "seq", "topic", "fact", F.lit(None).cast("long").alias("replaces"))
+    now, refused = apply_remember(roots.unionByName(open_events.select(*roots.columns)))
+    return now.unionByName(facts.filter("superseded_by IS NOT NULL")), refused.unionByName(late)
+
+
 def live_profile(facts: DataFrame) -> DataFrame:
     """Facts nothing has replaced, with `rank`: the topic's place in the fixed order."""
     rank = F.array_position(F.array(*map(F.lit, vocab.PROFILE_TOPICS)), F.col("topic")).cast("long")
