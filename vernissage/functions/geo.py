@@ -12,18 +12,22 @@ FLATTENING = 1 / 298.257223563
 
 def distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Metres between two points by Lambert's formula for long lines on the spheroid: the central
-    angle on reduced latitudes, corrected for the flattening. Null when any part is."""
+    angle on reduced latitudes, corrected for the flattening. Null when any part is.
+
+    No branch anywhere: generated code then evaluates each repeated part once. The tiny floor under
+    the denominators only ever divides a zero."""
     b1 = F.atan(F.lit(1 - FLATTENING) * F.tan(F.radians(lat1)))
     b2 = F.atan(F.lit(1 - FLATTENING) * F.tan(F.radians(lat2)))
-    half = F.pow(F.sin((b2 - b1) / 2), 2) + F.cos(b1) * F.cos(b2) * F.pow(
-        F.sin((F.radians(lon2) - F.radians(lon1)) / 2), 2
-    )
-    angle = 2 * F.asin(F.least(F.sqrt(half), F.lit(1.0)))
+    square = lambda c: c * c
     mid, diff = (b1 + b2) / 2, (b2 - b1) / 2
-    x = (angle - F.sin(angle)) * F.pow(F.sin(mid) * F.cos(diff), 2) / F.pow(F.cos(angle / 2), 2)
-    y = (angle + F.sin(angle)) * F.pow(F.cos(mid) * F.sin(diff), 2) / F.pow(F.sin(angle / 2), 2)
-    metres = F.lit(SEMI_MAJOR_M) * (angle - F.lit(FLATTENING / 2) * (x + y))
-    return F.when(half == 0, F.lit(0.0)).when(half > 0, metres)
+    half = square(F.sin(diff)) + F.cos(b1) * F.cos(b2) * square(
+        F.sin((F.radians(lon2) - F.radians(lon1)) / 2))  # the squared sine of half the angle
+    angle = 2 * F.asin(F.least(F.sqrt(half), F.lit(1.0)))
+    tiny = F.lit(1e-300)
+    x = (angle - F.sin(angle)) * square(F.sin(mid) * F.cos(diff)) / F.greatest(1 - half, tiny)
+    y = (angle + F.sin(angle)) * square(F.cos(mid) * F.sin(diff)) / F.greatest(half, tiny)
+    known = lat1 + lon1 + lat2 + lon2  # null when any of them is; `greatest` and `least` skip nulls
+    return F.lit(SEMI_MAJOR_M) * (angle - F.lit(FLATTENING / 2) * (x + y)) + known * 0
 
 
 def distance_km(metres: Column) -> Column:

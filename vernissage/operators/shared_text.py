@@ -9,20 +9,25 @@ from vernissage import vocab
 from vernissage.functions.text import words
 
 
-def _grams(df: DataFrame, id_column: str, n: int, prefix: str) -> DataFrame:
-    """(id, position, gram) for every run of `n` words. A gram is two independent 64/32-bit
-    hashes, so the shuffle carries 20 bytes a word instead of the words."""
+def _words(df: DataFrame, id_column: str) -> DataFrame:
+    """(id, words): each text as the hashes of its words."""
+    hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
+    return df.select(F.col(id_column).alias("_id"), hashed.alias("_words"))
+
+
+def _grams(listed: DataFrame, n: int, step: int = 1) -> DataFrame:
+    """(_id, position, h1, h2) for runs of `n` words, one every `step`. A run is two independent
+    hashes, so a shuffle carries 20 bytes a word instead of the words."""
 
     def at(i: Column) -> Column:
         run = F.slice(F.col("_words"), i, n)
         return F.struct(i.alias("position"), F.xxhash64(run).alias("h1"), F.hash(run).alias("h2"))
 
-    listed = df.select(F.col(id_column).alias(f"{prefix}_id"), words(F.col("text")).alias("_words"))
+    starts = F.sequence(F.lit(1), F.size("_words") - (n - 1), F.lit(step))
     return (
         listed.filter(F.size("_words") >= n)
-        .select(f"{prefix}_id", F.explode(F.transform(
-            F.sequence(F.lit(1), F.size("_words") - (n - 1)), at)).alias("g"))
-        .select(f"{prefix}_id", F.col("g.position").alias(f"{prefix}_position"), "g.h1", "g.h2")
+        .select("_id", F.explode(F.transform(starts, at)).alias("g"))
+        .select("_id", "g.position", "g.h1", "g.h2")
     )
 
 
@@ -38,15 +43,26 @@ def shared_runs(
     """(ours_id, source_id, run): the longest run of words each pair shares, for pairs that share
     at least `min_words`. Whole texts on both sides; case and punctuation do not count.
 
-    Runs of `min_words` words meet by equality; along one diagonal (the difference of positions)
-    consecutive meetings belong to one longer run. `pairs` limits the work to given pairs."""
-    a = _grams(ours, id_ours, min_words, "ours")
-    b = _grams(source, id_source, min_words, "source")
+    Wherever a run of `min_words` words starts, one of every few positions falls in its first part
+    and a shorter run from there lies wholly inside it: so a text none of whose sampled short runs
+    meets anything shares nothing, and is dropped early. In the texts that are left, runs of `min_words` words meet
+    by equality; along one diagonal (the difference of positions) consecutive meetings belong to one
+    longer run. `pairs` limits the work to given pairs."""
+    a, b = _words(ours, id_ours), _words(source, id_source)
+    if pairs is None:
+        step = max(min_words // 3, 1)
+        short = min_words - step + 1
+        known = _grams(b, short).select("h1", "h2").distinct()
+        held = _grams(a, short, step).join(known, ["h1", "h2"], "left_semi").select("_id").distinct()
+        a = a.join(held, "_id", "left_semi")
+    named = lambda df, side: _grams(df, min_words).withColumnsRenamed(
+        {"_id": f"{side}_id", "position": f"{side}_position"})
+    left, right = named(a, "ours"), named(b, "source")
     if pairs is not None:
-        a = a.join(pairs.select("ours_id", "source_id"), "ours_id")
-        met = a.join(b, ["source_id", "h1", "h2"])
+        left = left.join(pairs.select("ours_id", "source_id"), "ours_id")
+        met = left.join(right, ["source_id", "h1", "h2"])
     else:
-        met = a.join(b, ["h1", "h2"])
+        met = left.join(right, ["h1", "h2"])
     # Islands of consecutive positions on a diagonal. The window key is the whole diagonal, so one
     # text met by a third of the corpus is still split by partner and by offset.
     diagonal = F.col("ours_position") - F.col("source_position")

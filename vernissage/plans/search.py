@@ -175,46 +175,44 @@ def matches(requests: DataFrame, found: DataFrame, venues: DataFrame) -> DataFra
     """Every (request, item) that meets the request, with what results are ordered by.
 
     Requests with a radius meet the venues inside it first, on a grid, and then only those venues'
-    items; the others meet items by day alone."""
+    items; the others meet items by day alone. Both joins multiply rows, so the items (slim: what is
+    filtered and ordered by, nothing else) are spread evenly before."""
     ask = requests.select(
         "request_id", "date_from", "date_to", "lat", "lon", "kinds", "free_only", "rows",
         (F.col("radius_km") * 1000).alias("radius_m"),
         first_number(F.col("date_from")).alias("_from"), last_number(F.col("date_to")).alias("_to"),
     )
-    slim = found.select(
-        "id", "kind", "is_free", "first_day", "last_day", "place_venue_id",
-        first_number(F.col("first_day")).alias("_first"), last_number(F.col("last_day")).alias("_last"),
-    )
     points = venues.select(F.col("id").alias("place_venue_id"), "lat", "lon")
+    partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = (
+        found.select(
+            "id", "kind", "is_free", "first_day", "last_day", "place_venue_id",
+            first_number(F.col("first_day")).alias("_first"), last_number(F.col("last_day")).alias("_last"))
+        .join(points.withColumnsRenamed({"lat": "_vlat", "lon": "_vlon"}), "place_venue_id", "left")
+        .repartition(partitions, "id")
+    )
 
-    inside = within_radius(ask.filter("radius_m IS NOT NULL"), points).drop("radius_m")
-    at_place = overlap_pairs_on(inside, slim, ["place_venue_id"])
+    inside = within_radius(ask.filter("radius_m IS NOT NULL"), points).withColumn("_pointed", F.lit(True))
+    at_place = inside.join(slim.drop("_vlat", "_vlon"), "place_venue_id").filter(
+        "_first <= _to AND _last >= _from")
 
-    anywhere = overlap_pairs(
-        ask.filter("radius_m IS NULL").drop("radius_m"),
-        slim.join(points.withColumnsRenamed({"lat": "_plat", "lon": "_plon"}), "place_venue_id", "left"),
-    )
-    metres = F.when(F.col("lat").isNotNull(), distance_m(
-        F.col("_plat"), F.col("_plon"), F.col("lat"), F.col("lon")))
-    anywhere = anywhere.withColumn("metres", metres)
+    anywhere = overlap_pairs(ask.filter("radius_m IS NULL"), slim).withColumns({
+        "_pointed": F.col("lat").isNotNull(),
+        "metres": distance_m(F.col("_vlat"), F.col("_vlon"), F.col("lat"), F.col("lon")),
+    })
 
-    columns = ["request_id", "id", "rows", "date_from", "first_day", "last_day", "metres", "kind",
+    columns = ["request_id", "id", "rows", "date_from", "first_day", "last_day", "metres", "_pointed", "kind",
                "is_free", "kinds", "free_only"]
     wanted = F.col("kinds").isNull() | F.array_contains("kinds", F.col("kind"))
     affordable = ~F.coalesce("free_only", F.lit(False)) | F.coalesce("is_free", F.lit(True))
     return (
         at_place.select(*columns).unionByName(anywhere.select(*columns))
         .filter(wanted & affordable)
-        .select("request_id", "id", "rows", "date_from", "first_day", "last_day",
+        .select("request_id", "id", "rows", "date_from", "first_day", "last_day", F.col("_pointed").alias("pointed"),
                 distance_km(F.col("metres")).alias("distance_km"))
     )
 
 
-def overlap_pairs_on(requests: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
-    """Requests (already one row per place) and the items of the same keys with days in common."""
-    return requests.join(items, keys).filter("_first <= _to AND _last >= _from")
-
-
 def totals(matched: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, total, returned, truncated) for every request, those with no match included."""
     counted = matched.groupBy("request_id").agg(F.count("*").alias("total"))
@@ -224,24 +222,39 @@ def totals(matched: DataFrame, requests: DataFrame) -> DataFrame:
         (total > F.col("rows")).alias("truncated"))
 
 
+def _coarse() -> Column:
+    """The leading order column as a number: distance in steps of 100 m for a request with a point,
+    else the last day."""
+    # The distance stands first and outside any branch: generated code then works out each of its
+    # repeated parts once.
+    rest = F.when(F.col("pointed"), F.lit(2_000_000_000)).otherwise(last_number(F.col("last_day")))
+    return F.coalesce(F.round(F.col("distance_km") * 10).cast("int"), rest)
+
+
 def search(requests: DataFrame, found: DataFrame, venues: DataFrame) -> DataFrame:
     """The rows of each request in order: nearest first when it has a point, then the soonest to
     end, open-ended last. `total` counts what matched before the cut to `rows`."""
-    matched = matches(requests, found, venues)
+    matched = matches(requests, found, venues).withColumn("coarse", _coarse())
+    # First pass: how many rows stand at each step of the leading order column. That gives the total
+    # and the last step that can be returned, so the second pass orders few rows and no others.
+    steps = matched.groupBy("request_id", "rows", "coarse").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("request_id").orderBy("coarse").rowsBetween(Window.unboundedPreceding, 0)
+    counted = steps.withColumn("upto", F.sum("n").over(upto)).groupBy("request_id").agg(
+        F.sum("n").alias("total"),
+        F.coalesce(F.min(F.when(F.col("upto") >= F.col("rows"), F.col("coarse"))), F.max("coarse")).alias("last_step"))
     order = Window.partitionBy("request_id").orderBy(
         F.col("distance_km").asc_nulls_last(), F.col("last_day").asc_nulls_last(),
         F.col("first_day").asc_nulls_first(), "id")
-    # The literal bound lets every task drop what cannot be returned before the shuffle.
+    # Many rows can share the last step; the literal bound lets every task drop them before the shuffle.
     top = (
-        matched.withColumn("position", F.row_number().over(order))
+        matched.join(counted, "request_id").filter("coarse <= last_step")
+        .withColumn("position", F.row_number().over(order))
         .filter(F.col("position") <= vocab.MAX_SEARCH_ROWS)
         .filter(F.col("position") <= F.col("rows"))
-        .select("request_id", "position", "id", "date_from", "distance_km")
+        .select("request_id", "position", "total", "id", "date_from", "distance_km")
     )
-    counted = matched.groupBy("request_id").agg(F.count("*").alias("total"))
     return (
-        top.join(counted, "request_id")
-        .join(found, "id")
+        top.join(found, "id")
         .select(
             "request_id", F.col("position").cast("long").alias("position"), "total", "id", "kind",
             "category", "title", "venue", F.col("first_day").alias("start"),
