@@ -320,8 +320,8 @@ _NAMES = f"""
 _ASK_PLACES = """
   select s_name as asked from supplier union select s_name || ', ' || n_name from supplier, nation where s_nationkey = n_nationkey
   union select lower(n_name) from nation union select 'N ' || n_name from nation union select r_name from region
-  union select substr(s_name, 10) from supplier union select 'nation' from region union select c_name from customer
-  union select n_name || ' NATION' from nation union select p_name from part union select '##' from region"""
+  union select substr(s_name, 10) from supplier union select substr(lower(n_name), 1, 6) from nation union select c_name from customer
+  union select n_name || ' NATION' from nation union select p_name from part union select substr('##' || r_name, 1, 2) from region"""
 
 
 @query("resolve_places", f"""with {_NAMES}, asked_ as ({_ASK_PLACES}),
