@@ -82,10 +82,16 @@ def pages_without_current(t):
     return scoring.without_current(t["v_scored_pages"].select("page_id"), t["v_labels"], date(1999, 12, 5))
 
 
-@query("label_status", """
-    select p.url || '/' as url, case when p.page_id % 6 = 0 then 'unconfirmed' when s.raw_text is null then 'unreadable'
-      when p.page_id % 4 <> 1 and s.content_hash = sha256(p.html) then 'ready' else 'stale' end as status
-    from pages p left join v_pages s on s.id = p.page_id and s.id % 3 <> 2""")
+_SLASHED = key("url || '/'")
+
+
+@query("label_status", f"""
+    with s as (
+      select {_SLASHED} as k, bool_or(raw_text is not null) as held, arg_max(content_hash, (raw_text is not null, coalesce(content_hash, ''))) as hash
+      from v_pages where id % 3 <> 2 group by 1)
+    select p.url || '/' as url, case when p.page_id % 6 = 0 then 'unconfirmed' when not coalesce(s.held, false) then 'unreadable'
+      when p.page_id % 4 <> 1 and s.hash = sha256(p.html) then 'ready' else 'stale' end as status
+    from pages p left join s on s.k = {_SLASHED.replace("url", "p.url")}""")
 def label_status(t):
     k = F.col("page_id")
     gold = t["pages"].select(
