@@ -99,21 +99,24 @@ def overlap_pairs(requests: DataFrame, items: DataFrame, salts: int = 8) -> Data
     block that holds a third of all items is still spread out; when they are small enough, the
     join broadcasts them by size and the items are not shuffled at all."""
 
-    def tagged(half: int, blocks: Column) -> Column:
-        return F.transform(blocks, lambda b: F.struct(
-            F.lit(half).alias("half"), b["level"].alias("level"), b["block"].alias("block")))
+    # Half, level, salt and block in one long: the cheapest key to shuffle, hash and compare.
+    unit, shift, levels = 2**32, 10**6, len(_LEVELS) + 1
+
+    def packed(half: int, blocks: Column) -> Column:
+        code = lambda b: (half * levels + b["level"].cast("long")) * salts + F.col("_salt")
+        return F.transform(blocks, lambda b: code(b) * unit + b["block"] + shift)
 
     salt = F.array(*(F.lit(n) for n in range(salts)))
     asked = requests.withColumn("_salt", F.explode(salt)).withColumn("_at", F.explode(F.concat(
-        tagged(0, _run_blocks(F.col("_from"), F.col("_to"))), tagged(1, _day_blocks(F.col("_from"))))))
+        packed(0, _run_blocks(F.col("_from"), F.col("_to"))), packed(1, _day_blocks(F.col("_from")))))).drop("_salt")
     # The salt is a function of the row, not of the attempt: a recomputed task gives the same rows.
     held = items.withColumn(
         "_salt", F.pmod(F.xxhash64(*items.columns), F.lit(salts)).cast("int")
     ).withColumn("_at", F.explode(F.concat(
-        tagged(0, _day_blocks(F.col("_first"))), tagged(1, _run_blocks(F.col("_first"), F.col("_last"))))))
-    inside = (F.col("_at.half") == 0) == (F.col("_first") >= F.col("_from"))
+        packed(0, _day_blocks(F.col("_first"))), packed(1, _run_blocks(F.col("_first"), F.col("_last")))))).drop("_salt")
+    inside = (F.col("_at") < levels * salts * unit) == (F.col("_first") >= F.col("_from"))
     return (
-        asked.join(held, ["_at", "_salt"])
+        asked.join(held, "_at")
         .filter(inside & (F.col("_first") <= F.col("_to")) & (F.col("_last") >= F.col("_from")))
-        .drop("_at", "_salt")
+        .drop("_at")
     )

@@ -52,15 +52,36 @@ def running(
     return rows.select(*df.columns, *(joined(n, kind).alias(n) for n, (kind, _) in values.items()))
 
 
+_STEPS = 1_000
+
+
 def percentiles(df: DataFrame, group: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
     """(group, share, value): nearest-rank percentiles, the smallest value at least that share of
-    the values are at. Equal values are counted before anything is ordered."""
+    the values are at.
+
+    Equal values are counted first; then a group's range is cut into steps, the step that holds each
+    rank is found from the steps' counts, and only the values inside that step are ordered."""
     group = list(group)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
-    so_far = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    totals = counted.groupBy(*group).agg(F.sum("n").alias("total"))
-    line = counted.withColumn("upto", F.sum("n").over(so_far))
-    line = line.join(totals, group) if group else line.withColumn("total", totals.select("total").scalar())
-    wanted = line.withColumn("share", F.explode(F.array(*(F.lit(float(s)) for s in shares))))
-    rank = F.greatest(F.ceil(F.col("share") * F.col("total")), F.lit(1))
-    return wanted.filter(F.col("upto") >= rank).groupBy(*group, "share").agg(F.min(value).alias(value))
+    keyed = counted.select(F.struct(F.lit(0).alias("_"), *group).alias("_g"), value, "n")
+    span = keyed.groupBy("_g").agg(
+        F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"), F.sum("n").alias("_total"))
+    step = F.coalesce(
+        F.floor(F.try_divide(F.col(value).cast("double") - F.col("_low"), F.col("_high") - F.col("_low")) * _STEPS),
+        F.lit(0).cast("long"))
+    placed = keyed.join(span, "_g").withColumn("_step", step)
+    steps = placed.groupBy("_g", "_step", "_total").agg(F.sum("n").alias("_in"))
+    before = Window.partitionBy("_g").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.greatest(F.ceil(F.col("share") * F.col("_total")), F.lit(1))
+    chosen = (
+        steps.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+        .withColumn("share", F.explode(F.array(*(F.lit(float(s)) for s in shares))))
+        .withColumn("_rank", rank)
+        .filter((F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_in")))
+        .select("_g", "_step", "_before", "share", "_rank")
+    )
+    so_far = Window.partitionBy("_g", "share").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.select("_g", "_step", value, "n").join(chosen, ["_g", "_step"]).withColumn(
+        "_upto", F.col("_before") + F.sum("n").over(so_far))
+    found = inside.filter(F.col("_upto") >= F.col("_rank")).groupBy("_g", "share").agg(F.min(value).alias(value))
+    return found.select(*(F.col(f"_g.{g}").alias(g) for g in group), "share", value)

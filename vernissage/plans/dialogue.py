@@ -92,20 +92,24 @@ def mentions(replies: DataFrame, titles: DataFrame) -> DataFrame:
     """(reply_id, key, start, stop): where each title key stands in a reply as whole words, by token.
     Replies hold reply_id, conversation_id, text; titles conversation_id, key. A reply is cut only
     into runs as long as some title of its conversation."""
-    keys = titles.select("conversation_id", "key", F.size(tokens(F.col("key"))).alias("n")).distinct()
+    # Words travel as hashes, and a run of them as two independent ones: no text is shuffled.
+    hashed = lambda key: F.transform(tokens(key), lambda w: F.xxhash64(w))
+    keys = titles.select("conversation_id", "key").distinct().withColumn("_w", hashed(F.col("key"))).select(
+        "conversation_id", "key", F.size("_w").alias("n"), F.xxhash64("_w").alias("h1"), F.hash("_w").alias("h2"))
     lengths = keys.groupBy("conversation_id").agg(F.collect_set("n").alias("lengths"))
-    spoken = replies.select("reply_id", "conversation_id", tokens(title_key(F.col("text"))).alias("words"))
+    spoken = replies.select("reply_id", "conversation_id", hashed(title_key(F.col("text"))).alias("words"))
     by_length = spoken.join(lengths, "conversation_id").select(
         "reply_id", "conversation_id", "words", F.explode("lengths").alias("n")
     ).filter(F.size("words") >= F.col("n"))
 
     def run(i: Column) -> Column:
-        return F.struct(i.alias("start"), F.array_join(F.slice(F.col("words"), i, F.col("n")), " ").alias("key"))
+        part = F.slice(F.col("words"), i, F.col("n"))
+        return F.struct(i.alias("start"), F.xxhash64(part).alias("h1"), F.hash(part).alias("h2"))
 
     runs = by_length.select("reply_id", "conversation_id", "n", F.explode(F.transform(
         F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), run)).alias("r"))
-    return runs.select("reply_id", "conversation_id", "n", "r.start", "r.key").join(
-        keys, ["conversation_id", "key", "n"]
+    return runs.select("reply_id", "conversation_id", "n", "r.*").join(
+        keys, ["conversation_id", "n", "h1", "h2"]
     ).select("reply_id", "key", "start", (F.col("start") + F.col("n")).alias("stop"))
 
 
