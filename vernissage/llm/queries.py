@@ -7,15 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vernissage.llm.jaccard import jaccard_components
+from vernissage.llm.langid import identify
+from vernissage.llm.mixing import mixed_counts
 from vernissage.llm.store import read
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(read(spark, folder, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(read(spark, folder, "documents"), n_words=3, percent=90).select(
         "doc_id", "n_shingles", "component_id")
 
 
+def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed_counts(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_language_id": op5_language_id,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op10_source_mixing": op10_source_mixing,
 }
 ORACLE: dict[str, str] = {}
