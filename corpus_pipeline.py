@@ -5,23 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vernissage.llm.decontaminate import contaminated
 from vernissage.llm.jaccard import jaccard_components
+from vernissage.llm.langid import predict, train
+from vernissage.llm.mixing import mixed_counts
 from vernissage.llm.store import Store, read
+from vernissage.llm.suffix_dedup import removed
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents go whose language the model rejects (no text, no letter, or a score below the calibrated
+    threshold); `lang` is the prediction for those that stay. Learns from all labelled documents."""
+    model = train(docs)
+    found = predict(docs, model, keep=("text", "source")).filter("NOT rejected")
+    return found.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8) stays: the one
-    with the smallest id. A document without words is linked with nothing and stays."""
+    with the smallest id; of rows with that id, all that are in no group with a smaller one."""
     groups = jaccard_components(docs).filter("component_id = doc_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_semi").select(*COLUMNS)
 
 
+def repeated_substrings(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Byte ranges covered by a 400-byte string that also starts elsewhere are cut out of the texts.
+    A document stays even if nothing is left of it."""
+    left = removed(docs, carry=("lang", "source"))
+    return left.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents go that hold half or more of a benchmark item's words."""
+    bad = contaminated(docs, read(spark, folder, "benchmark")).select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The words of each document that the mix of sources takes."""
+    return mixed_counts(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
     ("near_duplicates", near_duplicates),
+    ("suffix_array_dedup", repeated_substrings),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
 ]
 ORACLE_SQL = None
 

@@ -96,7 +96,7 @@ def signatures(values: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray
         if h == 0:
             continue  # such sets are linked only if equal
         m = h + 1
-        salt = T.U(0x632BE59BD9B4E019) * T.U(tag + 1)
+        salt = T.U(0x632BE59BD9B4E019 * (tag + 1) & 0xFFFFFFFFFFFFFFFF)
         element = T.mix(values ^ salt)
         segment = (element % T.U(m)).astype(np.int64)
         sums = np.zeros(m, dtype=T.U)

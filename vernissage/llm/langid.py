@@ -196,8 +196,8 @@ def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, seed: int =
     return Model(languages, padded, bias.astype(float), float(temperature), threshold)
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, lang_pred, score, rejected) of every whole text."""
+def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score, rejected) of every whole text, and the columns `keep` of its row."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,12 +208,15 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 else:
                     best, score, out = model.score(part)
                 names = [UNKNOWN if b < 0 else model.languages[b] for b in best]
+                own = slice(part.at, part.at + len(part))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part.at : part.at + len(part)], pa.array(names, pa.string()),
-                     pa.array(score), pa.array(out)], names=["doc_id", "lang_pred", "score", "rejected"])
+                    [batch.column(0)[own], pa.array(names, pa.string()), pa.array(score), pa.array(out),
+                     *(c[own] for c in batch.columns[2:])],
+                    names=["doc_id", "lang_pred", "score", "rejected", *keep])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), *keep)
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return kept.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean" + kinds)
 
 
 def identify(docs: DataFrame, *, parts: int = 4, part: int = 2, **options) -> DataFrame:

@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vernissage.llm.decontaminate import contaminated
 from vernissage.llm.jaccard import jaccard_components
 from vernissage.llm.langid import identify
 from vernissage.llm.mixing import mixed_counts
 from vernissage.llm.store import read
+from vernissage.llm.suffix_dedup import removed
+
+
+def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return removed(read(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,6 +37,8 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op5_language_id": op5_language_id,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_source_mixing": op10_source_mixing,

@@ -74,9 +74,14 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data).astype(np.uint8)
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of every word; none crosses from one text into the next."""
-    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
+
+
+def word_spans(data: np.ndarray, bounds: np.ndarray, alnum: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word; none crosses from one text into the next. With `alnum`, words are
+    runs of ASCII letters and digits and of bytes beyond ASCII, so punctuation does not count."""
+    word = _ALNUM[data] if alnum else ~((data == 32) | ((data >= 9) & (data <= 13)))
     if not len(word):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     start, end = word.copy(), word.copy()
@@ -109,9 +114,9 @@ class Words:
     first: np.ndarray  # index of each text's first word; one more entry than texts
 
 
-def words(texts: Texts, lower: bool = True) -> Words:
+def words(texts: Texts, lower: bool = True, alnum: bool = False) -> Words:
     data = lower_ascii(texts.data) if lower else texts.data
-    start, end = word_spans(data, texts.bounds)
+    start, end = word_spans(data, texts.bounds, alnum)
     hashes = span_hashes(prefix_sums(data), start, end)
     return Words(start, end, hashes, np.searchsorted(start, texts.bounds))
 
