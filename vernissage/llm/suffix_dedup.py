@@ -4,9 +4,10 @@ A string of `length` bytes that starts at two places is to be found, wherever it
 holds an anchor: the least hash among its runs of `ANCHOR` bytes, chosen by content alone, so both places
 choose the same one at the same offset. Anchors that occur once are done. For the others:
 
-* equal neighbourhoods (all strings of `length` bytes around the anchor) are counted, not gathered: a
+* equal neighbourhoods (all strings whose anchor it is, together) are counted, not gathered: a
   neighbourhood that occurs twice is repeated as a whole, so exact copies never meet in one task;
-* the distinct neighbourhoods of an anchor go together into a Burrows-Wheeler transform. Breadth-first,
+* the distinct neighbourhoods of an anchor - less blocks of starts whose common part occurs once, which
+  hold no repeat - go together into a Burrows-Wheeler transform. Breadth-first,
   the interval of every string is extended backwards by one byte; an interval whose right end has no
   common-prefix value yet gets the present depth, and is extended further. Values so appear in increasing
   order, and at depth `length` the search stops: ends without a value are common prefixes of `length` or
@@ -35,49 +36,52 @@ from vernissage.llm import tokens as T
 from vernissage.llm.store import Store
 
 LENGTH = 400
-ANCHOR = 100
-HOT = 64
+ANCHOR = 128
+HOT = 500
 RANGE = 16
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 2 << 20
 
 
-def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """The least (or greatest) of every `width` neighbouring values, by running values inside blocks."""
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` neighbouring values, by running values inside blocks."""
     n = len(values)
     if n < width:
         return values[:0]
-    op, fill = (np.minimum, np.iinfo(T.U).max) if least else (np.maximum, 0)
     blocks = -(-n // width)
-    grid = np.full(blocks * width, fill, dtype=T.U)
+    grid = np.full(blocks * width, np.iinfo(T.U).max, dtype=T.U)
     grid[:n] = values
     grid = grid.reshape(blocks, width)
-    ahead = op.accumulate(grid, axis=1).ravel()
-    behind = op.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(behind[: n - width + 1], ahead[width - 1 : n])
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(texts: T.Texts, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, offset in it, anchor hash, bytes before, bytes from it on) of every anchor."""
+def anchors(texts: T.Texts, length: int, anchor: int) -> dict[str, np.ndarray]:
+    """A row for each anchor: `text`; `pos`, its offset there; `gram`, its hash; `low` and `top`, the
+    least and greatest distance before it at which strings start whose anchor it is; `around`, the hash
+    of all these strings together."""
     data, width = texts.data, length - anchor + 1
-    none = np.empty(0, np.int64)
     if len(data) < length:
-        return none, none, none.astype(T.U), none, none
+        return {k: np.empty(0, np.int64) for k in ("text", "pos", "gram", "low", "top", "around")}
     sums = T.prefix_sums(data)
     at = np.arange(len(data) - anchor + 1)
     value = T.span_hashes(sums, at, at + anchor)
-    low = _sliding(value, width, True)  # by the start of a string of `length` bytes
-    inside = np.zeros(len(low), dtype=bool)
+    # The hash and, among equal ones, the first place.
+    own = _least((value & T.U(0xFFFFFFFF00000000)) | at.astype(T.U), width)
+    place = (own & T.U(0xFFFFFFFF)).astype(np.int64)
+    inside = np.zeros(len(place), dtype=bool)
     for a, b in zip(texts.bounds[:-1], texts.bounds[1:], strict=True):
         if b - a >= length:
             inside[a : b - length + 1] = True
-    low = np.where(inside, low, T.U(0))
-    pad = np.zeros(width - 1, dtype=T.U)
-    chosen = np.flatnonzero((_sliding(np.concatenate([pad, low, pad]), width, False) == value) & (value > 0))
-    text = np.searchsorted(texts.bounds, chosen, side="right") - 1
-    before = np.minimum(chosen - texts.bounds[text], width - 1)
-    after = np.minimum(texts.bounds[text + 1] - chosen, length)
-    around = T.span_hashes(sums, chosen - before, chosen + after) ^ T.mix((before * 4096 + after).astype(T.U))
-    return text, chosen - texts.bounds[text], value[chosen], before, np.stack([after, T.longs(around)])
+    begins = np.flatnonzero(inside)  # where strings start that lie inside one text
+    place = place[begins]
+    new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (np.diff(begins) != 1)) if len(begins) else [])
+    first, last = begins[new], begins[np.append(new[1:], len(begins)) - 1] if len(new) else begins[new]
+    place = place[new]
+    text = np.searchsorted(texts.bounds, place, side="right") - 1
+    around = T.span_hashes(sums, first, last + length) ^ T.mix((place - first).astype(T.U))
+    return {"text": text, "pos": place - texts.bounds[text], "gram": T.longs(value[place]),
+            "low": place - last, "top": place - first, "around": T.longs(around)}
 
 
 def rotations(x: np.ndarray, depth: int) -> np.ndarray:
@@ -87,7 +91,7 @@ def rotations(x: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, dtype=T.U)
     for k in range(8):
         key = (key << T.U(8)) | wrapped[k : k + n]
-    known, order = 8, np.argsort(key, kind="stable")
+    known, order = 8, np.argsort(key)
     while True:
         sorted_key = key[order]
         rank = np.empty(n, dtype=T.U)
@@ -95,7 +99,7 @@ def rotations(x: np.ndarray, depth: int) -> np.ndarray:
         if known >= depth or int(rank[order[-1]]) == n - 1:
             return order
         key = rank * T.U(n) + np.roll(rank, -(known % n))
-        order, known = np.argsort(key, kind="stable"), known * 2
+        order, known = np.argsort(key), known * 2
 
 
 def common_prefix_groups(x: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +108,7 @@ def common_prefix_groups(x: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
     n = len(x)
     order = rotations(x, length)
     bwt = x[order - 1].astype(np.int64)
-    by_byte = np.argsort(bwt, kind="stable")  # place in the first column -> place in the last
+    by_byte = np.argsort(x[order - 1], kind="stable")  # place in the first column -> place in the last
     first = np.empty(n, dtype=np.int64)
     first[by_byte] = np.arange(n)
     keys = bwt[by_byte] * n + by_byte
@@ -181,26 +185,24 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHO
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch.column(2), 2 << 20):
-                text, pos, gram, before, rest = anchors(part, length, anchor)
-                pick = pa.array(text + part.at)
+                got = anchors(part, length, anchor)
+                pick = pa.array(got["text"] + part.at)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(1).take(pick), batch.column(3).take(pick), pa.array(pos.astype(np.int32)),
-                    pa.array(T.longs(gram)), pa.array(rest[1] if len(pos) else np.empty(0, np.int64)),
-                    pa.array(before.astype(np.int32)), pa.array((rest[0] if len(pos) else pos).astype(np.int32)),
-                ], names=["doc_id", "th", "pos", "gram", "around", "before", "after"])
+                    batch.column(1).take(pick), batch.column(3).take(pick), pa.array(got["pos"].astype(np.int32)),
+                    pa.array(got["gram"]), pa.array(got["around"]), pa.array(got["low"].astype(np.int16)),
+                    pa.array(got["top"].astype(np.int16)),
+                ], names=["doc_id", "th", "pos", "gram", "around", "low", "top"])
 
     found = store.put(keyed.filter(F.octet_length("text") >= length).mapInArrow(
-        find, "doc_id long, th long, pos int, gram long, around long, before int, after int"), "anchors")
+        find, "doc_id long, th long, pos int, gram long, around long, low short, top short"), "anchors")
     shared = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     met = store.put(found.join(shared, "gram", "left_semi"), "met")
     store.drop("anchors")
-    kinds = store.put(met.groupBy("gram", "around").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos", "before", "after")).alias("at")), "kinds")
+    kinds = met.groupBy("gram", "around").agg(
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos", "low", "top")).alias("at"))
+    kinds = store.put(kinds.select("gram", "around", "n", "at.*"), "kinds")
     many = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    open_ = kinds.join(many, "gram").select(
-        "gram", "around", "n", "kinds", "at.doc_id", "at.th", "at.pos", "at.before", "at.after")
-    wanted = open_.groupBy("doc_id", "th").agg(F.collect_list(
-        F.struct("gram", "around", "n", "kinds", "pos", "before", "after")).alias("want"))
+    open_ = store.put(kinds.join(many, "gram"), "open")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,85 +213,121 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHO
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
             raw = column.buffers()[2]
             at = offsets[doc] + rows.field("pos").to_numpy()
-            lo, hi = at - rows.field("before").to_numpy(), at + rows.field("after").to_numpy()
+            lo, hi = at - rows.field("top").to_numpy(), at - rows.field("low").to_numpy() + length
             view = memoryview(raw) if raw is not None else b""
             for a in range(0, len(doc), 4096):
                 own = slice(a, a + 4096)
                 pick = pa.array(doc[own])
                 part = rows[own]
                 yield pa.RecordBatch.from_arrays([
-                    part.field("gram"), part.field("around"), part.field("n"), part.field("kinds"),
-                    batch.column(0).take(pick), batch.column(1).take(pick), part.field("pos"), part.field("before"),
+                    *(part.field(c) for c in ("gram", "around", "n")), batch.column(0).take(pick), batch.column(1).take(pick),
+                    *(part.field(c) for c in ("pos", "low", "top")),
                     pa.array([bytes(view[x:y]) for x, y in zip(lo[own], hi[own], strict=True)], pa.binary()),
-                ], names=["gram", "around", "n", "kinds", "doc_id", "th", "pos", "before", "context"])
+                ], names=["gram", "around", "n", "doc_id", "th", "pos", "low", "top", "context"])
 
-    context = store.put(keyed.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "text", "want").mapInArrow(
-        cut, "gram long, around long, n long, kinds long, doc_id long, th long, pos int, before int, context binary"),
-        "context")
+    def contexts(which: str) -> DataFrame:
+        want = F.struct("gram", "around", "n", "pos", "low", "top")
+        wanted = open_.filter(which).groupBy("doc_id", "th").agg(F.collect_list(want).alias("want"))
+        return keyed.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "text", "want").mapInArrow(
+            cut, "gram long, around long, n long, doc_id long, th long, pos int, low short, top short, context binary")
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "around", "n", "doc_id", "th", "pos", "before", "context")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "around", "n", "doc_id", "th", "pos", "low", "top", "context")), strict=True):
                 # Rows come sorted by anchor: a batch ends between anchors.
                 if size >= BATCH_BYTES and row[0] != rows[-1][0]:
-                    yield from expand(rows)
+                    yield expand(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[7])
+                size += len(row[8])
         if rows:
-            yield from expand(rows)
-
-    def expand(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        gram, around, n, doc_id, th, pos, before, text = zip(*rows, strict=True)
-        longs = lambda v: np.array(v, dtype=np.int64)
-        base = T.mix(T.mix(longs([d or 0 for d in doc_id]).view(T.U)) ^ longs(th).view(T.U))
-        places = base + (longs(pos) - longs(before)).astype(T.U)
-        starts = repeated_starts([np.frombuffer(t, np.uint8) for t in text], places, longs(n) > 1, length)
-        out = [(g, a, *spans(s - b, length)) for g, a, b, s in zip(gram, around, before, starts, strict=True) if len(s)]
+            yield expand(rows)
+
+    def expand(rows: list[tuple]) -> pa.RecordBatch:
+        gram, around, n, doc_id, th, pos, low, top, text = zip(*rows, strict=True)
+        gram, n, doc_id, th, pos, low, top = (np.array(v, dtype=np.int64) for v in (gram, n, doc_id, th, pos, low, top))
+        base = T.mix(T.mix(doc_id.view(T.U)) ^ th.view(T.U)) + (pos - top).astype(T.U)
+        row, first, last = _shared_blocks(gram, n, low, top, text, length)
+        texts = [np.frombuffer(text[r], np.uint8)[a : b + length] for r, a, b in zip(row, first, last, strict=True)]
+        starts = repeated_starts(texts, base[row] + first.astype(T.U), n[row] > 1, length)
+        out = [(gram[r], around[r], *spans(s + a - top[r], length)) for r, a, s in zip(row, first, starts, strict=True) if len(s)]
         lengths = np.array([len(o[2]) for o in out])
-        yield pa.RecordBatch.from_arrays([
+        flat = lambda k: np.concatenate([o[k] for o in out]).astype(np.int32) if out else np.empty(0, np.int32)
+        return pa.RecordBatch.from_arrays([
             pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
-            T.lists(np.concatenate([o[2] for o in out]).astype(np.int32) if out else np.empty(0, np.int32), lengths),
-            T.lists(np.concatenate([o[3] for o in out]).astype(np.int32) if out else np.empty(0, np.int32), lengths),
-        ], names=["gram", "around", "lo", "hi"])
+            T.lists(flat(2), lengths), T.lists(flat(3), lengths)], names=["gram", "around", "lo", "hi"])
 
     ranges = "gram long, around long, lo array<int>, hi array<int>"
-    few = context.filter(f"kinds <= {hot}").repartition("gram").sortWithinPartitions("gram").mapInArrow(transform, ranges)
+    few = contexts(f"kinds <= {hot}").repartition("gram").sortWithinPartitions("gram").mapInArrow(transform, ranges)
+    few = store.put(few, "few")
     whole = kinds.filter("n > 1").select(
-        "gram", "around", F.array(-F.col("at.before")).alias("lo"), F.array("at.after").alias("hi"))
-    covered = whole.unionByName(few.join(whole.select("gram", "around"), ["gram", "around"], "left_anti"))
-    often = context.filter(f"kinds > {hot}")
-    if not often.isEmpty():
+        "gram", "around", F.array((-F.col("top")).cast("int")).alias("lo"), F.array((length - F.col("low")).cast("int")).alias("hi"))
+    covered = whole.unionByName(few)
+    if not many.filter(f"kinds > {hot}").isEmpty():
+        often = store.put(contexts(f"kinds > {hot}"), "often")
         covered = covered.unionByName(_counted(often, length, store))
     covered = store.put(covered, "covered")
-    store.drop("context", "kinds")
+    store.drop("few", "often", "open", "kinds", "hot-ranges")
     return met.join(covered, ["gram", "around"]).select(
         "doc_id", "th", F.transform("lo", lambda x: x + F.col("pos")).alias("lo"), F.transform("hi", lambda x: x + F.col("pos")).alias("hi"))
 
 
+def _blocks(low: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, block): the blocks of RANGE start distances, counted from the anchor, that each row touches."""
+    count = top // RANGE - low // RANGE + 1
+    row = np.repeat(np.arange(len(low)), count)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + (low // RANGE)[row]
+
+
+def _block_hashes(gram, low, top, text: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """(row, block, hash of what all strings of the block have in common, hash of their union, or 0 if the
+    block is not full). What they have in common lies inside the context even of a block that is not full."""
+    row, block = _blocks(low, top)
+    sizes = np.array([len(t) for t in text])
+    begin = (np.cumsum(sizes) - sizes)[row] + top[row]  # the anchor
+    sums = T.prefix_sums(np.frombuffer(b"".join(text), np.uint8))
+    near, far = block * RANGE, block * RANGE + RANGE - 1
+    salt = T.mix(gram.view(T.U)[row] ^ (block * 2).astype(T.U))
+    common = T.mix(T.span_hashes(sums, begin - near, begin - far + length) ^ salt)
+    full = (near >= low[row]) & (far <= top[row])
+    union = np.zeros(len(row), dtype=T.U)
+    union[full] = T.mix(T.span_hashes(sums, (begin - far)[full], (begin - near)[full] + length) ^ (salt[full] + T.U(1)))
+    return row, block, common, union
+
+
+def _shared_blocks(gram, n, low, top, text: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last): the runs of starts, as offsets in the context, that can be repeated - those of
+    blocks whose common part occurs twice. The rest need not be sorted."""
+    row, block, common, _ = _block_hashes(gram, low, top, text, length)
+    _, which = np.unique(common, return_inverse=True)
+    live = np.bincount(which, weights=n[row])[which] > 1
+    row, block = row[live], block[live]
+    new = np.append(True, (np.diff(row) != 0) | (np.diff(block) != 1))[: len(row)]
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(row)) - 1
+    own = row[head]
+    first = top[own] - np.minimum(block[tail] * RANGE + RANGE - 1, top[own]) if len(head) else head
+    last = top[own] - np.maximum(block[head] * RANGE, low[own]) if len(head) else head
+    return own, first, last
+
+
 def _counted(often: DataFrame, length: int, store: Store) -> DataFrame:
     """The same for anchors with very many neighbourhoods: strings counted by hash, none gathered."""
+    def columns(batch: pa.RecordBatch) -> tuple:
+        return (*(batch.column(c).to_numpy().astype(np.int64) for c in ("gram", "around", "n", "low", "top")),
+                batch.column("context").to_pylist())
+
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for g, a, n, before, text in zip(*(batch.column(c).to_pylist() for c in ("gram", "around", "n", "before", "context")), strict=True):
-                sums = T.prefix_sums(np.frombuffer(text, np.uint8))
-                # Bytes from a string's start to the anchor: `least` to `before`, in blocks of RANGE.
-                least = max(0, before + length - len(text))
-                block = np.arange(least // RANGE, before // RANGE + 1) * RANGE
-                low, top = np.maximum(block, least), np.minimum(block + RANGE - 1, before)
-                # What all strings of the block have in common lies inside the text even if the block,
-                # at an end of the document, is not full.
-                common = T.span_hashes(sums, before - block, before - block - (RANGE - 1) + length)
-                salt = T.mix(np.array([g], np.int64).view(T.U) ^ (block * 2).astype(T.U))
-                full = top - low == RANGE - 1
-                union = np.zeros(len(block), dtype=T.U)
-                union[full] = T.span_hashes(sums, before - top[full], before - low[full] + length)
-                k = len(block)
+        for big in batches:
+            for at in range(0, big.num_rows, 2048):
+                gram, around, n, low, top, text = columns(big.slice(at, 2048))
+                row, block, common, union = _block_hashes(gram, low, top, text, length)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(k, g), pa.int64()), pa.array(np.full(k, a), pa.int64()), pa.array(np.full(k, n), pa.int64()),
-                    pa.array(low.astype(np.int32)), pa.array(top.astype(np.int32)), pa.array(T.longs(T.mix(common ^ salt))),
-                    pa.array(T.longs(T.mix(union ^ (salt + T.U(1)))), mask=~full),
+                    pa.array(gram[row]), pa.array(around[row]), pa.array(n[row]),
+                    pa.array(np.maximum(block * RANGE, low[row]).astype(np.int32)),
+                    pa.array(np.minimum(block * RANGE + RANGE - 1, top[row]).astype(np.int32)),
+                    pa.array(T.longs(common)), pa.array(T.longs(union), mask=union == 0),
                 ], names=["gram", "around", "n", "low", "top", "common", "whole"])
 
     spread = often.repartition("gram", "around")
@@ -304,16 +342,23 @@ def _counted(often: DataFrame, length: int, store: Store) -> DataFrame:
     ask = some.join(twice("whole"), "whole", "left_anti").groupBy("gram", "around").agg(blocks)
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for g, a, n, before, text, blocks in zip(*(batch.column(c).to_pylist() for c in ("gram", "around", "n", "before", "context", "blocks")), strict=True):
-                tops = np.concatenate([np.arange(b["low"], b["top"] + 1) for b in blocks])
-                sums = T.prefix_sums(np.frombuffer(text, np.uint8))
-                one = T.span_hashes(sums, before - tops, before - tops + length)
-                salt = T.mix(np.array([g], np.int64).view(T.U) ^ (tops * 2).astype(T.U))
-                k = len(tops)
+        for big in batches:
+            for at in range(0, big.num_rows, 2048):
+                batch = big.slice(at, 2048)
+                gram, around, n, _, top, text = columns(batch)
+                asked = batch.column("blocks")
+                own = np.repeat(np.arange(batch.num_rows), asked.value_lengths().to_numpy())
+                near, far = (asked.flatten().field(c).to_numpy().astype(np.int64) for c in ("low", "top"))
+                count = far - near + 1
+                row = np.repeat(own, count)
+                away = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(near, count)
+                sizes = np.array([len(t) for t in text])
+                begin = (np.cumsum(sizes) - sizes)[row] + top[row] - away
+                sums = T.prefix_sums(np.frombuffer(b"".join(text), np.uint8))
+                key = T.mix(T.span_hashes(sums, begin, begin + length) ^ T.mix(gram.view(T.U)[row] ^ (away * 2).astype(T.U)))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(k, g), pa.int64()), pa.array(np.full(k, a), pa.int64()), pa.array(np.full(k, n), pa.int64()),
-                    pa.array(tops.astype(np.int32)), pa.array(T.longs(T.mix(one ^ salt)))], names=["gram", "around", "n", "top", "key"])
+                    pa.array(gram[row]), pa.array(around[row]), pa.array(n[row]), pa.array(away.astype(np.int32)),
+                    pa.array(T.longs(key))], names=["gram", "around", "n", "top", "key"])
 
     kind = "gram long, around long, n long, top int, key long"
     counted = often.join(give, ["gram", "around"]).mapInArrow(singles, kind).groupBy("key").agg(
