@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vernissage.llm.decontaminate import contaminated
+from vernissage.llm.extract import main_texts
 from vernissage.llm.jaccard import jaccard_components
 from vernissage.llm.langid import identify
+from vernissage.llm.lm import scores
 from vernissage.llm.mixing import mixed_counts
 from vernissage.llm.store import read
 from vernissage.llm.suffix_dedup import removed
+from vernissage.llm.topk import scaled, top_k
 
 
 def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,10 +26,23 @@ def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op4_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = scaled(read(spark, folder, "embeddings"))
+    return top_k(vectors.filter("vec_id % 20 = 0"), vectors, 20)
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(read(spark, folder, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return scores(read(spark, folder, "documents"))
+
+
+def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return main_texts(read(spark, folder, "pages"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(read(spark, folder, "documents"), n_words=3, percent=90).select(
         "doc_id", "n_shingles", "component_id")
@@ -39,8 +55,26 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_language_id": op5_language_id,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_html_extraction": op7_html_extraction,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_source_mixing": op10_source_mixing,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_exact_top_k": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+            from embeddings
+            where embedding is not null and len(embedding) > 0
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+            select q.vec_id as query_id, d.vec_id,
+                   cast(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) as bigint) as score
+            from v q join v d on q.vec_id % 20 = 0 and d.vec_id <> q.vec_id
+        ), ranked as (
+            select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+        )
+        select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank <= 20""",
+}
