@@ -268,7 +268,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHO
         often = store.put(contexts(f"kinds > {hot}"), "often")
         covered = covered.unionByName(_counted(often, length, store))
     covered = store.put(covered, "covered")
-    store.drop("few", "often", "open", "kinds", "hot-ranges")
+    store.drop("few", "often", "open", "kinds", "hot-ranges", "hot-strings")
     return met.join(covered, ["gram", "around"]).select(
         "doc_id", "th", F.transform("lo", lambda x: x + F.col("pos")).alias("lo"), F.transform("hi", lambda x: x + F.col("pos")).alias("hi"))
 
@@ -337,9 +337,10 @@ def _counted(often: DataFrame, length: int, store: Store) -> DataFrame:
     some = first.join(twice("common"), "common", "left_semi")
     done = some.join(twice("whole"), "whole", "left_semi").select(
         "gram", "around", (-F.col("top")).alias("lo"), (length - F.col("low")).alias("hi"))
-    blocks = F.collect_list(F.struct("low", "top")).alias("blocks")
-    give = some.groupBy("gram", "around").agg(blocks)
-    ask = some.join(twice("whole"), "whole", "left_anti").groupBy("gram", "around").agg(blocks)
+    blocks = F.collect_list(F.struct("low", "top", "asks")).alias("blocks")
+    # Strings of a block that is done count for the others, but need no answer of their own.
+    give = some.join(twice("whole").withColumn("done", F.lit(True)), "whole", "left").withColumn(
+        "asks", F.col("done").isNull()).groupBy("gram", "around").agg(blocks)
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -358,12 +359,13 @@ def _counted(often: DataFrame, length: int, store: Store) -> DataFrame:
                 key = T.mix(T.span_hashes(sums, begin, begin + length) ^ T.mix(gram.view(T.U)[row] ^ (away * 2).astype(T.U)))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(gram[row]), pa.array(around[row]), pa.array(n[row]), pa.array(away.astype(np.int32)),
-                    pa.array(T.longs(key))], names=["gram", "around", "n", "top", "key"])
+                    pa.array(T.longs(key)), pa.array(np.repeat(asked.flatten().field("asks").to_numpy(zero_copy_only=False), count)),
+                ], names=["gram", "around", "n", "top", "key", "asks"])
 
-    kind = "gram long, around long, n long, top int, key long"
-    counted = often.join(give, ["gram", "around"]).mapInArrow(singles, kind).groupBy("key").agg(
-        F.sum("n").alias("s")).filter("s > 1").select("key")
-    asked = often.join(ask, ["gram", "around"]).mapInArrow(singles, kind).join(counted, "key", "left_semi")
+    each = store.put(often.join(give, ["gram", "around"]).mapInArrow(
+        singles, "gram long, around long, n long, top int, key long, asks boolean"), "hot-strings")
+    counted = each.groupBy("key").agg(F.sum("n").alias("s")).filter("s > 1").select("key")
+    asked = each.filter("asks").join(counted, "key", "left_semi")
     single = asked.select("gram", "around", (-F.col("top")).alias("lo"), (length - F.col("top")).alias("hi"))
     return done.unionByName(single).groupBy("gram", "around").agg(
         F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
