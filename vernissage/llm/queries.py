@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vernissage.llm.chaining import fuzzy_passages
 from vernissage.llm.decontaminate import contaminated
 from vernissage.llm.extract import main_texts
 from vernissage.llm.jaccard import jaccard_components
@@ -48,6 +49,10 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id")
 
 
+def op9_substring_chaining(spark: SparkSession, folder: str) -> DataFrame:
+    return fuzzy_passages(read(spark, folder, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed_counts(read(spark, folder, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lm_scoring": op6_lm_scoring,
     "op7_html_extraction": op7_html_extraction,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_substring_chaining": op9_substring_chaining,
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLE: dict[str, str] = {
