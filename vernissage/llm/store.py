@@ -13,11 +13,15 @@ from vernissage.session import _work_folder
 
 
 _SHIPPED: set[str] = set()
+BATCH, DEFAULT_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once an application, so that they need no copy of it."""
+    """Send this package to the Python workers once an application, so that they need no copy of it, and
+    keep the batches they get small unless the session says otherwise."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH, None) in (None, DEFAULT_BATCH):
+        spark.conf.set(BATCH, "1000")  # rows of long texts stay within a worker's memory
     if context.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parents[1]
