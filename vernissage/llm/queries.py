@@ -11,6 +11,7 @@ from vernissage.llm.decontaminate import contaminated
 from vernissage.llm.extract import main_texts
 from vernissage.llm.jaccard import jaccard_components
 from vernissage.llm.langid import identify
+from vernissage.llm.licences import licence_notices
 from vernissage.llm.lm import scores
 from vernissage.llm.mixing import mixed_counts
 from vernissage.llm.store import read
@@ -27,6 +28,10 @@ def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op3_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licence_notices(read(spark, folder, "documents"))
+
+
 def op4_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = scaled(read(spark, folder, "embeddings"))
     return top_k(vectors.filter("vec_id % 20 = 0"), vectors, 20)
@@ -60,6 +65,7 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_licence_scan": op3_licence_scan,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_language_id": op5_language_id,
     "op6_lm_scoring": op6_lm_scoring,
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLE: dict[str, str] = {
+    "op3_licence_scan": op3_licence_scan,
     "op4_exact_top_k": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
