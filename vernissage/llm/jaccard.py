@@ -12,7 +12,7 @@ loses no pair, since of two equal segments both or neither are costly.
 
 Candidates are verified on the whole sets. Only links that can change a component are verified: equal
 sets are one class from the start; in each list of classes with an equal segment, all are compared with
-the list's hub (the class that shares most segments with others); then lists whose members still lie in
+the list's hub (the class that shares most segments with others), the hub shared most first; then lists whose members still lie in
 different components are compared across those, behind an exact bound from parity bitmaps. So a group
 of near copies costs about its size, and no link between different components is lost.
 
@@ -39,7 +39,8 @@ SIMILARITY_PERCENT = 80
 COSTLY = 64
 DESIGNATED = 0
 BAND_RATIO = 1.25
-BITMAP_WORDS = 8
+BITMAP_WORDS = 16
+PASSES = 3
 
 
 def shingle_sets(texts: T.Texts, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,6 +188,16 @@ def _bitmaps(docs: DataFrame, n_words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "cls long, n long, bits array<long>")
 
 
+def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parity bitmaps, a lower bound of what two sets differ in, do not rule them out."""
+    left = bits.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    right = bits.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    off = " + ".join(f"bit_count(ba[{i}] ^ bb[{i}])" for i in range(BITMAP_WORDS))
+    return pairs.join(left, "a").join(right, "b").filter(
+        f"least(na, nb) * 100 >= {percent} * greatest(na, nb) "
+        f"AND ({off}) * {100 + percent} <= {100 - percent} * (na + nb)").select("a", "b")
+
+
 def _verify(pairs: DataFrame, reps: DataFrame, n_words: int, percent: int, store: Store, name: str) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     pairs = store.put(pairs, f"{name}-pairs")
@@ -217,8 +228,12 @@ def jaccard_components(
     reps = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
         firsts.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi")
     rows = store.put(_signature_rows(reps, n_words, percent), "signatures")
-    shared = rows.groupBy("key").agg(F.count("*").alias("freq")).filter("freq > 1")
-    met = store.put(rows.join(shared, "key"), "met")
+    for k in range(PASSES):
+        # Both the count and the join read one exchange; a pass is in flight at a time.
+        dealt = rows.filter(F.pmod("key", F.lit(PASSES)) == k).repartition("key")
+        shared = dealt.groupBy("key").agg(F.count("*").alias("freq")).filter("freq > 1")
+        store.put(dealt.join(shared, "key"), f"met/pass={k}")
+    met = store.get("met", "cls long, key long, kind byte, freq long")
     store.drop("signatures")
     # A set leaves out its costly exact segments if it has one at most.
     heavy = met.filter(f"kind = 0 AND freq > {costly}")
@@ -227,30 +242,37 @@ def jaccard_components(
     lists = met.join(skipped, ["cls", "key"], "left_anti").select("cls", "key", "freq").distinct()
     popular = lists.groupBy("cls").agg(F.sum("freq").alias("pop"))
     lists = store.put(lists.join(popular, "cls").select("cls", "key", "pop"), "lists")
+    store.drop("met")
+    bits = store.put(_bitmaps(reps.join(lists.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi"), n_words), "bits")
     hubs = lists.groupBy("key").agg(
         F.max_by("cls", F.struct("pop", -F.col("cls"))).alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    star = lists.join(hubs, "key").filter("cls <> hub").select(
-        F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    links = _verify(star, reps, n_words, percent, store, "star")
+    star = store.put(lists.join(hubs, "key").filter("cls <> hub").groupBy(F.col("hub").alias("a"), F.col("cls").alias("b")).agg(
+        F.count("*").alias("keys")), "star")
+    # First the hub that a class shares most with, then the others that could still join components.
+    best = star.groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b")
+    verify = lambda pairs, name: _verify(_possible(pairs, bits, percent), reps, n_words, percent, store, name)
+    links = verify(best, "best")
     labels = components(links, store, "first")
+
+    def told(df: DataFrame, column: str) -> DataFrame:
+        own = labels.select(F.col("node").alias(column), F.col("component").alias(f"c_{column}"))
+        return df.join(own, column, "left").withColumn(f"c_{column}", F.coalesce(f"c_{column}", column))
+
+    others = told(told(star.select("a", "b"), "a"), "b").filter("c_a <> c_b").select("a", "b")
+    done = store.put(others.join(best, ["a", "b"], "left_anti"), "others")
+    links = store.put(links.union(verify(done, "more")), "links")
+    labels = components(links, store, "second")
     # What is left: lists whose members lie in different components.
-    marked = lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "key", "cls", F.coalesce("component", "cls").alias("comp"))
-    open_keys = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    marked = told(lists.select("key", F.col("cls").alias("a")), "a")
+    open_keys = marked.groupBy("key").agg(F.min("c_a").alias("lo"), F.max("c_a").alias("hi")).filter("lo < hi")
     left = store.put(marked.join(open_keys.select("key"), "key", "left_semi"), "open")
-    members = left.select(F.col("cls").alias("doc_id")).distinct()
-    bits = store.put(_bitmaps(reps.join(members, "doc_id", "left_semi"), n_words), "bits")
-    told = left.join(bits, "cls")
-    one_side = told.select("key", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    other = told.select("key", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    off = " + ".join(f"bit_count(ba[{i}] ^ bb[{i}])" for i in range(BITMAP_WORDS))
-    across = one_side.join(other, "key").filter(
-        f"a < b AND ca <> cb AND least(na, nb) * 100 >= {percent} * greatest(na, nb) "
-        f"AND ({off}) * {100 + percent} <= {100 - percent} * (na + nb)").select("a", "b").distinct()
-    across = store.put(across, "across").join(star, ["a", "b"], "left_anti").join(
-        star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = _verify(across, reps, n_words, percent, store, "more")
-    labels = components(links.union(more), store, "last")
+    across = left.join(left.select("key", F.col("a").alias("b"), F.col("c_a").alias("c_b")), "key").filter(
+        "a < b AND c_a <> c_b").select("a", "b").distinct()
+    for tried in (best, done):
+        across = across.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(
+            tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    labels = components(links.union(verify(across, "rest")), store, "last")
+    store.drop("lists", "bits", "star", "open", "others")
     named = firsts.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
         "h1", "h2", "cls", F.coalesce("component", "cls").alias("component"))
     return sets.join(named.withColumn("n_shingles", F.lit(None)).drop("n_shingles"), ["h1", "h2"], "left").select(

@@ -47,11 +47,16 @@ class Store:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def get(self, name: str, schema: str) -> DataFrame:
+        """The tables put below `name` as one."""
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/{name}")
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of plans that are gone
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
