@@ -9,6 +9,7 @@ from vernissage.catalog.views import Tables
 from vernissage.plans import extraction, search, sync
 from vernissage.plans.quality import violations
 from vernissage.sources import labels, snapshots
+from vernissage.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 FIRST, SECOND = datetime(2002, 1, 1), datetime(2002, 1, 2)
@@ -111,3 +112,60 @@ def test_search_reads_only_what_it_orders_by(spark, t):
     plan = search.matches(requests(t), found, t["v_venues"])._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan" in line and "place_venue_id" in line]
     assert scans and all("title" not in line and "artists" not in line for line in scans)
+
+
+def test_empty_plan_is_refused(spark):
+    from vernissage.catalog.sync import planned
+
+    t = Tables(spark, SF)
+    with pytest.raises(sync.RefusedMerge):
+        sync.merge_venues(t["v_now_venues"], planned(t).limit(0), FIRST)
+
+
+def test_streamed_merges_do_not_depend_on_batches(spark):
+    """One batch, two, reversed and repeated: a post is stamped with its own fetches, and an older
+    fetch never beats a newer one."""
+    columns = ("source_event_id string, source_venue_id string, title string, title_en string, source_category_id int, is_free boolean, "
+               "price_min decimal(8,2), price_max decimal(8,2), is_online boolean, source_url string, web_url_ca string, web_url_es string, "
+               "web_url_en string, source_modified_at timestamp_ntz, ord long, fetched_at timestamp_ntz")
+    row = lambda post, day: (post, None, f"{post} {day}", *[None] * 11, 1, datetime(2024, 1, day))
+    one, two = [row("a", 1), row("b", 1)], [row("a", 2), row("c", 2)]
+    venues = spark.createDataFrame([], "id long, source_venue_id string")
+    empty = spark.createDataFrame([], "id long, source_event_id string, venue_id long, " + columns.split(", ", 2)[2].replace(
+        ", ord long, fetched_at timestamp_ntz", "") + ", first_seen_at timestamp_ntz, last_seen_at timestamp_ntz")
+    results = []
+    for batches in ([one + two], [one, two], [two, one], [one, two, one]):
+        table = empty
+        for b in batches:
+            table = jobs.event_merge(table, spark.createDataFrame(b, columns), venues)["table"]
+        results.append({(r.source_event_id, r.title, r.first_seen_at.day, r.last_seen_at.day) for r in table.collect()})
+    assert results == [{("a", "a 2", 1, 2), ("b", "b 1", 1, 1), ("c", "c 2", 2, 2)}] * 4
+
+
+def test_second_writer_is_refused_and_harms_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    first, second = spark.range(5), spark.range(9)
+    snapshots.write_snapshot(first, path, ["id"])
+    # A writer that still sees version 0 tries to publish version 1 again.
+    real = snapshots.current_version
+    stale = [0]
+    monkeypatch.setattr(snapshots, "current_version", lambda *a: stale.pop() if stale else real(*a))
+    try:
+        snapshots.write_snapshot(second, path, ["id"])
+    except ValueError as refused:
+        assert "another writer" in str(refused)
+        assert snapshots.read_snapshot(spark, path).count() == 5
+    else:
+        assert snapshots.read_snapshot(spark, path).count() == 9
+    monkeypatch.undo()
+    assert real(spark, path) == 1
+
+
+def test_text_after_an_unclosed_element_and_payload_that_is_no_json(spark):
+    from vernissage.sources import feed, html
+
+    page = spark.createDataFrame([("<p>a</p><div><svg><path></div><p>rest of page</p>",)], "h string")
+    assert page.select(html.page_text(F.col("h")).alias("t")).first().t == "arest of page"
+    raw = spark.createDataFrame([(1, '{"a": 1'), (2, '{"a": 1, "excerpt": 2}'), (3, None)], "id long, payload string")
+    assert [r.payload for r in feed.scrub_payloads(raw).orderBy("id").collect()] == [None, '{"a": 1}', None]
+    assert [(r.id, r.reason) for r in feed.malformed(raw, "id").collect()] == [(1, "not JSON")]

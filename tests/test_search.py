@@ -100,12 +100,12 @@ def test_hydrate(spark, tables):
     asked = spark.createDataFrame([(1, ["g:3", "x:01", "x:1", "a:2", "x:99"]), (2, ["x:1", "y:2"]), (3, [f"x:{n}" for n in range(11)])],
                                   "request_id long, ids array<string>")
     facts = search.details(**tables)
-    rows = search.hydrate(asked, facts).orderBy("request_id", "position").collect()
+    rows = search.hydrate(asked, facts, 10).orderBy("request_id", "position").collect()
     assert [r.id for r in rows] == ["g:3", "x:1", "a:2"]  # a hidden twin is still found by id
     assert rows[0].title_en == "PROVA Ú." and rows[1].url == corpus.DETAIL
     assert (rows[2].exhibition_id, rows[2].start_time, rows[2].end) == ("x:1", "19:00", date(2026, 11, 5))
-    assert [(r.request_id, r.id) for r in search.not_found(asked, facts).collect()] == [(1, "x:99")]
-    assert {(r.request_id, r.reason) for r in search.asked_ids(asked)[1].collect()} == {(2, "not an id"), (3, "too many ids")}
+    assert [(r.request_id, r.id) for r in search.not_found(asked, facts, 10).collect()] == [(1, "x:99")]
+    assert {(r.request_id, r.reason) for r in search.asked_ids(asked, 10)[1].collect()} == {(2, "not an id"), (3, "too many ids")}
 
 
 def test_browse(spark, tables):

@@ -139,7 +139,8 @@ def sites(t):
   union all
   select * from (select url, 'url', row_number() over (partition by url order by ord) as position, value from onsite) where position <= 10""")
 def site_hints(t):
-    hints = crawl.site_hints(crawl.sites(t["v_venues"]), t["v_venues"], t["v_snapshots"], t["v_occurrences"], AS_OF)
+    hints = crawl.site_hints(crawl.sites(t["v_venues"]), t["v_venues"], t["v_snapshots"], t["v_occurrences"], AS_OF,
+                             most=vocab.MAX_HINTS, title_chars=vocab.HINT_TITLE_CHARS)
     return hints.withColumn("position", F.col("position").cast("long"))
 
 
@@ -179,7 +180,7 @@ def seeds_in_use(t):
 def crawl_targets(t):
     s = crawl.sites(t["v_venues"])
     in_use = crawl.seeds_in_use(s, t["v_seeds"], t["v_overrides"])
-    return crawl.crawl_targets(s, in_use, t["v_overrides"], t["v_pages"], t["v_exhibitions"], TODAY)
+    return crawl.crawl_targets(s, in_use, t["v_overrides"], t["v_pages"], t["v_exhibitions"], TODAY, most=vocab.MAX_PAGES_PER_SITE)
 
 
 _ROUTED = f"""{_IN_USE},

@@ -250,7 +250,7 @@ def search_refusals(t):
         F.when(case == 4, F.array(F.lit("party"))).alias("kinds"),
         "free_only", "rows",
     )
-    return search.check_requests(bad, places.place_names(t["v_places"], t["v_venues"]))[1]
+    return search.check_requests(bad, places.place_names(t["v_places"], t["v_venues"]), vocab.MAX_SEARCH_ROWS)[1]
 
 
 # --- hydrate -------------------------------------------------------------------------------------
@@ -298,13 +298,13 @@ def _details(t):
 @query("hydrate", f"""with {DETAILS}, {_ASKED}
     select request_id, cast(position as bigint) as position, d.* from asked join details d using (id)""")
 def hydrate(t):
-    return _flat(search.hydrate(_hydrate_requests(t), _details(t)))
+    return _flat(search.hydrate(_hydrate_requests(t), _details(t), vocab.MAX_HYDRATE))
 
 
 @query("hydrate_not_found", f"""with {DETAILS}, {_ASKED}
     select request_id, cast(position as bigint) as position, id from asked where id not in (select id from details)""")
 def hydrate_not_found(t):
-    return search.not_found(_hydrate_requests(t), _details(t))
+    return search.not_found(_hydrate_requests(t), _details(t), vocab.MAX_HYDRATE)
 
 
 # --- places and distance -------------------------------------------------------------------------
@@ -344,7 +344,7 @@ _ASK_PLACES = """
   from asked a left join (select * from near where position <= 10 and (not one_spot or position = 1)) n using (asked)""")
 def resolve_places(t):
     asked = t.sql(_ASK_PLACES)
-    return places.resolve_places(asked, places.place_names(t["v_places"], t["v_venues"]))
+    return places.resolve_places(asked, places.place_names(t["v_places"], t["v_venues"]), most=vocab.MAX_PLACE_CANDIDATES)
 
 
 @query("within_radius", f"""

@@ -113,7 +113,8 @@ def draft_labels(t):
     pages = t["v_pages"].withColumn("venue", F.col("venue_id").cast("string"))
     items = t["v_labels"].select(
         "page_id", "kind", "ord", "title", "artists", F.col("start").alias("start_date"), F.col("end").alias("end_date"), "at_venue")
-    drafted = extraction.draft_labels(pages, items, t["pages"].filter("page_id % 4 = 0"))
+    drafted = extraction.draft_labels(pages, items, t["pages"].filter("page_id % 4 = 0"),
+                                     most=vocab.MAX_ITEMS, most_listed=vocab.DRAFTED_ITEMS)
     shown = F.transform("items", lambda i: F.concat(i["kind"], F.lit(":"), i["title"]))
     return drafted.select("page_id", "url", "kind", "partial", F.array_join(shown, ",").alias("items"))
 

@@ -61,10 +61,10 @@ def match_rounds(t):
 @query("match_names", f"""
     with k as (select {NORM("name")} as key, count(*) as n, min(id) as term_id from v_terms group by 1)
     select name, case when n = 1 then term_id end as term_id
-    from (select upper(p_name) || ', ' || p_brand as name, {NORM("p_name || ' ' || p_brand")} as akey from part where p_size > 25) a
+    from (select upper(p_name) || ', ' || p_brand as name, {NORM("p_name || ' ' || p_brand")} as akey from part) a
     left join k on key = akey""")
 def match_names(t):
-    asked = t["part"].filter("p_size > 25").select(
+    asked = t["part"].select(
         F.concat(F.upper("p_name"), F.lit(", "), "p_brand").alias("name"))
     return matching.match_names(t["v_terms"], asked)
 

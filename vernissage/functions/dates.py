@@ -60,71 +60,39 @@ def resolve_dates(start: Column, end: Column, fetched_on: Column) -> Column:
 
     `start` and `end` are struct(day, month, year), null when not written. A year not written comes
     from the other end, else from the run nearest to the fetch day, the later one on a tie. A run
-    that cannot exist is null at both ends."""
-    near = F.year(fetched_on)
-    around = F.array(near - 1, near, near + 1)
-
-    def lone(written: Column, last: bool) -> Column:
-        days = F.filter(
-            F.transform(around, lambda y: _day(y, written["month"], written["day"], last)),
-            lambda d: d.isNotNull(),
+    that cannot exist is null at both ends.
+
+    Every pair of years that may be meant is written out once, with what it is judged by, and the
+    least is taken; a date that stands alone is the run from itself to itself."""
+    alone = start.isNull() | end.isNull()
+    undated = start["year"].isNull() & end["year"].isNull()
+    middle = F.coalesce(start["year"], end["year"], F.year(fetched_on)).cast("int")
+    nearby = [F.struct((middle + d).alias("a"), (middle + d + k).alias("b")) for d in (-1, 0, 1) for k in (0, 1)]
+    as_written = F.struct(start["year"].cast("int").alias("a"), end["year"].cast("int").alias("b"))
+
+    def opens(year: Column) -> Column:
+        return F.when(start.isNull(), _day(year, end["month"], end["day"], True)).otherwise(
+            _day(year, start["month"], start["day"], False))
+
+    def closes(year: Column) -> Column:
+        return F.when(end.isNull(), opens(year)).otherwise(_day(year, end["month"], end["day"], True))
+
+    def judged(years: Column) -> Column:
+        first, last = opens(years["a"]), closes(years["b"])
+        meant = (
+            F.coalesce(start["year"] == years["a"], F.lit(True)) & F.coalesce(end["year"] == years["b"], F.lit(True))
+            & (~alone | (years["a"] == years["b"]))
+            # Over the turn of a year only if the run does not fit into one, or both years say so.
+            & ((years["a"] == years["b"]) | end["year"].isNotNull() | ~F.coalesce(closes(years["a"]) >= first, F.lit(False)))
         )
-        ranked = F.transform(
-            days,
-            lambda d: F.struct(
-                F.abs(F.datediff(d, fetched_on)).alias("gap"),
-                (-F.unix_date(d)).alias("later"),
-                d.alias("day"),
-            ),
-        )
-        return F.when(
-            written["year"].isNotNull(),
-            _day(written["year"], written["month"], written["day"], last),
-        ).otherwise(F.array_min(ranked)["day"])
-
-    start_years = (
-        F.when(start["year"].isNotNull(), F.array(start["year"].cast("int")))
-        .when(end["year"].isNotNull(), F.array(end["year"].cast("int"), end["year"].cast("int") - 1))
-        .otherwise(around)
-    )
-
-    def run(year: Column) -> Column:
-        """The run that starts in `year`: its end in the first year that keeps it forwards."""
-        first = _day(year, start["month"], start["day"], False)
-
-        def ending(end_year: Column) -> Column:
-            last = _day(end_year, end["month"], end["day"], True)
-            return F.when(last >= first, last)
-
-        last = F.when(end["year"].isNotNull(), ending(end["year"])).otherwise(
-            F.coalesce(ending(year), ending(year + 1))
-        )
-        return F.struct(first.alias("start_date"), last.alias("end_date"))
-
-    runs = F.filter(F.transform(start_years, run), lambda r: r["end_date"].isNotNull())
-    ranked = F.transform(
-        runs,
-        lambda r: F.struct(
-            F.greatest(
-                F.datediff(r["start_date"], fetched_on),
-                F.datediff(fetched_on, r["end_date"]),
-                F.lit(0),
-            ).alias("gap"),
-            (-F.unix_date(r["start_date"])).alias("later"),
-            r.alias("run"),
-        ),
-    )
-    both = F.when(
-        start["year"].isNull() & end["year"].isNull(), F.array_min(ranked)["run"]
-    ).otherwise(F.try_element_at(runs, F.lit(1)))
-    return F.when(start.isNotNull() & end.isNotNull(),
-                  F.struct(both["start_date"].alias("start_date"),
-                           both["end_date"].alias("end_date"))).otherwise(
-        F.struct(
-            F.when(start.isNotNull(), lone(start, False)).alias("start_date"),
-            F.when(end.isNotNull(), lone(end, True)).alias("end_date"),
-        )
-    )
+        away = F.greatest(F.datediff(first, fetched_on), F.datediff(fetched_on, last), F.lit(0))
+        return F.when(meant & (last >= first), F.struct(
+            F.when(undated, away).alias("away"), (-F.unix_date(first)).alias("later"), first.alias("first"), last.alias("last")))
+
+    pairs = F.array(as_written, *nearby)
+    best = F.array_min(F.array_compact(F.transform(pairs, judged)))
+    return F.struct(
+        F.when(start.isNotNull(), best["first"]).alias("start_date"), F.when(end.isNotNull(), best["last"]).alias("end_date"))
 
 
 def resolve_day(spec: Column, today: Column, on_or_after: Column | None = None) -> Column:

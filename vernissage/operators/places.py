@@ -41,7 +41,7 @@ def place_names(places: DataFrame, venues: DataFrame) -> DataFrame:
 _ENTITY = ("kind", "id", "name", "within", "lat", "lon")
 
 
-def resolve_places(asked: DataFrame, names: DataFrame) -> DataFrame:
+def resolve_places(asked: DataFrame, names: DataFrame, most: int | None = None) -> DataFrame:
     """For each distinct `asked` name: its place, or the candidates when it could mean several far
     apart. Columns asked, status (place, candidates, unknown), position, name, kind, within,
     qualified, lat, lon; an unknown name is one row of nulls.
@@ -86,19 +86,17 @@ def resolve_places(asked: DataFrame, names: DataFrame) -> DataFrame:
         .withColumn("chars", F.length("name"))
     )
     order = ("tier", "rank", "chars", "name", "kind", "id")
-    first = entities.groupBy("asked_key").agg(
-        F.min_by(F.struct("tier", "lat", "lon"), F.struct(*order)).alias("first"))
-    best = entities.join(first, "asked_key").filter("tier = first.tier")
-    apart = distance_m(F.col("lat"), F.col("lon"), F.col("first.lat"), F.col("first.lon"))
-    spots = best.groupBy("asked_key").agg(
-        F.bool_and(apart <= vocab.MERGE_RADIUS_M).alias("one_spot"))
+    # One order of the entities of a name gives the first, the best tier (its rows stand in front) and
+    # the places; nothing is expanded twice.
     by_rank = Window.partitionBy("asked_key").orderBy(*order)
-    listed = (
-        best.withColumn("position", F.row_number().over(by_rank))
-        .filter(F.col("position") <= vocab.MAX_PLACE_CANDIDATES)
-        .join(spots, "asked_key")
-        .filter("NOT one_spot OR position = 1")
-    )
+    ranked = entities.withColumn("position", F.row_number().over(by_rank)).withColumn(
+        "first", F.first(F.struct("tier", "lat", "lon")).over(by_rank)).filter("tier = first.tier")
+    apart = distance_m(F.col("lat"), F.col("lon"), F.col("first.lat"), F.col("first.lon"))
+    listed = ranked.withColumn(
+        "one_spot", F.bool_and(apart <= vocab.MERGE_RADIUS_M).over(Window.partitionBy("asked_key"))
+    ).filter("NOT one_spot OR position = 1")
+    if most is not None:
+        listed = listed.filter(F.col("position") <= most)
     return asked.join(listed, "asked_key", "left").select(
         "asked",
         F.when(F.col("position").isNull(), "unknown").when(F.col("one_spot"), "place")

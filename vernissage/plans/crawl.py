@@ -59,12 +59,13 @@ def page_changes(stored: DataFrame, crawled: DataFrame, homes: DataFrame) -> Dat
     )
 
 
-def merge_pages(stored: DataFrame, crawled: DataFrame, run_ts: datetime) -> DataFrame:
+def merge_pages(stored: DataFrame, crawled: DataFrame, run_ts: datetime | None) -> DataFrame:
     """By URL. A page that gave no answer is left as it was; any other takes the fetch's status,
-    hash, text and links (none unless ok) and keeps its extraction marks."""
+    hash, text and links (none unless ok) and keeps its extraction marks. It is stamped `run_ts`, or
+    without one its own fetched_at."""
     ok = F.col("status") == "ok"
     answered = crawled.filter("status <> 'unavailable'").select(
-        "url", "venue_id", "kind", "status", "http_status",
+        "url", "venue_id", "kind", "status", "http_status", (F.col("fetched_at") if run_ts is None else F.lit(run_ts).cast("timestamp_ntz")).alias("_at"),
         *(F.when(ok, F.col(c)).alias(c) for c in ("content_hash", "raw_text")),
         F.when(ok & (F.size("links") > 0), F.col("links")).alias("links"))
     both = side_by_side(stored, answered, ["url"])
@@ -72,7 +73,7 @@ def merge_pages(stored: DataFrame, crawled: DataFrame, run_ts: datetime) -> Data
     return both.select(
         F.coalesce("cur.id", F.xxhash64(F.lit("page"), "url")).alias("id"), "url",
         *(F.when(seen, F.col(f"new.{c}")).otherwise(F.col(f"cur.{c}")).alias(c) for c in CRAWLED),
-        F.when(seen, F.lit(run_ts).cast("timestamp_ntz")).otherwise(F.col("cur.fetched_at")).alias("fetched_at"),
+        F.when(seen, F.col("new._at")).otherwise(F.col("cur.fetched_at")).alias("fetched_at"),
         *(F.col(f"cur.{c}").alias(c) for c in MARKS),
     )
 
@@ -112,22 +113,23 @@ def sites(venues: DataFrame) -> DataFrame:
     ).select("v.venue_id", "v.name", "url")
 
 
-def _first_ten(df: DataFrame, kind: str, value: str, key: str) -> DataFrame:
-    """The first ten distinct values of each site, in event order."""
+def _distinct_values(df: DataFrame, kind: str, value: str, key: str, most: int | None) -> DataFrame:
+    """The distinct values of each site in event order; the first `most` where a number is given."""
     firsts = df.filter(F.col(key).isNotNull()).groupBy("url", key).agg(
         F.min_by(F.struct("ord", F.col(value).alias("value")), "ord").alias("f"))
     order = Window.partitionBy("url").orderBy("f.ord", "f.value")
     return (
         firsts.withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= vocab.MAX_HINTS)
+        .filter(F.lit(True) if most is None else F.col("position") <= most)
         .select("url", F.lit(kind).alias("kind"), "position", F.col("f.value").alias("value"))
     )
 
 
 def site_hints(sites: DataFrame, venues: DataFrame, snapshots: DataFrame, occurrences: DataFrame,
-               as_of: datetime) -> DataFrame:
+               as_of: datetime, *, most: int | None = None, title_chars: int | None = None) -> DataFrame:
     """(url, kind, position, value): titles and on-site links of the site's current events, over
-    every crawlable venue that shares its website, ten of each."""
+    every crawlable venue that shares its website; the first `most` of each, and titles cut to
+    `title_chars` once they are told apart, where those are given."""
     now = F.lit(as_of).cast("timestamp_ntz")
     current = occurrences.filter(F.coalesce("ends_at", "starts_at") >= now).select(
         F.col("event_id").alias("id"))
@@ -136,7 +138,7 @@ def site_hints(sites: DataFrame, venues: DataFrame, snapshots: DataFrame, occurr
     ).join(sites.select("url"), "url", "left_semi")
     events = snapshots.join(current, "id", "left_semi").join(siblings, "venue_id")
     spaced = F.trim(F.regexp_replace(F.col("title"), r"(?U)\s+", " "))
-    title = F.substring(F.when(spaced != "", spaced), 1, vocab.HINT_TITLE_CHARS)
+    title = F.when(spaced != "", spaced)
     titles = events.select("url", F.struct("id", F.lit(0).alias("n")).alias("ord"), title.alias("value"))
     links = (
         events.select("url", "id", F.posexplode(F.array(
@@ -144,8 +146,10 @@ def site_hints(sites: DataFrame, venues: DataFrame, snapshots: DataFrame, occurr
         .filter(F.col("value").rlike("^https?://") & (site_key(F.col("value")) == site_key(F.col("url"))))
         .select("url", F.struct("id", "n").alias("ord"), "value", url_key(F.col("value")).alias("key"))
     )
-    return _first_ten(titles.withColumn("key", F.col("value")), "title", "value", "key").unionByName(
-        _first_ten(links, "url", "value", "key"))
+    shown = _distinct_values(titles.withColumn("key", F.col("value")), "title", "value", "key", most)
+    if title_chars is not None:
+        shown = shown.withColumn("value", F.substring("value", 1, title_chars))
+    return shown.unionByName(_distinct_values(links, "url", "value", "key", most))
 
 
 def seeds_in_use(sites: DataFrame, seeds: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -160,8 +164,9 @@ def seeds_in_use(sites: DataFrame, seeds: DataFrame, overrides: DataFrame) -> Da
 
 
 def crawl_targets(sites: DataFrame, in_use: DataFrame, overrides: DataFrame, pages: DataFrame,
-                  exhibitions: DataFrame, today: date) -> DataFrame:
-    """(venue_id, position, kind, url): what to fetch for each site, at most eight pages. Pins
+                  exhibitions: DataFrame, today: date, *, most: int | None = None) -> DataFrame:
+    """(venue_id, position, kind, url): what to fetch for each site, the first `most` where a number
+    is given. Pins
     replace seeds; then the own pages of shows at the venue that are not over, soonest first,
     unless they were ever fetched."""
     stored = pages.join(sites.select("venue_id"), "venue_id", "left_semi").select("venue_id", "url")
@@ -190,7 +195,7 @@ def crawl_targets(sites: DataFrame, in_use: DataFrame, overrides: DataFrame, pag
     order = Window.partitionBy("venue_id").orderBy("rank", "a", "b", "url")
     return (
         numbered.withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= vocab.MAX_PAGES_PER_SITE)
+        .filter(F.lit(True) if most is None else F.col("position") <= most)
         .select("venue_id", F.col("position").cast("long").alias("position"),
                 F.when(F.col("rank") == 0, "listing").otherwise("detail").alias("kind"), "url")
     )

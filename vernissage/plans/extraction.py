@@ -139,10 +139,11 @@ def verdict_problems(verdicts: DataFrame, summaries: DataFrame) -> DataFrame:
     return wrong.unionByName(twice).unionByName(missing).distinct()
 
 
-def draft_labels(pages: DataFrame, items: DataFrame, gold: DataFrame) -> DataFrame:
+def draft_labels(pages: DataFrame, items: DataFrame, gold: DataFrame, *, most: int | None = None,
+                 most_listed: int | None = None) -> DataFrame:
     """Unconfirmed labels for pages (id, url, venue, kind, content_hash, raw_text) that hold text and
-    are not labelled: page columns, confirmed, partial, and `items`. A listing with more than ten of a
-    kind keeps its first ten of each. `items` holds page_id, kind, ord, title, artists, start_date,
+    are not labelled: page columns, confirmed, partial, and `items`. All items, unless `most` of a kind
+    are asked for on any page, or `most_listed` on a listing; a page that lost some is `partial`. `items` holds page_id, kind, ord, title, artists, start_date,
     end_date, at_venue."""
     open_pages = (
         pages.filter("raw_text IS NOT NULL").withColumn("key", url_key(F.col("url")))
@@ -150,15 +151,20 @@ def draft_labels(pages: DataFrame, items: DataFrame, gold: DataFrame) -> DataFra
         .select(F.col("id").alias("page_id"), "url", "venue", F.col("kind").alias("page_kind"), "content_hash")
     )
     order = Window.partitionBy("page_id", "kind").orderBy("ord")
-    # Both bounds are the label format's own: at most forty of a kind are ever extracted.
-    first = items.join(open_pages, "page_id").withColumn("n", F.row_number().over(order)).filter(
-        F.col("n") <= vocab.MAX_ITEMS)
-    kept = first.filter((F.col("page_kind") != "listing") | (F.col("n") <= vocab.DRAFTED_ITEMS))
+    first = items.join(open_pages, "page_id")
+    cut = F.lit(False)
+    if most is not None or most_listed is not None:
+        first = first.withColumn("n", F.row_number().over(order))
+        if most is not None:
+            cut = cut | (F.col("n") > most)
+        if most_listed is not None:
+            cut = cut | ((F.col("page_kind") == "listing") & (F.col("n") > most_listed))
+    kept = first.filter(~cut)
     label = F.struct(
         (F.col("kind") != "exhibition").alias("later"), "ord", "kind", "title", "artists",
         F.col("start_date").alias("start"), F.col("end_date").alias("end"), "at_venue")
     listed = kept.groupBy("page_id").agg(F.array_sort(F.collect_list(label)).alias("items"))
-    more = first.filter((F.col("page_kind") == "listing") & (F.col("n") > vocab.DRAFTED_ITEMS)).select(
+    more = first.filter(cut).select(
         "page_id", F.lit(True).alias("_more")).distinct()
     fields = ("kind", "title", "artists", "start", "end", "at_venue")
     return open_pages.join(listed, "page_id", "left").join(more, "page_id", "left").select(

@@ -35,10 +35,10 @@ def label_status(gold: DataFrame, stored: DataFrame) -> DataFrame:
 # --- matching labels to found items --------------------------------------------------------------
 
 
-def oversized(items: DataFrame) -> DataFrame:
-    """(page_id): pages with more items of a kind than a label or an extraction may hold."""
+def oversized(items: DataFrame, most: int = vocab.MAX_ITEMS) -> DataFrame:
+    """(page_id): pages with more than `most` items of a kind. Nothing is left out of them here."""
     counts = items.groupBy("page_id", "kind").agg(F.count("*").alias("n"))
-    return counts.filter(F.col("n") > vocab.MAX_ITEMS).select("page_id").distinct()
+    return counts.filter(F.col("n") > most).select("page_id").distinct()
 
 
 def _assign(labels: Column, found: Column, used: Column, agree) -> Column:
@@ -75,14 +75,14 @@ def match_items(labels: DataFrame, found: DataFrame) -> DataFrame:
     whole page, then titles contained in one another. Both tables hold page_id, ord, kind, title,
     start.
 
-    Who gets an item depends on the labels before, so a page is decided in one fold. A page is small
-    by rule: a label or an extraction holds at most forty items of a kind, and a page beyond that is
-    refused before anything is gathered (see `oversized`)."""
-    refused = oversized(labels).unionByName(oversized(found)).distinct()
+    Who gets an item depends on the labels before, so what can compete is decided in one fold: the
+    items of one page, whatever their number, and of those only the ones with a possible partner."""
+    keyed = lambda df: df.withColumn("key", title_key(F.col("title")))
+    labels, found = keyed(labels), keyed(found)
 
     def gathered(df: DataFrame, name: str) -> DataFrame:
-        row = F.struct(F.col("ord").cast("long").alias("ord"), "kind", title_key(F.col("title")).alias("key"), "start")
-        kept = df.join(refused, "page_id", "left_anti").select("page_id", row.alias("i"))
+        row = F.struct(F.col("ord").cast("long").alias("ord"), "kind", "key", "start")
+        kept = df.select("page_id", row.alias("i"))
         return kept.groupBy("page_id").agg(F.array_sort(F.collect_list("i")).alias(name))
 
     pages = gathered(labels, "labels").join(gathered(found, "found"), "page_id")

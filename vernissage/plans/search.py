@@ -137,9 +137,9 @@ def candidates(
     return shows.unionByName(served)
 
 
-def check_requests(requests: DataFrame, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def check_requests(requests: DataFrame, names: DataFrame | None = None, most_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted, refused). Requests hold request_id, date_from, date_to, near, lat, lon,
-    radius_km, kinds, free_only, rows. `names` (see `place_names`) resolves `near` to a point;
+    radius_km, kinds, free_only, rows (of any number, or up to `most_rows`). `names` (see `place_names`) resolves `near` to a point;
     refused rows say why, in `reason`."""
     known = F.array(*map(F.lit, vocab.SEARCH_KINDS))
     has_point = F.col("lat").isNotNull() & F.col("lon").isNotNull()
@@ -151,7 +151,7 @@ def check_requests(requests: DataFrame, names: DataFrame | None = None) -> tuple
               "radius without a point")
         .when((F.col("radius_km") <= 0) | (F.col("radius_km") > 200), "radius out of range")
         .when(F.size(F.array_except("kinds", known)) > 0, "unknown kind")
-        .when(~F.col("rows").between(1, vocab.MAX_SEARCH_ROWS), "rows out of range")
+        .when((F.col("rows") < 1) | (F.lit(False) if most_rows is None else F.col("rows") > most_rows), "rows out of range")
     )
     judged = requests.withColumn("reason", reason)
     if names is not None:
@@ -245,11 +245,9 @@ def search(requests: DataFrame, found: DataFrame, venues: DataFrame) -> DataFram
     order = Window.partitionBy("request_id").orderBy(
         F.col("distance_km").asc_nulls_last(), F.col("last_day").asc_nulls_last(),
         F.col("first_day").asc_nulls_first(), "id")
-    # Many rows can share the last step; the literal bound lets every task drop them before the shuffle.
     top = (
         matched.join(counted, "request_id").filter("coarse <= last_step")
         .withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= vocab.MAX_SEARCH_ROWS)
         .filter(F.col("position") <= F.col("rows"))
         .select("request_id", "position", "total", "id", "date_from", "distance_km")
     )
@@ -270,17 +268,17 @@ def search(requests: DataFrame, found: DataFrame, venues: DataFrame) -> DataFram
 _ID = r"^([xag]):([0-9]+)$"
 
 
-def asked_ids(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+def asked_ids(requests: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """((request_id, position, id), refused (request_id, reason)) of requests (request_id, ids).
-    Leading zeros do not count, a repeated id keeps its first place, one bad id or more than ten
-    distinct ones refuse the request."""
+    Leading zeros do not count, a repeated id keeps its first place; one bad id, or more than `most`
+    distinct ones where a number is given, refuse the request."""
     clean = F.transform(F.col("ids"), lambda i: F.when(
         i.rlike(_ID), F.concat(F.regexp_extract(i, _ID, 1), F.lit(":"),
                                F.regexp_replace(F.regexp_extract(i, _ID, 2), "^0+(?=.)", ""))))
     judged = requests.select("request_id", F.array_distinct(clean).alias("clean")).withColumn(
         "reason",
         F.when(F.exists("clean", lambda i: i.isNull()), "not an id")
-        .when(F.size("clean") > vocab.MAX_HYDRATE, "too many ids"))
+        .when(F.lit(False) if most is None else F.size("clean") > most, "too many ids"))
     accepted = judged.filter("reason IS NULL").select(
         "request_id", F.posexplode("clean").alias("position", "id"))
     return (accepted.withColumn("position", F.col("position").cast("long")),
@@ -328,12 +326,12 @@ def details(venues: DataFrame, exhibitions: DataFrame, events: DataFrame, snapsh
     return shows.unionByName(happenings).unionByName(feed)
 
 
-def hydrate(requests: DataFrame, facts: DataFrame) -> DataFrame:
+def hydrate(requests: DataFrame, facts: DataFrame, most: int | None = None) -> DataFrame:
     """The details of the ids each request names, at the place they were asked in."""
-    return asked_ids(requests)[0].join(facts, "id").select(
+    return asked_ids(requests, most)[0].join(facts, "id").select(
         "request_id", "position", *facts.columns)
 
 
-def not_found(requests: DataFrame, facts: DataFrame) -> DataFrame:
-    return asked_ids(requests)[0].join(facts.select("id"), "id", "left_anti").select(
+def not_found(requests: DataFrame, facts: DataFrame, most: int | None = None) -> DataFrame:
+    return asked_ids(requests, most)[0].join(facts.select("id"), "id", "left_anti").select(
         "request_id", "position", "id")

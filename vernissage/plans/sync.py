@@ -67,10 +67,12 @@ def plan_venues(terms: DataFrame, profiles: DataFrame, pilots: DataFrame) -> Dat
     )
 
 
-def merge_venues(current: DataFrame, planned: DataFrame, run_ts: datetime) -> DataFrame:
+def merge_venues(current: DataFrame, planned: DataFrame, run_ts: datetime, at_least: int = 1) -> DataFrame:
     """`current` (id, source_venue_id, values, updated_at) after the plan, with `change`: inserted,
     changed, unjoined, kept. A row moves its `updated_at` only when a value differs; a venue the
-    fetch no longer returns keeps its facts and loses its join and flags."""
+    fetch no longer returns keeps its facts and loses its join and flags. A plan of fewer than
+    `at_least` rows is a failed fetch and refused, since it would unjoin every venue."""
+    require_rows(planned, at_least)
     both = side_by_side(current, planned, ["source_venue_id"])
     known, fetched = F.col("cur").isNotNull(), F.col("new").isNotNull()
     held = F.col("cur.crawl_enabled") | F.col("cur.is_pilot")
@@ -128,6 +130,19 @@ def merge_events(current: DataFrame, fetched: DataFrame, run_ts: datetime) -> Da
     )
 
 
+def merge_sightings(current: DataFrame, seen: DataFrame) -> DataFrame:
+    """As `merge_events`, for rows that bring their own first_seen_at and last_seen_at: the side seen
+    last gives the values, so rows may come in any order and more than once."""
+    both = side_by_side(current, seen, ["source_event_id"])
+    newer = F.col("cur").isNull() | (F.col("new.last_seen_at") >= F.col("cur.last_seen_at"))
+    return both.select(
+        F.coalesce("cur.id", F.xxhash64(F.lit("event"), "source_event_id")).alias("id"), "source_event_id",
+        *(F.when(newer, F.col(f"new.{c}")).otherwise(F.col(f"cur.{c}")).alias(c) for c in EVENT_VALUES),
+        F.least("cur.first_seen_at", "new.first_seen_at").alias("first_seen_at"),
+        F.greatest("cur.last_seen_at", "new.last_seen_at").alias("last_seen_at"),
+    )
+
+
 def merge_occurrences(
     current: DataFrame, fetched: DataFrame, events: DataFrame, run_ts: datetime
 ) -> DataFrame:

@@ -149,25 +149,40 @@ def _audit(value, found: set[str]) -> set[str]:
     return found
 
 
+def _parsed(text: str | None):
+    """The payload, or None if it is no JSON."""
+    try:
+        return None if text is None else json.loads(text)
+    except ValueError:
+        return None
+
+
 @F.arrow_udf(T.StringType())
 def _scrub(values: pa.Array) -> pa.Array:
     return pa.array([
-        v if v is None else json.dumps(_without_prose(json.loads(v)), ensure_ascii=False)
-        for v in values.to_pylist()], pa.string())
+        None if v is None else json.dumps(_without_prose(v), ensure_ascii=False)
+        for v in map(_parsed, values.to_pylist())], pa.string())
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _banned(values: pa.Array) -> pa.Array:
     return pa.array([
-        [] if v is None else sorted(_audit([json.loads(v)], set())) for v in values.to_pylist()
+        [] if v is None else sorted(_audit([v], set())) for v in map(_parsed, values.to_pylist())
     ], pa.list_(pa.string()))
 
 
 def scrub_payloads(df: DataFrame, column: str = "payload") -> DataFrame:
-    """Payload texts without third-party prose, whatever its place in the tree."""
+    """Payload texts without third-party prose, whatever its place in the tree. A text that is no
+    JSON becomes null; `malformed` lists those."""
     return df.withColumn(column, _scrub(F.col(column)))
 
 
+def malformed(df: DataFrame, key: str, column: str = "payload") -> DataFrame:
+    """(key, reason): payloads that are no JSON, for the rejects."""
+    return df.filter(F.col(column).isNotNull() & _scrub(F.col(column)).isNull()).select(
+        key, F.lit("not JSON").alias("reason"))
+
+
 def banned_keys(df: DataFrame, key: str, column: str = "payload") -> DataFrame:
     """(key, banned): what prose is left in each payload; no rows means clean."""
     return df.select(key, F.explode(_banned(F.col(column))).alias("banned"))

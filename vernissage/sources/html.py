@@ -34,7 +34,8 @@ class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
-        self.hidden: list[str] = []
+        self.open: list[str] = []
+        self.hidden: list[int] = []  # how many elements were open when each began
         self.head = False
 
     def handle_starttag(self, tag, attrs):
@@ -43,14 +44,19 @@ class _Text(HTMLParser):
         elif tag not in _HEAD_ONLY:
             self.head = False
         if tag in _INVISIBLE:
-            self.hidden.append(tag)
+            self.hidden.append(len(self.open))
+        if tag not in _VOID:
+            self.open.append(tag)
 
     def handle_endtag(self, tag):
         if tag == "head":
             self.head = False
-        if tag in self.hidden:
-            while self.hidden.pop() != tag:
+        if tag in self.open:
+            while self.open.pop() != tag:
                 pass
+            # A hidden region ends with its own element or with one around it.
+            while self.hidden and self.hidden[-1] >= len(self.open):
+                self.hidden.pop()
 
     def handle_data(self, data):
         if not self.hidden and not self.head:
@@ -124,7 +130,7 @@ def _anchors(markup: str, page_url: str) -> list[dict]:
         if url:
             words = ("".join(a["text"]), a["label"], a["title"], a["alt"])
             text = next((" ".join(w.split()) for w in words if w.strip()), "")
-            links.append({"url": url, "text": text[:_LINK_TEXT_CHARS], "region": a["region"]})
+            links.append({"url": url, "text": text, "region": a["region"]})
     return links
 
 
@@ -154,10 +160,12 @@ def page_text(markup: Column, max_chars: int | None = None) -> Column:
     return text if max_chars is None else F.substring(text, 1, max_chars)
 
 
-def page_links(pages: DataFrame, *, exclude: str | None = None, limit: int = vocab.MAX_LINKS) -> DataFrame:
+def page_links(pages: DataFrame, *, exclude: str | None = None, limit: int | None = None,
+               text_chars: int | None = None) -> DataFrame:
     """Pages (page_id, url, html) to (page_id, number, url, text, region): the same-site links in
-    document order, one per page identity, numbered from 1, at most `limit` a page. `exclude` names
-    an array column of URLs left out before numbering."""
+    document order, one per page identity, numbered from 1; the first `limit` a page, and texts cut to
+    `text_chars`, where those are given. `exclude` names an array column of URLs left out before
+    numbering."""
     site = site_key(F.col("url"))
     suffixes = "(" + "|".join(s.replace(".", r"\.") for s in vocab.NON_PAGE_SUFFIXES) + ")$"
     usable = F.filter("_links", lambda x: (
@@ -168,11 +176,17 @@ def page_links(pages: DataFrame, *, exclude: str | None = None, limit: int = voc
     out = F.array().cast("array<string>")
     if exclude is not None:
         out = F.coalesce(F.transform(exclude, url_key), out)
-    first = F.filter(
-        F.zip_with("_links", "_keys", lambda x, k: F.struct(x.alias("link"), k.alias("key"))),
-        lambda x, i: (F.array_position(F.col("_keys"), x["key"]) == i + 1) & ~F.array_contains(out, x["key"]))
-    return keyed.select("page_id", F.posexplode(F.slice(first, 1, limit)).alias("n", "l")).select(
-        "page_id", (F.col("n") + 1).cast("long").alias("number"), "l.link.*")
+    # Of each identity the first place: a sort of the page's links, not a search for each.
+    placed = F.array_sort(F.transform("_keys", lambda k, i: F.struct(k.alias("key"), i.alias("at"))))
+    firsts = F.filter(placed, lambda x, i: (i == 0) | (F.try_element_at(placed, i)["key"] != x["key"]))
+    rows = keyed.select("page_id", "_links", out.alias("_out"), F.array_sort(F.transform(
+        firsts, lambda x: F.struct(x["at"].alias("at"), x["key"].alias("key")))).alias("_first"))
+    chosen = F.filter("_first", lambda x: ~F.array_contains("_out", x["key"]))
+    if limit is not None:
+        chosen = F.slice(chosen, 1, limit)
+    named = rows.select("page_id", F.posexplode(F.transform(chosen, lambda x: F.get("_links", x["at"]))).alias("n", "link")).select(
+        "page_id", (F.col("n") + 1).cast("long").alias("number"), "link.*")
+    return named if text_chars is None else named.withColumn("text", F.substring("text", 1, text_chars))
 
 
 def ingest_pages(pages: DataFrame, max_chars: int | None = None) -> DataFrame:

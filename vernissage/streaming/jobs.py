@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vernissage import vocab
 from vernissage.functions.dates import instant_to_utc, local_day, utc_to_instant
+from vernissage.operators.keyed import last_per_key
 from vernissage.plans import crawl, interactions, sync
 from vernissage.plans.costs import SUMMED
 
@@ -123,18 +124,15 @@ def merging(path: str, schema, merge: Callable[[DataFrame, DataFrame], dict[str,
     return apply
 
 
-def _latest(df: DataFrame, c: str):
-    return df.agg(F.max(c)).first()[0]
-
-
 def page_merge(table: DataFrame, batch: DataFrame, homes: DataFrame) -> dict[str, DataFrame]:
-    """Crawled pages (with fetched_at) into the page table; what changed goes to `changes`. A page
-    fetched twice in one batch counts once, as last fetched."""
-    from vernissage.operators.keyed import last_per_key
-
-    at = _latest(batch, "fetched_at")
-    pages = crawl.page_changes(table, last_per_key(batch, ["url"], ["fetched_at"]), homes)
-    merged = crawl.merge_pages(table, pages.drop("fetched_at"), at)
+    """Crawled pages (with fetched_at) into the page table; what changed goes to `changes`. Each page
+    keeps the time of its own newest fetch that got an answer, and an older fetch that comes late
+    changes nothing: the table does not depend on how fetches are cut into batches."""
+    held = table.select("url", F.col("fetched_at").alias("_held"))
+    newest = last_per_key(batch.filter("status <> 'unavailable'"), ["url"], ["fetched_at"]).join(held, "url", "left")
+    fresh = newest.filter("_held IS NULL OR fetched_at > _held").drop("_held")
+    pages = crawl.page_changes(table, fresh, homes)
+    merged = crawl.merge_pages(table, pages, None)
     return {"table": merged, "changes": pages.select("url", "venue_id", "status", "change", "broken")}
 
 
@@ -145,9 +143,11 @@ def fetched_pages(pages: DataFrame) -> DataFrame:
 
 
 def event_merge(table: DataFrame, batch: DataFrame, venues: DataFrame) -> dict[str, DataFrame]:
-    """Feed rows (with fetched_at) into the event table: first and last seen."""
+    """Feed rows (with fetched_at) into the event table: first and last seen. Each post is stamped with
+    its own fetches, and values come from its newest one, whatever batch that was in."""
     rows, _ = sync.event_rows(batch.withColumn("ord", F.struct("fetched_at", "ord")), venues)
-    return {"table": sync.merge_events(table, rows, _latest(batch, "fetched_at"))}
+    seen = batch.groupBy("source_event_id").agg(F.min("fetched_at").alias("first_seen_at"), F.max("fetched_at").alias("last_seen_at"))
+    return {"table": sync.merge_sightings(table, rows.join(seen, "source_event_id"))}
 
 
 def remember_merge(table: DataFrame, batch: DataFrame) -> dict[str, DataFrame]:
