@@ -261,12 +261,22 @@ def mark_pages(t):
 # --- markup --------------------------------------------------------------------------------------
 
 
-@query("page_text")
+# What a reader sees of the tables' markup, by regular expressions: no head, comments or tags; references decoded.
+_SEEN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(
+    regexp_replace(html, '(?s)<head>.*?</head>|<!--.*?-->|<[^>]*(>|$)', '', 'g'),
+    '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))"""
+
+
+@query("page_text", f"select page_id, {_SEEN} as text from pages")
 def page_text(t):
     return t["pages"].select("page_id", html.page_text(F.col("html")).alias("text"))
 
 
-@query("ingest_pages")
+@query("ingest_pages", f"""
+    with p as (select page_id, url, {_SEEN} as seen from pages),
+    w as (select *, case when seen = '' then 0 else len(string_split(seen, ' ')) end as n from p)
+    select page_id, url, case when n >= 50 then seen end as text, cast(n as bigint) as words,
+      case when n >= 50 then 'ok' else 'thin' end as status, case when n >= 50 then sha256(seen) end as content_hash from w""")
 def ingest_pages(t):
     return html.ingest_pages(t["pages"])
 

@@ -37,11 +37,6 @@ def distance_km(metres: Column) -> Column:
 
 # A degree of latitude is at least 110.5 km everywhere on the spheroid.
 _METRES_PER_DEGREE = 110_500.0
-CELL_DEGREES = 0.1
-
-
-def cell(degrees: Column) -> Column:
-    return F.floor(degrees / CELL_DEGREES).cast("long")
 
 
 def lat_reach(radius_m: Column) -> Column:

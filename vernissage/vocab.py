@@ -17,10 +17,8 @@ EXTRACT_STATUSES = ("ok", "failed")
 THIN_WORDS = 50
 BLOCKED_STATUSES = (401, 403)
 GONE_STATUSES = (404, 410)
-CHALLENGE_HEADER = "cf-mitigated"
 PAGE_TTL_DAYS = 7
 MAX_PAGES_PER_SITE = 8
-MAX_PAGE_TEXT_CHARS = 24_000
 
 # Links on a page.
 MAX_LINKS = 150
@@ -93,7 +91,6 @@ MAX_PLACE_CANDIDATES = 10
 # Search.
 SITE_TIMEZONE = "Europe/Madrid"
 MAX_SEARCH_ROWS = 100
-DEFAULT_SEARCH_ROWS = 40
 MAX_HYDRATE = 10
 
 # Extraction answers.
@@ -115,8 +112,6 @@ RATINGS = ("good", "bad")
 PROFILE_TOPICS = ("media", "themes", "area", "budget", "language", "access", "other")
 IDLE_HOURS = 6
 CACHE_MIN_TOKENS = 4096
-ANY_DAY_FROM = "1900-01-01"
-ANY_DAY_TO = "2999-12-31"
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
 # USD per million tokens: input, output, 5-minute cache write, 1-hour cache write, cache read.
