@@ -45,6 +45,7 @@ def answers(spark, tables):
     found = search.candidates(**tables)
     rows = search.search(accepted, found, tables["venues"]).orderBy("position").collect()
     totals = search.totals(search.matches(accepted, found, tables["venues"]), accepted).collect()
+    assert sorted(search.search_totals(accepted, found, tables["venues"]).collect()) == sorted(totals)
     return rows, {r.request_id: r for r in totals}
 
 

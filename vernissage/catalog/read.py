@@ -220,8 +220,7 @@ def search_many(t):
   select r.request_id, count(m.id) as total, least(count(m.id), 40) as returned, count(m.id) > 40 as truncated
   from v_requests r left join matched m on m.request_id = r.request_id group by 1""")
 def search_totals(t):
-    asked = requests(t)
-    counted = search.totals(search.matches(asked, materialize(candidates(t)), t["v_venues"]), asked)
+    counted = search.search_totals(requests(t), materialize(candidates(t)), t["v_venues"])
     return counted.withColumn("returned", F.col("returned").cast("long"))
 
 

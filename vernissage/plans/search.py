@@ -15,7 +15,7 @@ from vernissage import vocab
 from vernissage.functions.dates import local_day, local_time
 from vernissage.functions.geo import distance_km, distance_m
 from vernissage.functions.text import match_key
-from vernissage.operators.intervals import first_number, last_number, overlap_pairs, with_overlap
+from vernissage.operators.intervals import OPEN_FUTURE, first_number, last_number, overlap_pairs, with_overlap
 from vernissage.operators.nearby import within_radius
 from vernissage.operators.places import resolve_places
 
@@ -231,10 +231,103 @@ def _coarse() -> Column:
     return F.coalesce(F.round(F.col("distance_km") * 10).cast("int"), rest)
 
 
+# --- requests by day alone ------------------------------------------------------------------------
+
+# How far after its first day a request is looked for its first rows, in days; then all of time.
+_REACHES = tuple(2**n - 1 for n in range(15))
+
+
+def _upto(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(key, day, upto): for each asked (key, day), the sum of `counts` (key, day, n) up to that day. A
+    key has at most a row for each day of the calendar."""
+    line = counts.withColumn("asked", F.lit(0)).unionByName(
+        asked.distinct().select("key", "day", F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked")))
+    sums = F.sum("n").over(Window.partitionBy("key").orderBy("day"))
+    return line.withColumn("upto", sums).filter("asked = 1").select("key", "day", "upto")
+
+
+def _group_keys() -> Column:
+    """The groups an item is counted in: its kind and all kinds, all items and those not known to cost."""
+    both = F.array("kind", F.lit("*"))
+    free = F.when(F.coalesce("is_free", F.lit(True)), F.transform(both, lambda k: F.concat(k, F.lit("|free"))))
+    return F.concat(F.transform(both, lambda k: F.concat(k, F.lit("|all"))), F.coalesce(free, F.array().cast("array<string>")))
+
+
+def by_day(requests: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((request_id, total), matched pairs that can be among the first `rows`) for requests with no
+    point and no radius, which are ordered by day alone.
+
+    No pair is made to count: an item meets [from, to] unless it starts after `to` or ended before
+    `from`, and never both, so a total is a difference of running counts by day. The same counts bound
+    how many matches end by a day L (those that end in [from, L], less all that start in (to, L]), and
+    the least of a few doubling L that certainly holds `rows` of them bounds the join: its pairs grow
+    with the rows returned, not with requests times items."""
+    ask = requests.filter("lat IS NULL AND radius_km IS NULL").select(
+        "request_id", "rows", "date_from", "kinds", "free_only",
+        first_number(F.col("date_from")).alias("_from"), last_number(F.col("date_to")).alias("_to"))
+    slim = found.select("id", "kind", "is_free", "first_day", "last_day",
+                        first_number(F.col("first_day")).alias("_first"), last_number(F.col("last_day")).alias("_last"))
+    runs, odd = slim.filter("_first <= _last"), slim.filter("_first > _last")
+    counted = lambda c: runs.select(F.explode(_group_keys()).alias("key"), F.col(c).alias("day")).groupBy(
+        "key", "day").agg(F.count("*").alias("n"))
+    earliest = runs.agg(F.min("_last")).scalar()
+
+    suffix = F.when(F.coalesce("free_only", F.lit(False)), "|free").otherwise("|all")
+    kinds = F.coalesce(F.array_distinct("kinds"), F.array(F.lit("*")))
+    keyed = ask.withColumn("key", F.explode(F.transform(kinds, lambda k: F.concat(k, suffix))))
+    begin = F.greatest("_from", F.coalesce(earliest, F.lit(0)))
+    reach = F.array(*(begin + d for d in _REACHES), F.lit(OPEN_FUTURE))
+    at = keyed.select("request_id", "rows", "key", "_from", "_to", F.explode(reach).alias("_until"))
+    # Four looks at the running counts: ends before the request and by L, starts by `to` and by L.
+    looks = at.select("request_id", "rows", "_until", "key", F.explode(F.array(
+        F.struct(F.lit("last").alias("of"), (F.col("_from") - 1).alias("day"), F.lit(-1).alias("sign"), F.lit(-1).alias("whole")),
+        F.struct(F.lit("last").alias("of"), F.col("_until").alias("day"), F.lit(1).alias("sign"), F.lit(0).alias("whole")),
+        F.struct(F.lit("first").alias("of"), F.col("_to").alias("day"), F.lit(1).alias("sign"), F.lit(1).alias("whole")),
+        F.struct(F.lit("first").alias("of"), F.greatest("_until", "_to").alias("day"), F.lit(-1).alias("sign"), F.lit(0).alias("whole")),
+    )).alias("l")).select("request_id", "rows", "_until", "key", "l.*")
+    values = None
+    for of, column in (("first", "_first"), ("last", "_last")):
+        mine = looks.filter(F.col("of") == of)
+        got = mine.join(_upto(counted(column), mine.select("key", "day")), ["key", "day"])
+        values = got if values is None else values.unionByName(got)
+    by_reach = values.groupBy("request_id", "rows", "_until").agg(
+        F.sum(F.col("sign") * F.col("upto")).alias("least"), F.sum(F.col("whole") * F.col("upto")).alias("total"))
+    bounds = by_reach.groupBy("request_id").agg(
+        F.max("total").alias("total"),
+        F.coalesce(F.min(F.when(F.col("least") >= F.col("rows"), F.col("_until"))), F.lit(OPEN_FUTURE)).alias("_until"))
+
+    # A run matters by its last day here, so it joins as that one day.
+    window = ask.withColumn("_from", begin).join(bounds.select("request_id", "_until"), "request_id").withColumnRenamed(
+        "_to", "_end").withColumn("_to", F.col("_until"))
+    ends = runs.withColumnRenamed("_first", "_start").withColumn("_first", F.col("_last"))
+    near = overlap_pairs(window, ends).filter("_start <= _end")
+    rest = overlap_pairs(ask, odd)
+    wanted = F.col("kinds").isNull() | F.array_contains("kinds", F.col("kind"))
+    affordable = ~F.coalesce("free_only", F.lit(False)) | F.coalesce("is_free", F.lit(True))
+    columns = ["request_id", "id", "rows", "date_from", "first_day", "last_day"]
+    odds = rest.filter(wanted & affordable)
+    pairs = near.filter(wanted & affordable).select(*columns).unionByName(odds.select(*columns))
+    extra = odds.groupBy("request_id").agg(F.count("*").alias("odd"))
+    total = bounds.join(extra, "request_id", "left").select(
+        "request_id", (F.col("total") + F.coalesce("odd", F.lit(0))).alias("total"))
+    return total.filter("total > 0"), pairs
+
+
+def search_totals(requests: DataFrame, found: DataFrame, venues: DataFrame) -> DataFrame:
+    """`totals` of all requests, without making the pairs of those that are ordered by day alone."""
+    placed = requests.filter("lat IS NOT NULL OR radius_km IS NOT NULL")
+    counted = matches(placed, found, venues).groupBy("request_id").agg(F.count("*").alias("total"))
+    counted = counted.unionByName(by_day(requests, found)[0])
+    total = F.coalesce("total", F.lit(0).cast("long"))
+    return requests.select("request_id", "rows").join(counted, "request_id", "left").select(
+        "request_id", total.alias("total"), F.least(total, "rows").alias("returned"),
+        (total > F.col("rows")).alias("truncated"))
+
+
 def search(requests: DataFrame, found: DataFrame, venues: DataFrame) -> DataFrame:
     """The rows of each request in order: nearest first when it has a point, then the soonest to
     end, open-ended last. `total` counts what matched before the cut to `rows`."""
-    matched = matches(requests, found, venues).withColumn("coarse", _coarse())
+    matched = matches(requests.filter("lat IS NOT NULL OR radius_km IS NOT NULL"), found, venues).withColumn("coarse", _coarse())
     # First pass: how many rows stand at each step of the leading order column. That gives the total
     # and the last step that can be returned, so the second pass orders few rows and no others.
     steps = matched.groupBy("request_id", "rows", "coarse").agg(F.count("*").alias("n"))
@@ -242,12 +335,15 @@ def search(requests: DataFrame, found: DataFrame, venues: DataFrame) -> DataFram
     counted = steps.withColumn("upto", F.sum("n").over(upto)).groupBy("request_id").agg(
         F.sum("n").alias("total"),
         F.coalesce(F.min(F.when(F.col("upto") >= F.col("rows"), F.col("coarse"))), F.max("coarse")).alias("last_step"))
+    totals_by_day, pairs = by_day(requests, found)
+    columns = ["request_id", "rows", "total", "id", "date_from", "first_day", "last_day", "distance_km"]
+    first = matched.join(counted, "request_id").filter("coarse <= last_step").select(*columns).unionByName(
+        pairs.join(totals_by_day, "request_id").withColumn("distance_km", F.lit(None).cast("double")).select(*columns))
     order = Window.partitionBy("request_id").orderBy(
         F.col("distance_km").asc_nulls_last(), F.col("last_day").asc_nulls_last(),
         F.col("first_day").asc_nulls_first(), "id")
     top = (
-        matched.join(counted, "request_id").filter("coarse <= last_step")
-        .withColumn("position", F.row_number().over(order))
+        first.withColumn("position", F.row_number().over(order))
         .filter(F.col("position") <= F.col("rows"))
         .select("request_id", "position", "total", "id", "date_from", "distance_km")
     )
