@@ -38,9 +38,9 @@ SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
 COSTLY = 64
 DESIGNATED = 0
-BAND_RATIO = 1.25
+BAND_RATIO = 1.8
 BITMAP_WORDS = 16
-PASSES = 3
+PASSES = 4
 
 
 def shingle_sets(texts: T.Texts, n_words: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -45,6 +46,7 @@ class Store:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.clean()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def get(self, name: str, schema: str) -> DataFrame:
@@ -56,7 +58,12 @@ class Store:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of plans that are gone
+        self.clean()
+
+    def clean(self) -> None:
+        """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
