@@ -4,11 +4,12 @@ The universe of shingles is cut into segments by hash. Two sets whose symmetric
 cannot differ in every one of H+1 segments, so they agree on at least one; a segment looked up with its
 one-deletion neighbourhood (the segment, and the segment without each one element) tolerates one
 difference and so counts twice. Sets of similar size share a band, and H and the number of segments
-follow from the band. One segment per band (`DESIGNATED`) is indexed with its neighbourhood, the
-others as they are: that is one unit more than H+1, so every set may leave out its one costliest
-segment. A segment is costly when more than `COSTLY` sets hold the same one - an empty segment, or
-shared boiler-plate; a set with more costly segments than it may leave out keeps all of them, which
-loses no pair, since of two equal segments both or neither are costly.
+follow from the band. A few segments of each band (`Bands.room`) are indexed with their neighbourhood,
+the others as they are: those few are as many units more than H+1, which a set may do without. A key is
+costly when more than `COSTLY` sets hold it - an empty segment, or shared boiler-plate. A set whose
+costly keys are worth no more than it may do without (one for a segment, two for one with a
+neighbourhood) leaves them out, any other keeps all; that loses no pair, since a key that two sets share
+is costly for both or for neither.
 
 Candidates are verified on the whole sets. Only links that can change a component are verified: equal
 sets are one class from the start; in each list of classes with an equal segment, all are compared with
@@ -36,8 +37,7 @@ from vernissage.llm.store import Store
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
-COSTLY = 64
-DESIGNATED = 0
+COSTLY = 8
 BAND_RATIO = 1.8
 BITMAP_WORDS = 16
 PASSES = 4
@@ -81,6 +81,11 @@ class Bands:
         p = self.percent
         return int(2 * int(self.uppers[band]) * (100 - p) // (100 + p))
 
+    def room(self, band: int) -> int:
+        """How many segments of the band's differ(band) + 1 are indexed with their neighbourhood. A
+        fiftieth of the segments of five elements is empty or nearly so, and thus costly."""
+        return 1 + (self.differ(band) + 1) // 40
+
     def tags(self, size: int) -> list[int]:
         """A set's own band, and the next ones in which a linked larger set can lie."""
         own = int(self.of(np.array([size]))[0])
@@ -89,8 +94,8 @@ class Bands:
 
 
 def signatures(values: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, kind) of one set (sorted distinct uint64). Kind 0: an exact segment, which may be left
-    out if costly; kind 1: of the designated segment or its neighbourhood."""
+    """(keys, codes) of one set (sorted distinct uint64). A code is twice the tag, plus one for keys of
+    a segment with its neighbourhood."""
     keys, kinds = [], []
     for tag in bands.tags(len(values)):
         h = bands.differ(tag)
@@ -104,14 +109,15 @@ def signatures(values: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray
         np.add.at(sums, segment, T.mix(element))
         where = T.mix(np.arange(m, dtype=T.U) * T.U(0x2545F4914F6CDD1D) ^ salt)
         exact = T.mix(sums ^ where)
+        room = bands.room(tag)
         keys.append(exact)
-        kinds.append((np.arange(m) == DESIGNATED).astype(np.int8))
-        own = T.mix(element[segment == DESIGNATED])
-        if len(own):
-            keys.append(T.mix((sums[DESIGNATED] - own) ^ where[DESIGNATED]))
-            kinds.append(np.ones(len(own), dtype=np.int8))
+        kinds.append((2 * tag + (np.arange(m) < room)).astype(np.int16))
+        own = segment < room
+        if own.any():
+            keys.append(T.mix((sums[segment[own]] - T.mix(element[own])) ^ where[segment[own]]))
+            kinds.append(np.full(int(own.sum()), 2 * tag + 1, dtype=np.int16))
     if not keys:
-        return np.empty(0, T.U), np.empty(0, np.int8)
+        return np.empty(0, T.U), np.empty(0, np.int16)
     return np.concatenate(keys), np.concatenate(kinds)
 
 
@@ -137,7 +143,7 @@ def _set_table(docs: DataFrame, n_words: int) -> DataFrame:
 
 
 def _signature_rows(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """(cls, key, kind, droppable): one row for each signature of each representative document."""
+    """(cls, key, code): one row for each signature of each representative document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
@@ -150,9 +156,9 @@ def _signature_rows(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
                     pa.array(np.repeat(ids[part.at : part.at + len(part)], lengths), pa.int64()),
                     pa.array(T.longs(np.concatenate([k for k, _ in made]))) if made else pa.array([], pa.int64()),
                     pa.array(np.concatenate([k for _, k in made])),
-                ], names=["cls", "key", "kind"])
+                ], names=["cls", "key", "code"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "cls long, key long, kind byte")
+    return docs.select("doc_id", "text").mapInArrow(run, "cls long, key long, code short")
 
 
 def _whole_sets(docs: DataFrame, n_words: int) -> DataFrame:
@@ -233,12 +239,14 @@ def jaccard_components(
         dealt = rows.filter(F.pmod("key", F.lit(PASSES)) == k).repartition("key")
         shared = dealt.groupBy("key").agg(F.count("*").alias("freq")).filter("freq > 1")
         store.put(dealt.join(shared, "key"), f"met/pass={k}")
-    met = store.get("met", "cls long, key long, kind byte, freq long")
+    met = store.get("met", "cls long, key long, code short, freq long")
     store.drop("signatures")
-    # A set leaves out its costly exact segments if it has one at most.
-    heavy = met.filter(f"kind = 0 AND freq > {costly}")
-    one = heavy.groupBy("cls").agg(F.count("*").alias("n")).filter("n = 1").select("cls")
-    skipped = heavy.join(one, "cls").select("cls", "key")
+    bands = Bands(percent)
+    room = F.array(*(F.lit(bands.room(b)) for b in range(len(bands.uppers))))
+    heavy = met.filter(f"freq > {costly}").withColumn("tag", F.expr("code div 2").cast("int"))
+    light = heavy.groupBy("cls", "tag").agg(F.sum(1 + F.col("code") % 2).alias("worth")).filter(
+        F.col("worth") <= F.get(room, F.col("tag"))).select("cls", "tag")
+    skipped = heavy.join(light, ["cls", "tag"]).select("cls", "key")
     lists = met.join(skipped, ["cls", "key"], "left_anti").select("cls", "key", "freq").distinct()
     popular = lists.groupBy("cls").agg(F.sum("freq").alias("pop"))
     lists = store.put(lists.join(popular, "cls").select("cls", "key", "pop"), "lists")
