@@ -212,7 +212,9 @@ def _verify(pairs: DataFrame, reps: DataFrame, n_words: int, percent: int, store
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
     near = F.expr(f"least(na, nb) * 100 >= {percent} * greatest(na, nb)")
-    both = pairs.join(left, "a").join(right, "b").filter(near)
+    # Members bring their sets to the hub, not the hub's to each member.
+    left = left.join(pairs.select("a").distinct(), "a", "left_semi")
+    both = pairs.join(right, "b").join(left, "a").filter(near)
     common = F.size(F.array_intersect("ia", "ib")).cast("long")
     linked = both.withColumn("common", common).filter(
         f"common * 100 >= {percent} * (na + nb - common)").select("a", "b")
