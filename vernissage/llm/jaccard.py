@@ -178,17 +178,22 @@ def _whole_sets(docs: DataFrame, n_words: int) -> DataFrame:
 
 
 def _bitmaps(docs: DataFrame, n_words: int) -> DataFrame:
+    """(cls, n, bits): each set's parity bitmap of at least 0.7 bits an element, a power of two in size,
+    so that of unrelated sets differs in more bits than linked sets can differ in elements."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch.column(1), 1 << 20):
                 values, first = shingle_sets(part, n_words)
-                bit = (T.mix(values ^ T.U(0xA0761D6478BD642F)) % T.U(64 * BITMAP_WORDS)).astype(np.int64)
-                row = np.repeat(np.arange(len(part)), np.diff(first))
-                count = np.bincount(row * 64 * BITMAP_WORDS + bit, minlength=len(part) * 64 * BITMAP_WORDS)
-                packed = np.packbits((count & 1).astype(np.uint8)).view(np.int64)
+                place, packed = T.mix(values ^ T.U(0xA0761D6478BD642F)), []
+                for a, b in zip(first[:-1], first[1:], strict=True):
+                    size = 64 * BITMAP_WORDS
+                    while size < 0.7 * (b - a):
+                        size *= 2
+                    count = np.bincount((place[a:b] % T.U(size)).astype(np.int64), minlength=size)
+                    packed.append(np.packbits((count & 1).astype(np.uint8)).view(np.int64))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0)[part.at : part.at + len(part)], pa.array(np.diff(first), pa.int64()),
-                    T.lists(packed, np.full(len(part), BITMAP_WORDS)),
+                    T.lists(np.concatenate(packed), np.array([len(x) for x in packed])),
                 ], names=["cls", "n", "bits"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "cls long, n long, bits array<long>")
@@ -198,10 +203,16 @@ def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """The pairs whose parity bitmaps, a lower bound of what two sets differ in, do not rule them out."""
     left = bits.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     right = bits.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    off = " + ".join(f"bit_count(ba[{i}] ^ bb[{i}])" for i in range(BITMAP_WORDS))
-    return pairs.join(left, "a").join(right, "b").filter(
-        f"least(na, nb) * 100 >= {percent} * greatest(na, nb) "
-        f"AND ({off}) * {100 + percent} <= {100 - percent} * (na + nb)").select("a", "b")
+    # Sizes of a pair are within percent of each other, so one bitmap is at most a few halvings longer:
+    # the two halves of a bitmap, one over the other, are the bitmap of half the size.
+    near = pairs.join(left, "a").join(right, "b").filter(f"least(na, nb) * 100 >= {percent} * greatest(na, nb)")
+    for _ in range(1 + 100 // percent):
+        for own, other in (("ba", "bb"), ("bb", "ba")):
+            near = near.withColumn(own, F.expr(
+                f"CASE WHEN size({own}) > size({other}) THEN zip_with(slice({own}, 1, size({own}) div 2), "
+                f"slice({own}, size({own}) div 2 + 1, size({own}) div 2), (x, y) -> x ^ y) ELSE {own} END"))
+    off = "aggregate(zip_with(ba, bb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    return near.filter(f"size(ba) <> size(bb) OR {off} * {100 + percent} <= {100 - percent} * (na + nb)").select("a", "b")
 
 
 def _verify(pairs: DataFrame, reps: DataFrame, n_words: int, percent: int, store: Store, name: str) -> DataFrame:
