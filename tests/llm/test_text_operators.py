@@ -292,3 +292,43 @@ def test_word_hashes_do_not_depend_on_where_words_lie():
     one = next(T.slices(pa.array(["Alpha beta", None, "beta\nALPHA gamma"])))
     w = T.words(one)
     assert w.first.tolist() == [0, 2, 2, 5] and w.hash[0] == w.hash[3] and w.hash[1] == w.hash[2] and w.hash[4] not in w.hash[:4]
+
+
+def test_passages_beyond_the_first_hubs(corpus):
+    """The first two texts hold only part of what others share, or hold its lines apart."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    noise = lambda n: [word() for _ in range(n)]
+    whole = noise(60)
+    rows = [(i, " ".join([*noise(30), *whole[:40], *noise(30)])) for i in (1, 2, 3)]
+    rows += [(i, " ".join([*noise(30), *whole, *noise(30)])) for i in (4, 5)]
+    lines = [noise(12) for _ in range(5)]
+    for i in (11, 12, 13):
+        rows.append((i, " ".join(w for x in rng.sample(lines, 5) for w in [*x, *noise(40)])))
+    rows += [(i, " ".join([*noise(30), *(w for x in lines for w in x), *noise(30)])) for i in (14, 15)]
+    got = {r.doc_id: r for r in chaining.fuzzy_passages(corpus(rows).coalesce(1)).collect()}
+    assert [got[i].n_spans for i in (1, 2, 3, 11, 12, 13)] == [0] * 6
+    for a, b in ((4, 5), (14, 15)):
+        assert got[a].class_id == got[b].class_id == a
+        assert all([tuple(s) for s in got[i].spans] == [(30, 90)] for i in (a, b))
+
+
+def test_changed_passages_share_seeds(corpus):
+    """Short passages with one word in eight changed, at random places."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for i in range(0, 120, 2):
+        passage = [word() for _ in range(60)]
+        for k in (0, 1):
+            own = [word() if k and 0 < j < 59 and rng.random() < 0.12 else w for j, w in enumerate(passage)]
+            rows.append((i + k, " ".join([*(word() for _ in range(60)), *own, *(word() for _ in range(60))])))
+    text = dict(rows)
+    got = {r.doc_id: r for r in chaining.fuzzy_passages(corpus(rows)).collect()}
+    found = 0
+    for i in range(0, 120, 2):
+        a, b = (words(text[j])[60:120] for j in (i, i + 1))
+        if chaining.passages(np.array([x == y for x, y in zip(a, b, strict=True)]), 50, 0.8):
+            assert got[i + 1].class_id == i and got[i].n_dup_words >= 50
+            found += 1
+    assert found > 20
