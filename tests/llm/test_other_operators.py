@@ -91,3 +91,25 @@ def test_pipeline_stages(spark):
     assert decontaminate.contaminated(docs, read(spark, SF, "benchmark")).count() == 0
     last = cp.STAGES[-1][1](spark, docs, SF)
     assert last.count() == len(kept[3]) and last.filter("taken > 2 * size").count() == 0
+
+
+def test_names_that_hold_the_page(spark):
+    def main(body):
+        found, any_main = extract.blocks(body)
+        return "\n".join(t for t, dropped, inside in found if not dropped and (inside or not any_main))
+
+    for name in ("class='layout has-sidebar'", "id='page-with-menu'", "class='widget'"):
+        for tag in ("article", "main"):
+            assert main(f"<div {name}><div class='menu'>Home</div><{tag}><p>The text</p></{tag}></div>") == "The text"
+    for head in ("<div class='article-header'><h1>Title</h1></div>", "<header class='entry-header'><h1>Title</h1></header>"):
+        assert main(f"<article>{head}<p>Text</p></article>") == "Title\nText"
+    assert main("<article><div class='related-work'>One</div><div class='social-policy'>Two</div><div class='related-posts'>No</div><div class='social'>No</div></article>") == "One\nTwo"
+    assert main("<div class='sidebar'><article>Teaser</article></div><main><p>Text</p><div id='comments'><article>First</article></div></main>") == "Text"
+    assert main("<nav><article>Link</article></nav><div>Text</div>") == "Text"
+    story = "<body><div><p>One story that stands at two addresses of its host and nowhere else</p></div>"
+    shell = "<div>Home about us contact our team the jobs press and more</div>"
+    pages = [(1, "http://c.org/a", story), (2, "http://c.org/a?print=1", story.replace("<div>", "<div data-at='2'>")),
+             (3, "http://d.org/1", shell + "<p>One</p>"), (4, "http://d.org/2", shell + "<p>Two</p>")]
+    got = {r.page_id: r.text for r in extract.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] == "One story that stands at two addresses of its host and nowhere else"
+    assert got[3] == "One" and got[4] == "Two"

@@ -3,11 +3,14 @@
 Pages are cut into blocks at block-level tags. What a block is by its markup is settled where markup
 says so: scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts and comments (by
 tag, or by a word of class, id or role) are not content; inside <article> or <main>, everything else is.
+A word of a class or id says nothing after "has", "with" or "no", nor "header" inside an article, nor of a
+block around <main>, nor of one around <article> on a page whose other markup names no content.
 The blocks that are left - all of a page without such an element, or those beside it - are decided by
 their host: the token streams of its pages are concatenated, with a gap between blocks, in parts of about
 `PART_PAGES` pages; in each part's suffix array, neighbours with a common prefix of `RUN` tokens give the
 distinct runs and on how many pages they lie; these counts are summed over the parts. A block is
-boilerplate if at least `COVERED` of its tokens lie in runs that two pages or more of the host hold; the
+boilerplate if at least `COVERED` of its tokens lie in runs that two pages or more of the host hold, pages
+of the same words at several addresses being one; the
 unique ones stay, if their page has no <article> or <main>.
 
 Repeated runs alone would be wrong both ways: adverts and menus that only one page has would stay, and
@@ -47,6 +50,12 @@ HINTS = frozenset(
     "ad ads advert advertisement adverts advertising banner sponsor sponsored promo cookie cookies consent gdpr notice popup modal "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs header footer comment comments reply replies disqus share sharing "
     "social related newsletter subscribe subscription widget toolbar pagination login signup".split())
+UNLESS = frozenset("has with no without".split())
+# "related-work" and "social-policy" name sections: these hints need a second word of this kind, or none.
+SOFT = frozenset("related social".split())
+WITH_SOFT = HINTS | frozenset(
+    "article articles bar block box button buttons container content contents entries entry icon icons item items link links list "
+    "media news page pages post posts reading section stories story topic topics wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
@@ -55,21 +64,42 @@ _SPLIT = re.compile(r"[\s_]+|(?<=[a-z])(?=[A-Z])|-")
 _END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
 
-def _hinted(attributes: str) -> bool:
+def _hinted(attributes: str, in_main: bool) -> str:
+    """Which of "role" and "name" (a word of class or id) says that the block is no content, or neither."""
+    found = ""
     if "=" not in attributes:
-        return False
+        return found
     for name, *values in _ATTRIBUTE.findall(attributes):
-        words = {w.lower() for w in _SPLIT.split("".join(values)) if w}
-        if words & (ROLES if name.lower() == "role" else HINTS):
-            return True
-    return False
+        for part in "".join(values).split():
+            words = [w.lower() for w in _SPLIT.split(part) if w]
+            if name.lower() == "role":
+                if ROLES.intersection(words):
+                    return "role"
+                continue
+            until = next((i for i, w in enumerate(words) if w in UNLESS), len(words))
+            hints = {w for w in words[:until] if w in HINTS and not (in_main and w == "header")}
+            if hints - SOFT or hints and WITH_SOFT.issuperset(words):
+                found = "name"
+    return found
 
 
 def blocks(source: str) -> tuple[list[tuple[str, bool, bool]], bool]:
     """([(text, dropped by mark-up, inside the main element)], whether there is a main element)."""
+    out, any_main, around_main, around_article = _blocks(source, frozenset())
+    if around_main:
+        out, any_main, _, around_article = _blocks(source, around_main)
+    if around_article and not any_main:
+        out, any_main, _, _ = _blocks(source, around_main | around_article)
+    return out, any_main
+
+
+def _blocks(source: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool, bool]], bool, frozenset[int], frozenset[int]]:
+    """The blocks, and where those begin that nothing but a class or id drops although they hold <main>, or
+    <article>; `spared` are such beginnings that do not count."""
+    around: dict[str, set[int]] = {name: set() for name in MAIN}
     out: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, drops, is main
+    stack: list[tuple[str, bool, bool, int]] = []  # name, drops, is main, where it begins if but a class or id drops it
     drops = mains = 0
     any_main = False
     at = 0
@@ -84,7 +114,7 @@ def blocks(source: str) -> tuple[list[tuple[str, bool, bool]], bool]:
     def pop(to: int) -> None:
         nonlocal drops, mains
         while len(stack) > to:
-            _, d, m = stack.pop()
+            _, d, m, _ = stack.pop()
             drops -= d
             mains -= m
 
@@ -130,12 +160,18 @@ def blocks(source: str) -> tuple[list[tuple[str, bool, bool]], bool]:
         if name in VOID or tag[3].endswith("/"):
             continue
         main = name in MAIN and drops == 0
-        dropped = name in DROPPED or (name == "header" and mains == 0) or (not main and name not in ("html", "body") and _hinted(tag[3]))
+        if name in MAIN and not main and mains == 0:
+            over = [begin for _, d, _, begin in stack if d]
+            if min(over) >= 0:
+                around[name].update(over)
+        certain = name in DROPPED or (name == "header" and mains == 0)
+        hint = "" if main or certain or name in ("html", "body") or tag.start() in spared else _hinted(tag[3], mains > 0)
+        dropped = certain or hint != ""
         any_main |= main
         drops, mains = drops + dropped, mains + main
-        stack.append((name, dropped, main))
+        stack.append((name, dropped, main, tag.start() if hint == "name" else -1))
     flush()
-    return out, any_main
+    return out, any_main, frozenset(around["main"]), frozenset(around["article"])
 
 
 def _open(source: str | None) -> tuple[list[tuple[str, bool, bool]], bool, list[int]]:
@@ -211,7 +247,9 @@ def main_texts(pages: DataFrame, *, run: int = RUN, covered: float = COVERED, pa
         stream, "key long, host string, undecided boolean, sizes array<int>, tokens array<long>")
     streams = store.put(streams.dropDuplicates(["key"]), "streams")
     parts = streams.groupBy("host").agg(F.ceil(F.count("*") / part_pages).cast("int").alias("parts"))
-    dealt = streams.join(parts, "host").withColumn("part", F.pmod("key", "parts").cast("int"))
+    # A page at several addresses is one page: those of equal words are counted once.
+    alike = streams.withColumn("content", F.xxhash64("undecided", "sizes", "tokens")).dropDuplicates(["host", "content"])
+    dealt = alike.join(parts, "host").withColumn("part", F.pmod("key", "parts").cast("int"))
 
     def array_of(batch: pa.Table) -> tuple[list[list[np.ndarray]], np.ndarray]:
         out = []
