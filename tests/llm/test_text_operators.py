@@ -332,3 +332,16 @@ def test_changed_passages_share_seeds(corpus):
             assert got[i + 1].class_id == i and got[i].n_dup_words >= 50
             found += 1
     assert found > 20
+
+
+def test_unlearned_language_and_junk_are_rejected(spark):
+    rng = random.Random(14)
+    kinds = {"aa": "salo mira tolo rani", "bb": "grunt strok blimp kraft", "cc": "hjem fjeld bygd skov", "dd": "pecu nixe duve quae"}
+    text = lambda own: " ".join(rng.choice(own) for _ in range(rng.randint(5, 40)))
+    rows = [(i, text(kinds[x].split()), x) for i, x in enumerate(list(kinds) * 100)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    junk = [(1000 + i, text(["wyzhek", "zhuwyk", "khezwu", "uzkhyw"])) for i in range(50)]
+    junk += [(2000 + i, "".join(rng.choice("bcdfghjklmnpqrstvwxz 019") for _ in range(200))) for i in range(50)]
+    got = {r.doc_id: r.rejected for r in langid.predict(spark.createDataFrame([r[:2] for r in rows] + junk, "doc_id long, text string"), model).collect()}
+    assert sum(not got[i] for i, _, _ in rows) >= 0.98 * len(rows)
+    assert sum(got[i] for i, _ in junk[:50]) >= 45 and sum(got[i] for i, _ in junk[50:]) >= 45

@@ -5,7 +5,8 @@ is no letter read as a space), each hashed to one of `BUCKETS` rows. Embeddings
 together by stochastic gradient descent in numpy, on a bounded sample of labelled rows (`per_language`
 of each language, by hash; their whole texts). A fifth of the sample is held back: it sets the
 temperature, and the score below which a prediction is rejected - the `REJECT_SHARE` quantile of the
-scores of right predictions, at most `REJECT_MOST` times the probability of a blind guess. Since averaging and softmax weights are both linear,
+scores of right predictions, and nothing else. With one language every score is 1, so none of its texts is
+rejected. Since averaging and softmax weights are both linear,
 scoring needs one table of language scores per bucket and no multiplication per subword.
 
 Defined cases: a null text, and one without a letter, is `und` with score 0 and rejected; without any
@@ -31,7 +32,6 @@ PER_LANGUAGE = 1000
 EPOCHS = 8
 RATE = 3.0
 REJECT_SHARE = 0.001
-REJECT_MOST = 1.2  # times the probability of a blind guess
 UNKNOWN = "und"
 _CLASS = np.full(256, 32, dtype=np.uint8)
 _CLASS[97:123] = np.arange(97, 123)
@@ -190,7 +190,7 @@ def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, seed: int =
     temperature = min(np.geomspace(0.1, 10, 41), key=loss) if len(own) else 1.0
     odds = calibrated(temperature) if len(own) else np.ones((1, 1))
     right = odds.max(axis=1)[odds.argmax(axis=1) == own] if len(own) else np.ones(1)
-    threshold = min(REJECT_MOST / k, float(np.quantile(right, REJECT_SHARE))) if len(right) else 0.0
+    threshold = float(np.quantile(right, REJECT_SHARE)) if len(right) else 0.0
     padded = np.zeros((k, BUCKETS + 1), dtype=np.float32)
     padded[:, :-1] = table.T
     return Model(languages, padded, bias.astype(float), float(temperature), threshold)
