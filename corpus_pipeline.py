@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vernissage.llm.decontaminate import contaminated
@@ -26,11 +26,29 @@ def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return found.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def _row_key() -> Column:
+    """One number for all rows that are equal, null or repeated ids included."""
+    columns = [F.col(c) for c in ("doc_id", "text", "lang", "source")]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8) stays: the one
-    with the smallest id; of rows with that id, all that are in no group with a smaller one."""
-    groups = jaccard_components(docs).filter("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").select(*COLUMNS)
+    with the smallest id, null last; of equal ids the least hash of the text; of equal rows one. Texts without
+    a word are in no group: all their rows stay."""
+    store = Store(spark)
+    keyed = docs.withColumn("key", _row_key())
+    rows = jaccard_components(keyed.select(F.col("key").alias("doc_id"), "text"))
+    keys = rows.groupBy(F.col("doc_id").alias("key")).agg(
+        F.first("n_shingles").alias("n_shingles"), F.first("component_id").alias("component"), F.count("*").alias("copies"))
+    named = keys.join(keyed.select("key", "doc_id", F.xxhash64("text").alias("hash")).distinct(), "key")
+    best = named.filter("n_shingles > 0").groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "key", "copies")).alias("best"))
+    kept = best.select("best.key", "best.copies").union(named.filter("n_shingles = 0").select("key", F.lit(1).cast("long")))
+    kept = store.put(kept, "kept")
+    out = keyed.join(kept.filter("copies = 1"), "key", "left_semi")
+    once = keyed.join(kept.filter("copies > 1"), "key", "left_semi").dropDuplicates(["key"])
+    return out.union(once).select(*COLUMNS)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -42,8 +60,9 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, folder: str) -> Da
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents go that hold half or more of a benchmark item's words."""
-    bad = contaminated(docs, read(spark, folder, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.withColumn("key", _row_key())
+    bad = contaminated(keyed.select(F.col("key").alias("doc_id"), "text"), read(spark, folder, "benchmark"))
+    return keyed.join(bad.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

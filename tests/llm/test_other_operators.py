@@ -113,3 +113,18 @@ def test_names_that_hold_the_page(spark):
     got = {r.page_id: r.text for r in extract.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got[1] == got[2] == "One story that stands at two addresses of its host and nowhere else"
     assert got[3] == "One" and got[4] == "Two"
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, "only here and of no id at all"), (None, long), (5, long + " end"), (5, long + " end"), (5, "another text of the same id is here"),
+            (3, long), (7, "twice the very same row and text"), (7, "twice the very same row and text"), (None, ""), (None, None), (9, None),
+            (None, "two rows of no id are equal"), (None, "two rows of no id are equal"), (3, long + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, "").collect()), key=str)
+    group = [t for i, t in got if t and t.startswith("w0")]
+    assert len(group) == 1 and (3, group[0]) in got
+    assert sorted((x for x in got if x[1] not in group), key=str) == sorted(
+        [rows[0], rows[4], rows[6], rows[8], rows[9], rows[10], rows[11]], key=str)
