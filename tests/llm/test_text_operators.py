@@ -345,3 +345,13 @@ def test_unlearned_language_and_junk_are_rejected(spark):
     got = {r.doc_id: r.rejected for r in langid.predict(spark.createDataFrame([r[:2] for r in rows] + junk, "doc_id long, text string"), model).collect()}
     assert sum(not got[i] for i, _, _ in rows) >= 0.98 * len(rows)
     assert sum(got[i] for i, _ in junk[:50]) >= 45 and sum(got[i] for i, _ in junk[50:]) >= 45
+
+
+def test_both_ways_judge_items_that_repeat_themselves(spark, corpus):
+    again, own = " ".join(["a b c d e"] * 20), " ".join(f"own{i}" for i in range(60))
+    tests = spark.createDataFrame([(1, f"{again} {own}"), (1, "another item of the same id"), (None, "f g h i j k"), (2, "f g h i j k"), (2, "f g h i j k")],
+                                  "item_id long, text string")
+    rows = [(1, again), (None, again), (None, "f g h i j k"), (3, "f g h i j k"), (3, "f g h i j k"), (3, "nothing of the kind is here")]
+    got = [sorted((tuple(r) for r in decontaminate.contaminated(corpus(rows), tests, most_seeds=m).collect()), key=str) for m in (10**6, 0)]
+    assert got[0] == got[1]
+    assert [r[:2] + r[3:4] for r in got[0]].count((None, 1, 100)) == 1 and len(got[0]) == 2 + 3 * 3

@@ -167,14 +167,20 @@ def _broadcast(docs: DataFrame, items: DataFrame, min_match: int, coverage: floa
 
 
 def _shuffled(docs: DataFrame, items: DataFrame, min_match: int, coverage: float, store: Store) -> DataFrame:
+    # Equal rows have one key, whatever their ids; each of them gets the rows of its key at the end.
+    docs = docs.withColumn("doc_key", F.xxhash64("doc_id", "text"))
+    items = items.withColumn("item_key", F.xxhash64("item_id", "text"))
+
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            keys = batch.column(0)
             for part in T.slices(batch.column(1)):
-                value, text, _ = T.grams(T.words(part, alnum=True), min_match)
-                pair = np.unique(np.stack([text.astype(np.int64), T.longs(value)]), axis=1)
+                w = T.words(part, alnum=True)
+                value, text, _ = T.grams(w, min_match)
+                pair, places = np.unique(np.stack([text.astype(np.int64), T.longs(value)]), axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(pair[0] + part.at)), pa.array(pair[1])], names=["id", "seed"])
+                    [keys.take(pa.array(pair[0] + part.at)), pa.array(pair[1]), pa.array(places.astype(np.int64)),
+                     pa.array(np.diff(w.first)[pair[0]].astype(np.int64))], names=["key", "seed", "places", "n_words"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,13 +190,14 @@ def _shuffled(docs: DataFrame, items: DataFrame, min_match: int, coverage: float
                 yield _result(_judged(doc_ids[i].as_py(), item_ids[i].as_py(), T.words(one, alnum=True).hash,
                                       T.words(two, alnum=True).hash, min_match, coverage))
 
-    of_items = store.put(items.mapInArrow(seeds, "id long, seed long"), "item-seeds")
+    kind = "key long, seed long, places long, n_words long"
+    of_items = store.put(items.select("item_key", "text").distinct().mapInArrow(seeds, kind).withColumnRenamed("key", "item_key"), "item-seeds")
     known = of_items.select("seed").distinct()
-    of_docs = docs.mapInArrow(seeds, "id long, seed long").join(known, "seed", "left_semi")
-    pairs = of_docs.withColumnRenamed("id", "doc_id").join(
-        of_items.withColumnRenamed("id", "item_id"), "seed").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
-    words = items.select("item_id", F.col("text").alias("test"))
-    # Each of n seeds covers at most min_match words, each next one at least one more.
-    sized = of_items.groupBy(F.col("id").alias("item_id")).agg(F.count("*").alias("seeds"))
-    enough = pairs.join(sized, "item_id").filter(f"n * {min_match} >= {coverage} * seeds").select("doc_id", "item_id")
-    return docs.join(enough, "doc_id").join(words, "item_id").select("doc_id", "text", "item_id", "test").mapInArrow(judge, SCHEMA)
+    of_docs = docs.select("doc_key", "text").mapInArrow(seeds, kind).select(F.col("key").alias("doc_key"), "seed")
+    of_docs = of_docs.join(known, "seed", "left_semi").distinct()
+    # Each place of a shared seed covers at most min_match words of the item.
+    enough = of_docs.join(of_items, "seed").groupBy("doc_key", "item_key").agg(
+        F.sum("places").alias("places"), F.first("n_words").alias("n_words")).filter(
+        f"places * {min_match} >= {coverage} * n_words").select("doc_key", "item_key")
+    words = items.select("item_key", "item_id", F.col("text").alias("test"))
+    return docs.join(enough, "doc_key").join(words, "item_key").select("doc_id", "text", "item_id", "test").mapInArrow(judge, SCHEMA)
