@@ -44,6 +44,7 @@ DEPTHS = (3, 5, 8, 12, 20, 32, 64, 128)
 CROWD = 64
 NEAR = 4
 DEVIATIONS = 5
+MOST_SENT = 1 << 20
 
 
 def _factors() -> np.ndarray:
@@ -181,7 +182,7 @@ def _neighbours(paths: DataFrame, near: int, store: Store) -> DataFrame:
     return found.filter("a IS NOT NULL").select("a", "b").union(met.filter("b IS NOT NULL"))
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The pairs whose signatures agree in as many values as linked sets do, less DEVIATIONS standard
     deviations (one linked pair in some millions has fewer)."""
     share = percent / 100
@@ -193,13 +194,13 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 same = (_matrix(batch.column(2)) == _matrix(batch.column(3))).sum(axis=1)
                 yield batch.filter(pa.array(same >= least)).select(["a", "b"])
 
-    left = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
-    right = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
+    left = members.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
+    right = members.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
     near = pairs.join(left, "a").join(right, "b").filter(f"least(na, nb) * 100 >= {percent} * greatest(na, nb)")
     return near.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n_words: int, percent: int, store: Store, name: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, members: DataFrame, n_words: int, percent: int, store: Store, name: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,8 +210,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n_words: i
                     [batch.column(0)[part.at : part.at + len(part)], T.lists(T.longs(values), np.diff(first))], names=["cls", "items"])
 
     ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = store.put(classes.select("cls", "key").join(ends, "cls", "left_semi"), f"{name}-ends")
-    texts = docs.select("key", "text").join(wanted, "key").select("cls", "text")
+    wanted = store.put(members.select("cls", "key").join(ends, "cls", "left_semi"), f"{name}-ends")
+    # Two numbers a set: sent to the tasks while they are few, so that other texts need not move.
+    few = wanted.count() <= MOST_SENT
+    texts = docs.select("key", "text").join(F.broadcast(wanted) if few else wanted, "key").select("cls", "text")
     sets = store.put(texts.mapInArrow(run, "cls long, items array<long>").dropDuplicates(["cls"]), f"{name}-sets")
     # Documents bring their sets to the hub, not the hub's to each of them.
     both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("items").alias("ib")), "b").join(
@@ -240,8 +243,10 @@ def near_duplicates(
     met = store.put(entries.join(shared, "p").select("cls", "turn", "size"), "met")
     in_orders = met.groupBy("cls").agg(
         F.sum("size").alias("popular"), F.sort_array(F.collect_list(F.struct("turn", F.expr(f"size > {crowd}").alias("crowded")))).alias("met"))
-    paths = store.put(_paths(classes.join(in_orders, "cls").select(
-        "cls", "signature", "popular", F.col("met.turn").alias("turns"), F.col("met.crowded").alias("crowded"))), "paths")
+    # From here on only sets that share a region move.
+    members = store.put(classes.join(in_orders, "cls").select(
+        "cls", "key", "n", "signature", "popular", F.col("met.turn").alias("turns"), F.col("met.crowded").alias("crowded")), "members")
+    paths = store.put(_paths(members), "paths")
     store.drop("met")
 
     # Each set meets the hub of its regions, from depth to depth while the region before is crowded.
@@ -251,8 +256,8 @@ def near_duplicates(
         F.col("hub.cls").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("times")), "star")
     beside = _neighbours(paths, near, store)
 
-    best = store.put(_likely(star.groupBy("b").agg(F.max(F.struct("times", "a")).alias("best")).select("best.a", "b"), classes, percent), "best")
-    links = _confirmed(best, docs, classes, n_words, percent, store, "first")
+    best = store.put(_likely(star.groupBy("b").agg(F.max(F.struct("times", "a")).alias("best")).select("best.a", "b"), members, percent), "best")
+    links = _confirmed(best, docs, members, n_words, percent, store, "first")
     labels = components(links, store, "first")
 
     def told(pairs: DataFrame, column: str) -> DataFrame:
@@ -262,10 +267,10 @@ def near_duplicates(
     rest = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(
         beside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     apart = told(told(rest, "a"), "b").filter("c_a <> c_b").select("a", "b")
-    apart = store.put(_likely(apart, classes, percent), "apart")
-    links = links.union(_confirmed(apart, docs, classes, n_words, percent, store, "second"))
+    apart = store.put(_likely(apart, members, percent), "apart")
+    links = links.union(_confirmed(apart, docs, members, n_words, percent, store, "second"))
     labels = store.put(components(links, store, "second"), "labels")
-    store.drop("paths", "star", "neighbours", "best", "apart")
+    store.drop("members", "paths", "star", "neighbours", "best", "apart")
 
     named = classes.select("cls", "least").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "component", F.coalesce("component", "cls"))
