@@ -27,20 +27,28 @@ def _as_stream(t, df):
     return t.spark.readStream.schema(df.schema).parquet(path)
 
 
+_LAST = "2100-01-01 00:00:00"  # after all calls
 _SUMS = ", ".join(f"cast(sum({c}) as bigint) as {c}" for c in SUMMED)
 _ROLLED = f"""count(*) as calls, count(error_type) as errors, {_SUMS}, cast(sum(cost_usd) as double) as cost_usd"""
 
 
 def _rollup(t, *window):
-    kept = _folder(t)
-
-    def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{kept}/v={number}")
-
-    stream = jobs.cost_rollup(_as_stream(t, t["v_calls"]), *window)
-    last = jobs.run_to_end(stream, keep, _folder(t), "complete") - 1
-    return t.spark.read.schema(stream.schema).parquet(f"{kept}/v={last}").withColumn(
-        "cost_usd", F.col("cost_usd").cast("double"))
+    """The calls in three deliveries by the hour they come in, every other one an hour after it was made;
+    then one far later call, which lets every window before it close; then one that comes too late."""
+    calls = t["v_calls"]
+    arrival = F.unix_micros(F.col("created_at").cast("timestamp")) + F.when(F.pmod(F.xxhash64("id"), F.lit(2)) == 0, 3_600_000_000).otherwise(0)
+    timed = calls.withColumn("_arrival", arrival)
+    low, high = timed.agg(F.min("_arrival"), F.max("_arrival")).first()
+    part = F.floor((F.col("_arrival") - low) * 3 / (high - low + 1)) if low is not None else F.lit(0)
+    later = calls.limit(1).withColumn("created_at", F.expr(f"timestamp_ntz '{_LAST}'"))
+    too_late = calls.orderBy("created_at").limit(1).withColumn("purpose", F.lit("too late"))
+    kept, source, checkpoint = _folder(t), _folder(t), _folder(t)
+    stream = None
+    for delivery in (*(timed.filter(part == n).drop("_arrival") for n in range(3)), later, too_late):
+        delivery.write.mode("append").parquet(source)
+        stream = jobs.cost_rollup(t.spark.readStream.schema(calls.schema).parquet(source), *window)
+        jobs.append_to_end(stream, kept, checkpoint)
+    return t.spark.read.schema(stream.schema).parquet(kept).withColumn("cost_usd", F.col("cost_usd").cast("double"))
 
 
 @query("stream_costs_hourly", f"""
@@ -67,8 +75,8 @@ def stream_profile(t):
     for n in range(3):
         log.filter(F.floor(F.col("seq") / third) == n).write.mode("append").parquet(source)
         stream = t.spark.readStream.schema(log.schema).parquet(source)
-        batches = jobs.run_to_end(stream, jobs.merging(path, FACTS, jobs.remember_merge), checkpoint)
-    return jobs.table_at(t.spark, path, batches, FACTS)
+        batches = jobs.run_to_end(stream, jobs.merging(path, FACTS, ["user_id"], jobs.remember_merge), checkpoint)
+    return jobs.table_at(t.spark, path, batches, FACTS, ["user_id"])
 
 
 EVENTS = (
@@ -99,9 +107,9 @@ def stream_feed_seen(t):
     for n in (1, 2):
         both.filter(F.dayofmonth("fetched_at") == n).write.mode("append").parquet(source)
         stream = t.spark.readStream.schema(both.schema).parquet(source)
-        merge = jobs.merging(path, EVENTS, partial(jobs.event_merge, venues=t["v_venues"]))
+        merge = jobs.merging(path, EVENTS, ["source_event_id"], partial(jobs.event_merge, venues=t["v_venues"]))
         batches = jobs.run_to_end(stream, merge, checkpoint)
-    return jobs.table_at(t.spark, path, batches, EVENTS).select("source_event_id", "first_seen_at", "last_seen_at", "title")
+    return jobs.table_at(t.spark, path, batches, EVENTS, ["source_event_id"]).select("source_event_id", "first_seen_at", "last_seen_at", "title")
 
 
 PAGES = (
@@ -127,9 +135,9 @@ def stream_pages(t):
     for fetch in (first, again):
         fetch.unionByName(fetch).write.mode("append").parquet(source)
         stream = jobs.fetched_pages(t.spark.readStream.schema(fetch.schema).parquet(source))
-        merge = jobs.merging(path, PAGES, partial(jobs.page_merge, homes=t["v_venues"]))
+        merge = jobs.merging(path, PAGES, ["url"], partial(jobs.page_merge, homes=t["v_venues"]))
         batches = jobs.run_to_end(stream, merge, checkpoint)
-    return jobs.table_at(t.spark, path, batches, PAGES).select("url", "status", "content_hash", "fetched_at")
+    return jobs.table_at(t.spark, path, batches, PAGES, ["url"]).select("url", "status", "content_hash", "fetched_at")
 
 
 @query("stream_sessions", """
@@ -146,6 +154,5 @@ def stream_sessions(t):
     for df in (rows, later):
         df.write.mode("append").parquet(source)
         stream = jobs.stream_sessions(t.spark.readStream.schema(rows.schema).parquet(source))
-        stream.writeStream.format("parquet").outputMode("append").option("path", path).option(
-            "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        jobs.append_to_end(stream, path, checkpoint)
     return t.spark.read.schema(jobs._SESSIONS).parquet(path)

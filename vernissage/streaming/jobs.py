@@ -1,13 +1,14 @@
 """The same work, run continuously.
 
-Roll-ups use watermarks and windows. Table merges run per micro-batch into versions numbered by the
-batch, each computed from the one before, so a batch that is retried after a failure writes the same
-version again. Sessions keep a bounded state: the hours of one user's day."""
+Roll-ups use watermarks and windows; a window is written once, when the watermark has passed its end.
+Table merges run per micro-batch into versions numbered by the batch, each computed from the one before,
+so a batch that is retried after a failure writes the same version again; a version writes the hash
+buckets that its batch touches and names the files of the others. Sessions keep a bounded state: the hours of one user's day."""
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -19,18 +20,21 @@ from vernissage.functions.dates import instant_to_utc, local_day, utc_to_instant
 from vernissage.operators.keyed import last_per_key
 from vernissage.plans import crawl, interactions, sync
 from vernissage.plans.costs import SUMMED
+from vernissage.sources.buckets import BucketedTable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LATE = "2 hours"
+BUCKETS = 64
 
 
 # --- cost roll-ups -------------------------------------------------------------------------------
 
 
 def cost_rollup(calls: DataFrame, every: str = "1 hour", slide: str | None = None) -> DataFrame:
-    """Calls by window, purpose and model: tumbling, or sliding by `slide`. Calls up to two hours
-    late are counted."""
+    """Calls by window, purpose and model: tumbling, or sliding by `slide`. Calls up to two hours late
+    are counted; in append mode a window comes out once it can get no more of them, its state is
+    dropped, and a call later than that is left out."""
     return (
         calls.withColumn("_at", utc_to_instant(F.col("created_at"))).withWatermark("_at", LATE)
         .groupBy(F.window("_at", every, slide or every), "purpose", "model")
@@ -103,23 +107,32 @@ def stream_sessions(messages: DataFrame) -> DataFrame:
 # --- versioned tables ----------------------------------------------------------------------------
 
 
-def table_at(spark: SparkSession, path: str, batch: int, schema) -> DataFrame:
+def table_at(spark: SparkSession, path: str, batch: int, schema, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
     """The table as batch `batch` found it: empty for the first."""
-    if batch == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/v={batch}")
+    return BucketedTable(spark, path, schema, keys, buckets).at(batch)
 
 
-def merging(path: str, schema, merge: Callable[[DataFrame, DataFrame], dict[str, DataFrame]]):
+def merging(
+    path: str, schema, keys: Sequence[str], merge: Callable[[DataFrame, DataFrame], dict[str, DataFrame]],
+    *, buckets: int = BUCKETS, keep: int = 2,
+):
     """A `foreachBatch` function: `merge(table, batch)` gives the new `table` and any side tables,
-    written under the batch's number."""
+    written under the batch's number. The table lies in hash buckets of `keys`, and `merge` is given
+    the buckets that the batch's keys fall in; a row may depend on rows of its own key alone."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        results = merge(table_at(spark, path, number, schema), batch)
+        table = BucketedTable(batch.sparkSession, path, schema, keys, buckets)
+        if number + 1 in table.versions():
+            return  # this batch was merged before it was run again
+        batch = batch.persist()
+        touched = table.touched(batch)
+        results = merge(table.at(number, touched), batch)
         for name, df in results.items():
-            target = f"{path}/v={number + 1}" if name == "table" else f"{path}/{name}/batch={number}"
-            df.write.mode("overwrite").parquet(target)
+            if name != "table":
+                df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        table.rewrite(number, touched, results["table"])
+        table.vacuum(keep)
+        batch.unpersist()
 
     return apply
 
@@ -156,6 +169,12 @@ def remember_merge(table: DataFrame, batch: DataFrame) -> dict[str, DataFrame]:
     return {"table": facts, "refused": refused}
 
 
+def append_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Everything available now appended to the table at `path`, each row exactly once."""
+    (stream.writeStream.format("parquet").outputMode("append").option("path", path)
+     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+
+
 def run_to_end(stream: DataFrame, apply, checkpoint: str, mode: str = "append") -> int:
     """Everything available now through `apply`; returns how many batches have run so far."""
     query = (
