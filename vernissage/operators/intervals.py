@@ -89,8 +89,8 @@ def _day_blocks(day: Column) -> Column:
     return F.array(*found, top)
 
 
-def overlap_pairs(requests: DataFrame, items: DataFrame, salts: int = 8) -> DataFrame:
-    """Every (request, item) whose runs share a day. `requests` holds `_from`, `_to` and `items`
+def overlap_pairs(requests: DataFrame, items: DataFrame, salts: int = 8, keys: Sequence[str] = ()) -> DataFrame:
+    """Every (request, item) whose runs share a day, and whose `keys` are equal where some are given. `requests` holds `_from`, `_to` and `items`
     `_first`, `_last`, all day numbers; the other column names must not clash.
 
     Two runs overlap iff the item starts inside the request, or it started before and the request
@@ -116,7 +116,7 @@ def overlap_pairs(requests: DataFrame, items: DataFrame, salts: int = 8) -> Data
         packed(0, _day_blocks(F.col("_first"))), packed(1, _run_blocks(F.col("_first"), F.col("_last")))))).drop("_salt")
     inside = (F.col("_at") < levels * salts * unit) == (F.col("_first") >= F.col("_from"))
     return (
-        asked.join(held, "_at")
+        asked.join(held, ["_at", *keys])
         .filter(inside & (F.col("_first") <= F.col("_to")) & (F.col("_last") >= F.col("_from")))
         .drop("_at")
     )

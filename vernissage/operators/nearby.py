@@ -1,4 +1,10 @@
-"""Radius joins on a grid: points near centres, without comparing every point to every centre."""
+"""Radius joins on a quadtree: points near centres, without comparing every point to every centre.
+
+The world is one square of longitude and latitude, halved both ways from level to level. A cell that
+holds more than `SMALL` points is split, so leaves are small wherever points lie, in a city or spread
+over an ocean; points of one spot, which no level parts, are dealt to blocks by hash instead. A centre
+is covered by at most 64 cells of the level that fits its reach, around the date line and over the poles
+too, and meets the leaves inside those cells and the leaves those cells lie in."""
 
 from __future__ import annotations
 
@@ -6,66 +12,109 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vernissage.functions.geo import distance_m, lat_reach, lon_reach
-
-# Cell sizes in degrees; a radius uses the first that is at least half its reach. Anything wider,
-# or near a pole or the date line, uses the one cell that holds everything.
-_SIZES = (0.02, 0.2, 2.0)
-
-
-def _cell(level: int, lat: Column, lon: Column) -> Column:
-    size = _SIZES[level]
-    return F.struct(
-        F.lit(level).alias("level"),
-        F.floor(lat / size).alias("y"),
-        F.floor(lon / size).alias("x"),
-    )
-
-
-def _whole() -> Column:
-    zero = F.lit(0).cast("long")
-    return F.struct(F.lit(len(_SIZES)).alias("level"), zero.alias("y"), zero.alias("x"))
-
-
-def _point_cells(lat: Column, lon: Column) -> Column:
-    return F.array(*(_cell(level, lat, lon) for level in range(len(_SIZES))), _whole())
-
-
-def _cells(level: int, rows: Column, columns: Column) -> Column:
-    def row(y: Column) -> Column:
-        return F.transform(columns, lambda x: F.struct(
-            F.lit(level).alias("level"), y.alias("y"), x.alias("x")))
-
-    return F.flatten(F.transform(rows, row))
-
-
-def _cover(lat: Column, lon: Column, radius_m: Column) -> Column:
-    """The cells of one level that cover everything within the radius."""
-    up, across = lat_reach(radius_m), lon_reach(lat, radius_m)
-    reach = F.greatest(up, across)
-    found = None
-    for level, size in enumerate(_SIZES):
-        rows = F.sequence(F.floor((lat - up) / size), F.floor((lat + up) / size))
-        columns = F.sequence(F.floor((lon - across) / size), F.floor((lon + across) / size))
-        cells = _cells(level, rows, columns)
-        fits = (reach <= 2 * size) & (lon - across >= -180) & (lon + across <= 180)
-        found = F.when(fits, cells) if found is None else found.when(fits, cells)
-    return found.otherwise(F.array(_whole()))
-
-
-def within_radius(centers: DataFrame, points: DataFrame) -> DataFrame:
-    """Every (centre, point) no further apart than the centre's `radius_m`, with `metres`.
-    `centers` holds lat, lon, radius_m and `points` holds lat, lon; other names must not clash."""
-    near = centers.withColumnsRenamed({"lat": "_clat", "lon": "_clon"}).withColumn(
-        "_cell", F.explode(_cover(F.col("_clat"), F.col("_clon"), F.col("radius_m"))))
-    spots = points.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumnsRenamed(
-        {"lat": "_plat", "lon": "_plon"}
-    ).withColumn("_cell", F.explode(_point_cells(F.col("_plat"), F.col("_plon"))))
+from vernissage.session import materialize
+
+DEEPEST = 16
+SMALL = 512
+_ACROSS = 6  # cells along a centre's reach
+
+
+def _node(level: Column, x: Column, y: Column) -> Column:
+    """A cell as one number."""
+    return F.shiftleft(level.cast("long"), 40) + F.shiftleft(x.cast("long"), 20) + y.cast("long")
+
+
+def _place(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Where a point lies in the square, both ways from 0 to below 1."""
+    return F.pmod(lon + 180, F.lit(360.0)) / 360, F.least((lat + 90) / 180, F.lit(1 - 2.0**-40))
+
+
+def _finest(lat: Column, lon: Column) -> tuple[Column, Column]:
+    return tuple(F.floor(c * 2**DEEPEST).cast("long") for c in _place(lat, lon))
+
+
+def _lineage(x: Column, y: Column, level: Column) -> Column:
+    """The cell (level, x, y) and all above it, from the root."""
+    return F.transform(F.sequence(F.lit(0), level.cast("int")), lambda k: _node(
+        k, F.floor(x / F.pow(F.lit(2.0), level - k)), F.floor(y / F.pow(F.lit(2.0), level - k))))
+
+
+def quadtree(points: DataFrame, small: int = SMALL) -> DataFrame:
+    """(leaf, level, x, y, n): the cells that hold points and no more than `small` of them, or that are
+    as fine as can be, whose parents hold more. Points are counted once, at the finest level."""
+    x, y = _finest(F.col("lat"), F.col("lon"))
+    fine = points.groupBy(x.alias("x"), y.alias("y")).agg(F.count("*").alias("n"))
+    levels = fine.select("n", F.posexplode(_lineage(F.col("x"), F.col("y"), F.lit(DEEPEST))).alias("level", "node"))
+    cells = levels.groupBy("level", "node").agg(F.sum("n").alias("n"))
+    crowded = cells.filter((F.col("n") > small) & (F.col("level") < DEEPEST)).select(F.col("node").alias("parent"))
+    x, y = F.shiftright("node", 20).bitwiseAND(F.lit((1 << 20) - 1)), F.col("node").bitwiseAND(F.lit((1 << 20) - 1))
+    calm = cells.filter((F.col("n") <= small) | (F.col("level") == DEEPEST)).withColumns({"x": x, "y": y})
+    parent = F.when(F.col("level") == 0, F.lit(-1).cast("long")).otherwise(
+        _node(F.col("level") - 1, F.shiftright("x", 1), F.shiftright("y", 1)))
+    root = points.sparkSession.range(1).select(F.lit(-1).cast("long").alias("parent"))
+    return calm.withColumn("parent", parent).join(crowded.union(root), "parent", "left_semi").select(
+        F.col("node").alias("leaf"), "level", "x", "y", "n")
+
+
+def _cover(lat: Column, lon: Column, up: Column, across: Column) -> tuple[Column, Column]:
+    """(level, cells) that hold everything within `up` and `across` degrees: at most 64 cells."""
+    x, y = _place(lat, lon)
+    wide, high = F.least(across / 180, F.lit(1.0)), F.least(up / 90, F.lit(2.0))  # whole widths, as shares of the square
+    level = F.least(F.floor(F.log2(_ACROSS / F.greatest(wide, high))), F.lit(DEEPEST)).cast("int")
+    side = F.pow(F.lit(2.0), level)
+    low = F.floor((x - wide / 2) * side)
+    columns = F.sequence(low, F.least(F.floor((x + wide / 2) * side), low + side.cast("long") - 1))
+    rows = F.sequence(F.floor(F.greatest(y - high / 2, F.lit(0.0)) * side), F.floor(F.least(y + high / 2, F.lit(1 - 2.0**-40)) * side))
+    return level, F.flatten(F.transform(rows, lambda j: F.transform(
+        columns, lambda i: F.struct(F.pmod(i, side.cast("long")).alias("x"), j.alias("y")))))
+
+
+def _leaves_near(centers: DataFrame, leaves: DataFrame) -> DataFrame:
+    """`centers` (_clat, _clon, radius_m, ...) with each leaf (leaf, n, as `_leaf`, `_n`) that may hold a
+    point within the radius."""
+    leaves = leaves.withColumnsRenamed({c: f"_{c}" for c in leaves.columns})
+    up, across = lat_reach(F.col("radius_m")), lon_reach(F.col("_clat"), F.col("radius_m"))
+    level, cells = _cover(F.col("_clat"), F.col("_clon"), up, across)
+    asked = centers.filter("radius_m >= 0").withColumns({"_deep": level, "_cell": F.explode(cells)})
+    asked = asked.withColumn("_node", _node(F.col("_deep"), F.col("_cell.x"), F.col("_cell.y")))
+    # Leaves in a cell, by all cells above each leaf; and the leaf a cell lies in, by all above the cell.
+    below = leaves.withColumn("_node", F.explode(_lineage(F.col("_x"), F.col("_y"), F.col("_level"))))
+    inside = asked.join(below, "_node")
+    own = F.explode(_lineage(F.col("_cell.x"), F.col("_cell.y"), F.col("_deep"))).alias("_leaf")
+    outside = asked.select("*", own).filter("_leaf <> _node").join(leaves, "_leaf")
+    met = inside.drop("_node", "_cell", "_deep").unionByName(outside.drop("_node", "_cell", "_deep"))
+    # Several cells of a centre can lie in one leaf, and corners reach beyond the circle.
+    x, y = _place(F.col("_clat"), F.col("_clon"))
+    size = F.pow(F.lit(2.0), -F.col("_level"))
+    off = F.abs(x - (F.col("_x") + 0.5) * size)
+    near = (F.least(off, 1 - off) <= size / 2 + across / 360) & (F.abs(y - (F.col("_y") + 0.5) * size) <= size / 2 + up / 180)
+    return met.filter(near).drop("_level", "_x", "_y").distinct()
+
+
+def within_radius(centers: DataFrame, points: DataFrame, *, small: int = SMALL) -> DataFrame:
+    """Every (centre, point) no further apart than the centre's `radius_m`, with `metres`; equal centres
+    count once. `centers` holds lat, lon, radius_m and `points` holds lat, lon; other names must not
+    clash. Centres and points without a place meet nothing; longitudes may go beyond 180."""
+    spots = points.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumnsRenamed({"lat": "_plat", "lon": "_plon"})
+    leaves = materialize(quadtree(spots.select(F.col("_plat").alias("lat"), F.col("_plon").alias("lon")), small))
+    near = _leaves_near(centers.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumnsRenamed({"lat": "_clat", "lon": "_clon"}), leaves)
+    near = near.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / small) - 1)))
+    # Each finest cell that holds points knows its leaf.
+    x, y = _finest(F.col("_plat"), F.col("_plon"))
+    spots = spots.withColumn("_fine", _node(F.lit(DEEPEST), x, y))
+    fine = spots.select("_fine").distinct().select(
+        "_fine", F.explode(_lineage(F.shiftright("_fine", 20).bitwiseAND(F.lit((1 << 20) - 1)),
+                                    F.col("_fine").bitwiseAND(F.lit((1 << 20) - 1)), F.lit(DEEPEST))).alias("_leaf"))
+    of = fine.join(leaves.select(F.col("leaf").alias("_leaf"), F.ceil(F.col("n") / small).alias("_blocks")), "_leaf")
+    spots = spots.join(of, "_fine")
+    # The block is a function of the row, so a task that runs again deals it the same way.
+    spots = spots.withColumn("_block", F.pmod(F.xxhash64(*[c for c in spots.columns if c not in ("_fine", "_blocks", "_leaf")]), "_blocks"))
     return (
-        near.join(spots, "_cell")
+        near.drop("_n").join(spots.drop("_fine", "_blocks"), ["_leaf", "_block"])
         .withColumn("metres", distance_m(
             F.col("_plat"), F.col("_plon"), F.col("_clat"), F.col("_clon")))
         .filter("metres <= radius_m")
-        .drop("_cell", "_clat", "_clon", "_plat", "_plon")
+        .drop("_leaf", "_block", "_clat", "_clon", "_plat", "_plon")
     )
 
 

@@ -18,6 +18,7 @@ from vernissage.functions.text import match_key
 from vernissage.operators.intervals import OPEN_FUTURE, first_number, last_number, overlap_pairs, with_overlap
 from vernissage.operators.nearby import within_radius
 from vernissage.operators.places import resolve_places
+from vernissage.session import materialize
 
 CANDIDATE = (
     "id", "kind", "category", "title", "venue_id", "venue", "first_day", "last_day", "at_venue",
@@ -171,64 +172,37 @@ def check_requests(requests: DataFrame, names: DataFrame | None = None, most_row
             judged.filter("reason IS NOT NULL").select("request_id", "reason"))
 
 
-def matches(requests: DataFrame, found: DataFrame, venues: DataFrame) -> DataFrame:
-    """Every (request, item) that meets the request, with what results are ordered by.
-
-    Requests with a radius meet the venues inside it first, on a grid, and then only those venues'
-    items; the others meet items by day alone. Both joins multiply rows, so the items (slim: what is
-    filtered and ordered by, nothing else) are spread evenly before."""
-    ask = requests.select(
+def _asked(requests: DataFrame) -> DataFrame:
+    return requests.select(
         "request_id", "date_from", "date_to", "lat", "lon", "kinds", "free_only", "rows",
         (F.col("radius_km") * 1000).alias("radius_m"),
         first_number(F.col("date_from")).alias("_from"), last_number(F.col("date_to")).alias("_to"),
     )
-    points = venues.select(F.col("id").alias("place_venue_id"), "lat", "lon")
-    partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = (
-        found.select(
-            "id", "kind", "is_free", "first_day", "last_day", "place_venue_id",
-            first_number(F.col("first_day")).alias("_first"), last_number(F.col("last_day")).alias("_last"))
-        .join(points.withColumnsRenamed({"lat": "_vlat", "lon": "_vlon"}), "place_venue_id", "left")
-        .repartition(partitions, "id")
-    )
 
-    inside = within_radius(ask.filter("radius_m IS NOT NULL"), points).withColumn("_pointed", F.lit(True))
-    at_place = inside.join(slim.drop("_vlat", "_vlon"), "place_venue_id").filter(
-        "_first <= _to AND _last >= _from")
 
-    anywhere = overlap_pairs(ask.filter("radius_m IS NULL"), slim).withColumns({
-        "_pointed": F.col("lat").isNotNull(),
-        "metres": distance_m(F.col("_vlat"), F.col("_vlon"), F.col("lat"), F.col("lon")),
-    })
+def matches(requests: DataFrame, found: DataFrame, venues: DataFrame) -> DataFrame:
+    """Every (request, item) that meets a request with a radius, with what results are ordered by.
 
-    columns = ["request_id", "id", "rows", "date_from", "first_day", "last_day", "metres", "_pointed", "kind",
-               "is_free", "kinds", "free_only"]
-    wanted = F.col("kinds").isNull() | F.array_contains("kinds", F.col("kind"))
-    affordable = ~F.coalesce("free_only", F.lit(False)) | F.coalesce("is_free", F.lit(True))
-    return (
-        at_place.select(*columns).unionByName(anywhere.select(*columns))
-        .filter(wanted & affordable)
-        .select("request_id", "id", "rows", "date_from", "first_day", "last_day", F.col("_pointed").alias("pointed"),
-                distance_km(F.col("metres")).alias("distance_km"))
-    )
+    Requests meet the venues inside their radius first, on a quadtree, and then only those venues' items
+    of their days (slim: what is filtered and ordered by, nothing else)."""
+    slim = found.filter("place_venue_id IS NOT NULL").select(
+        "id", "kind", "is_free", "first_day", "last_day", "place_venue_id",
+        first_number(F.col("first_day")).alias("_first"), last_number(F.col("last_day")).alias("_last"))
+    points = venues.select(F.col("id").alias("place_venue_id"), "lat", "lon")
+    inside = within_radius(_asked(requests).filter("radius_m IS NOT NULL"), points)
+    return overlap_pairs(inside, slim, salts=1, keys=["place_venue_id"]).filter(_wanted()).select(
+        "request_id", "id", "rows", "date_from", "first_day", "last_day", distance_km(F.col("metres")).alias("distance_km"))
 
 
-def totals(matched: DataFrame, requests: DataFrame) -> DataFrame:
-    """(request_id, total, returned, truncated) for every request, those with no match included."""
-    counted = matched.groupBy("request_id").agg(F.count("*").alias("total"))
-    total = F.coalesce("total", F.lit(0).cast("long"))
-    return requests.select("request_id", "rows").join(counted, "request_id", "left").select(
-        "request_id", total.alias("total"), F.least(total, "rows").alias("returned"),
-        (total > F.col("rows")).alias("truncated"))
+def _wanted() -> Column:
+    """The item is of a kind asked for, and free where that is asked for or not known."""
+    return (F.col("kinds").isNull() | F.array_contains("kinds", F.col("kind"))) & (
+        ~F.coalesce("free_only", F.lit(False)) | F.coalesce("is_free", F.lit(True)))
 
 
 def _coarse() -> Column:
-    """The leading order column as a number: distance in steps of 100 m for a request with a point,
-    else the last day."""
-    # The distance stands first and outside any branch: generated code then works out each of its
-    # repeated parts once.
-    rest = F.when(F.col("pointed"), F.lit(2_000_000_000)).otherwise(last_number(F.col("last_day")))
-    return F.coalesce(F.round(F.col("distance_km") * 10).cast("int"), rest)
+    """The leading order column as a number: distance in steps of 100 m."""
+    return F.round(F.col("distance_km") * 10).cast("int")
 
 
 # --- requests by day alone ------------------------------------------------------------------------
@@ -254,15 +228,15 @@ def _group_keys() -> Column:
 
 
 def by_day(requests: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((request_id, total), matched pairs that can be among the first `rows`) for requests with no
-    point and no radius, which are ordered by day alone.
+    """((request_id, total), matched pairs that can be among the first `rows`, were they ordered by day
+    alone) for requests without a radius.
 
     No pair is made to count: an item meets [from, to] unless it starts after `to` or ended before
     `from`, and never both, so a total is a difference of running counts by day. The same counts bound
     how many matches end by a day L (those that end in [from, L], less all that start in (to, L]), and
     the least of a few doubling L that certainly holds `rows` of them bounds the join: its pairs grow
     with the rows returned, not with requests times items."""
-    ask = requests.filter("lat IS NULL AND radius_km IS NULL").select(
+    ask = requests.filter("radius_km IS NULL").select(
         "request_id", "rows", "date_from", "kinds", "free_only",
         first_number(F.col("date_from")).alias("_from"), last_number(F.col("date_to")).alias("_to"))
     slim = found.select("id", "kind", "is_free", "first_day", "last_day",
@@ -302,21 +276,90 @@ def by_day(requests: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]
     ends = runs.withColumnRenamed("_first", "_start").withColumn("_first", F.col("_last"))
     near = overlap_pairs(window, ends).filter("_start <= _end")
     rest = overlap_pairs(ask, odd)
-    wanted = F.col("kinds").isNull() | F.array_contains("kinds", F.col("kind"))
-    affordable = ~F.coalesce("free_only", F.lit(False)) | F.coalesce("is_free", F.lit(True))
     columns = ["request_id", "id", "rows", "date_from", "first_day", "last_day"]
-    odds = rest.filter(wanted & affordable)
-    pairs = near.filter(wanted & affordable).select(*columns).unionByName(odds.select(*columns))
+    odds = rest.filter(_wanted())
+    pairs = near.filter(_wanted()).select(*columns).unionByName(odds.select(*columns))
     extra = odds.groupBy("request_id").agg(F.count("*").alias("odd"))
     total = bounds.join(extra, "request_id", "left").select(
         "request_id", (F.col("total") + F.coalesce("odd", F.lit(0))).alias("total"))
     return total.filter("total > 0"), pairs
 
 
+# --- requests with a point and no radius -----------------------------------------------------------
+
+# A request of no more matches than so many times its rows meets them all.
+_FEW = 8
+_WIDEST_M = 21_000_000.0  # beyond the far side of the world
+_GROWTH = 3.0
+_LEVELS = 15
+
+
+def _first_radius(asked: DataFrame, items: DataFrame, points: DataFrame) -> DataFrame:
+    """`asked` (request_id, lat, lon, rows, total, all_items, ...) with `radius_m`, a circle that should
+    hold twice its rows: of ever coarser levels of square cells, the first whose nine cells around the
+    point hold so many items in proportion to the request's matches. Counts of cells, not pairs."""
+    def cell(level, lat, lon, dx=F.lit(0), dy=F.lit(0)):
+        size = F.pow(F.lit(2.0), -level) * 90
+        columns = F.pow(F.lit(2.0), level) * 4
+        return F.struct(level.alias("level"), (F.floor(lat / size) + dy).alias("y"), F.pmod(F.floor(lon / size) + dx, columns).cast("long").alias("x"))
+
+    levels = F.sequence(F.lit(0), F.lit(_LEVELS - 1))
+    held = items.groupBy("place_venue_id").agg(F.count("*").alias("n")).join(points.filter("lat IS NOT NULL AND lon IS NOT NULL"), "place_venue_id")
+    cells = held.select("n", F.explode(F.transform(levels, lambda k: cell(k, F.col("lat"), F.col("lon")))).alias("cell")).groupBy(
+        "cell").agg(F.sum("n").alias("n"))
+    steps = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)))
+    around = F.flatten(F.transform(levels, lambda k: F.transform(steps, lambda s: cell(k, F.col("lat"), F.col("lon"), s["x"], s["y"]))))
+    counted = asked.select("request_id", "rows", "total", "all_items", F.explode(F.array_distinct(around)).alias("cell")).join(cells, "cell").groupBy(
+        "request_id", "rows", "total", "all_items", F.col("cell.level").alias("level")).agg(F.sum("n").alias("n"))
+    enough = F.col("n") * F.col("total") >= 2 * F.col("rows") * F.col("all_items")
+    level = counted.filter(enough).groupBy("request_id").agg(F.max("level").alias("level"))
+    # Two cells' height, in metres.
+    radius = F.least(F.pow(F.lit(2.0), -F.col("level")) * 180 * 111_700, F.lit(_WIDEST_M))
+    return asked.join(level, "request_id", "left").withColumn("radius_m", F.coalesce(radius, F.lit(_WIDEST_M)))
+
+
+def nearest(requests: DataFrame, found: DataFrame, venues: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((request_id, total), matched pairs that are sure to hold the first `rows`) for requests with a
+    point and no radius, which are ordered by distance, what has no place last.
+
+    Circles grow until one holds `rows` matches: the first is guessed from counts of cells, each request
+    that finds too few has its own tripled, and those that reach around the world, or have few matches
+    in all, meet theirs by day. So pairs grow with the rows that are returned, not with requests times
+    items; totals come from running counts by day."""
+    ask = requests.filter("lat IS NOT NULL AND radius_km IS NULL")
+    total = materialize(by_day(ask, found)[0])
+    points = venues.select(F.col("id").alias("place_venue_id"), "lat", "lon")
+    slim = found.select(
+        "id", "kind", "is_free", "first_day", "last_day", "place_venue_id",
+        first_number(F.col("first_day")).alias("_first"), last_number(F.col("last_day")).alias("_last"))
+    known = materialize(ask.join(total, "request_id").withColumn("all_items", F.lit(found.count())))
+    many = known.filter(F.col("total") > _FEW * F.col("rows"))
+    pending = materialize(_first_radius(many.select("request_id", "rows", "lat", "lon", "total", "all_items"), slim, points))
+    columns = ["request_id", "id", "rows", "date_from", "first_day", "last_day", "metres"]
+    rounds = []
+    while pending.filter(F.col("radius_m") < _WIDEST_M).limit(1).count():
+        circles = _asked(requests).drop("radius_m").join(pending.select("request_id", "radius_m"), "request_id")
+        inside = within_radius(circles.filter(F.col("radius_m") < _WIDEST_M), points)
+        met = materialize(overlap_pairs(inside, slim, salts=1, keys=["place_venue_id"]).filter(_wanted()).select(*columns, "radius_m"))
+        # Distances are ordered by steps of 100 m, so the last step of a circle may go on outside it.
+        n = met.filter("metres <= radius_m - 100").groupBy("request_id").agg(F.count("*").alias("n"))
+        judged = pending.join(n, "request_id", "left").withColumn("enough", F.coalesce("n", F.lit(0)) >= F.col("rows"))
+        rounds.append(met.join(judged.filter("enough").select("request_id"), "request_id", "left_semi"))
+        wider = F.least(F.col("radius_m") * _GROWTH, F.lit(_WIDEST_M))
+        pending = materialize(judged.filter("NOT enough").select(*pending.columns).withColumn("radius_m", wider))
+    whole = known.filter(F.col("total") <= _FEW * F.col("rows")).select("request_id").unionByName(pending.select("request_id"))
+    placed = slim.join(points.withColumnsRenamed({"lat": "_vlat", "lon": "_vlon"}), "place_venue_id", "left")
+    rest = overlap_pairs(_asked(requests).join(whole, "request_id", "left_semi"), placed).filter(_wanted()).withColumn(
+        "metres", distance_m(F.col("_vlat"), F.col("_vlon"), F.col("lat"), F.col("lon")))
+    pairs = rest.select(*columns)
+    for met in rounds:
+        pairs = pairs.unionByName(met.select(*columns))
+    return total, pairs.withColumn("distance_km", distance_km(F.col("metres"))).drop("metres")
+
+
 def search_totals(requests: DataFrame, found: DataFrame, venues: DataFrame) -> DataFrame:
-    """`totals` of all requests, without making the pairs of those that are ordered by day alone."""
-    placed = requests.filter("lat IS NOT NULL OR radius_km IS NOT NULL")
-    counted = matches(placed, found, venues).groupBy("request_id").agg(F.count("*").alias("total"))
+    """`totals` of all requests, without making the pairs of those that have no radius."""
+    counted = matches(requests.filter("radius_km IS NOT NULL"), found, venues).groupBy("request_id").agg(F.count("*").alias("total"))
     counted = counted.unionByName(by_day(requests, found)[0])
     total = F.coalesce("total", F.lit(0).cast("long"))
     return requests.select("request_id", "rows").join(counted, "request_id", "left").select(
@@ -327,7 +370,7 @@ def search_totals(requests: DataFrame, found: DataFrame, venues: DataFrame) -> D
 def search(requests: DataFrame, found: DataFrame, venues: DataFrame) -> DataFrame:
     """The rows of each request in order: nearest first when it has a point, then the soonest to
     end, open-ended last. `total` counts what matched before the cut to `rows`."""
-    matched = matches(requests.filter("lat IS NOT NULL OR radius_km IS NOT NULL"), found, venues).withColumn("coarse", _coarse())
+    matched = matches(requests.filter("radius_km IS NOT NULL"), found, venues).withColumn("coarse", _coarse())
     # First pass: how many rows stand at each step of the leading order column. That gives the total
     # and the last step that can be returned, so the second pass orders few rows and no others.
     steps = matched.groupBy("request_id", "rows", "coarse").agg(F.count("*").alias("n"))
@@ -335,10 +378,13 @@ def search(requests: DataFrame, found: DataFrame, venues: DataFrame) -> DataFram
     counted = steps.withColumn("upto", F.sum("n").over(upto)).groupBy("request_id").agg(
         F.sum("n").alias("total"),
         F.coalesce(F.min(F.when(F.col("upto") >= F.col("rows"), F.col("coarse"))), F.max("coarse")).alias("last_step"))
-    totals_by_day, pairs = by_day(requests, found)
     columns = ["request_id", "rows", "total", "id", "date_from", "first_day", "last_day", "distance_km"]
-    first = matched.join(counted, "request_id").filter("coarse <= last_step").select(*columns).unionByName(
-        pairs.join(totals_by_day, "request_id").withColumn("distance_km", F.lit(None).cast("double")).select(*columns))
+    first = matched.join(counted, "request_id").filter("coarse <= last_step").select(*columns)
+    totals_by_day, pairs = by_day(requests.filter("lat IS NULL"), found)
+    first = first.unionByName(pairs.join(totals_by_day, "request_id").withColumn(
+        "distance_km", F.lit(None).cast("double")).select(*columns))
+    near_totals, pairs = nearest(requests, found, venues)
+    first = first.unionByName(pairs.join(near_totals, "request_id").select(*columns))
     order = Window.partitionBy("request_id").orderBy(
         F.col("distance_km").asc_nulls_last(), F.col("last_day").asc_nulls_last(),
         F.col("first_day").asc_nulls_first(), "id")
