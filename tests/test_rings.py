@@ -49,7 +49,8 @@ def _first(pairs):
 
 def test_nearest_equals_all_pairs(spark):
     requests, items, venues = _tables(spark, 1500)
-    total, pairs = search.nearest(requests, items, venues)
+    total = search.by_day(requests, items)[0]
+    pairs = search.nearest(requests, items, venues, total)
     plain = _plain(requests, items, venues)
     assert _first(pairs) == _first(plain)
     assert {(r.request_id, r.total) for r in total.collect()} == {(r.request_id, r["count"]) for r in plain.groupBy("request_id").count().collect()}
@@ -64,5 +65,6 @@ def test_pairs_do_not_grow_with_the_items(spark):
         venues = spark.createDataFrame([(i, rng.uniform(40, 43), rng.uniform(0, 4)) for i in range(n)], "id long, lat double, lon double")
         items = items.withColumn("place_venue_id", F.substring("id", 3, 9).cast("long"))
         requests = requests.filter("request_id < 60 AND rows = 5").withColumns({"lat": 40 + F.col("request_id") % 4, "lon": (F.col("request_id") % 5).cast("double")})
-        pairs.append(search.nearest(requests.withColumn("lat", F.col("lat").cast("double")), items, venues)[1].count())
+        requests = requests.withColumn("lat", F.col("lat").cast("double"))
+        pairs.append(search.nearest(requests, items, venues, search.by_day(requests, items)[0]).count())
     assert pairs[1] < 2 * pairs[0]

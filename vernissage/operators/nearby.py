@@ -70,7 +70,7 @@ def _cover(lat: Column, lon: Column, up: Column, across: Column) -> tuple[Column
 
 
 def _leaves_near(centers: DataFrame, leaves: DataFrame) -> DataFrame:
-    """`centers` (_clat, _clon, radius_m, ...) with each leaf (leaf, n, as `_leaf`, `_n`) that may hold a
+    """`centers` (_clat, _clon, radius_m, ...) with each leaf (as `_leaf`, `_n`, ...) that may hold a
     point within the radius."""
     leaves = leaves.withColumnsRenamed({c: f"_{c}" for c in leaves.columns})
     up, across = lat_reach(F.col("radius_m")), lon_reach(F.col("_clat"), F.col("radius_m"))
@@ -91,26 +91,34 @@ def _leaves_near(centers: DataFrame, leaves: DataFrame) -> DataFrame:
     return met.filter(near).drop("_level", "_x", "_y").distinct()
 
 
-def within_radius(centers: DataFrame, points: DataFrame, *, small: int = SMALL) -> DataFrame:
-    """Every (centre, point) no further apart than the centre's `radius_m`, with `metres`; equal centres
-    count once. `centers` holds lat, lon, radius_m and `points` holds lat, lon; other names must not
-    clash. Centres and points without a place meet nothing; longitudes may go beyond 180."""
+def indexed(points: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """(leaves, points with their `_leaf` and `_block`), both written once, for any number of joins."""
     spots = points.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumnsRenamed({"lat": "_plat", "lon": "_plon"})
-    leaves = materialize(quadtree(spots.select(F.col("_plat").alias("lat"), F.col("_plon").alias("lon")), small))
-    near = _leaves_near(centers.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumnsRenamed({"lat": "_clat", "lon": "_clon"}), leaves)
-    near = near.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / small) - 1)))
+    leaves = materialize(quadtree(spots.select(F.col("_plat").alias("lat"), F.col("_plon").alias("lon")), small).withColumn(
+        "blocks", F.ceil(F.col("n") / small)))
     # Each finest cell that holds points knows its leaf.
-    x, y = _finest(F.col("_plat"), F.col("_plon"))
-    spots = spots.withColumn("_fine", _node(F.lit(DEEPEST), x, y))
-    fine = spots.select("_fine").distinct().select(
-        "_fine", F.explode(_lineage(F.shiftright("_fine", 20).bitwiseAND(F.lit((1 << 20) - 1)),
-                                    F.col("_fine").bitwiseAND(F.lit((1 << 20) - 1)), F.lit(DEEPEST))).alias("_leaf"))
-    of = fine.join(leaves.select(F.col("leaf").alias("_leaf"), F.ceil(F.col("n") / small).alias("_blocks")), "_leaf")
-    spots = spots.join(of, "_fine")
+    spots = spots.withColumn("_fine", _node(F.lit(DEEPEST), *_finest(F.col("_plat"), F.col("_plon"))))
+    last = F.lit((1 << 20) - 1)
+    of = spots.select("_fine").distinct().select("_fine", F.explode(_lineage(
+        F.shiftright("_fine", 20).bitwiseAND(last), F.col("_fine").bitwiseAND(last), F.lit(DEEPEST))).alias("_leaf"))
+    of = of.join(leaves.select(F.col("leaf").alias("_leaf"), F.col("blocks").alias("_blocks")), "_leaf")
     # The block is a function of the row, so a task that runs again deals it the same way.
-    spots = spots.withColumn("_block", F.pmod(F.xxhash64(*[c for c in spots.columns if c not in ("_fine", "_blocks", "_leaf")]), "_blocks"))
+    block = F.pmod(F.xxhash64("_plat", "_plon", *[c for c in points.columns if c not in ("lat", "lon")]), "_blocks")
+    return leaves, materialize(spots.join(of, "_fine").withColumn("_block", block).drop("_fine", "_blocks"))
+
+
+def within_radius(
+    centers: DataFrame, points: DataFrame, *, small: int = SMALL, index: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """Every (centre, point) no further apart than the centre's `radius_m`, with `metres`; equal centres
+    count once. `centers` holds lat, lon, radius_m and `points` holds lat, lon; other names must not
+    clash. Centres and points without a place meet nothing; longitudes may go beyond 180. `index` is that
+    of the points (see `indexed`) where several joins share it."""
+    leaves, spots = index or indexed(points, small)
+    near = _leaves_near(centers.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumnsRenamed({"lat": "_clat", "lon": "_clon"}), leaves)
+    near = near.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     return (
-        near.drop("_n").join(spots.drop("_fine", "_blocks"), ["_leaf", "_block"])
+        near.drop("_n", "_blocks").join(spots, ["_leaf", "_block"])
         .withColumn("metres", distance_m(
             F.col("_plat"), F.col("_plon"), F.col("_clat"), F.col("_clon")))
         .filter("metres <= radius_m")

@@ -16,7 +16,7 @@ from vernissage.functions.dates import local_day, local_time
 from vernissage.functions.geo import distance_km, distance_m
 from vernissage.functions.text import match_key
 from vernissage.operators.intervals import OPEN_FUTURE, first_number, last_number, overlap_pairs, with_overlap
-from vernissage.operators.nearby import within_radius
+from vernissage.operators.nearby import indexed, within_radius
 from vernissage.operators.places import resolve_places
 from vernissage.session import materialize
 
@@ -180,20 +180,25 @@ def _asked(requests: DataFrame) -> DataFrame:
     )
 
 
-def matches(requests: DataFrame, found: DataFrame, venues: DataFrame) -> DataFrame:
+def matches(requests: DataFrame, found: DataFrame, venues: DataFrame, index=None) -> DataFrame:
     """Every (request, item) that meets a request with a radius, with what results are ordered by.
 
     Requests meet the venues inside their radius first, on a quadtree, and then only those venues' items
-    of their days (slim: what is filtered and ordered by, nothing else)."""
+    (slim: what is filtered and ordered by, nothing else). The join multiplies rows, so the items are
+    spread evenly before."""
+    partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = found.filter("place_venue_id IS NOT NULL").select(
         "id", "kind", "is_free", "first_day", "last_day", "place_venue_id",
-        first_number(F.col("first_day")).alias("_first"), last_number(F.col("last_day")).alias("_last"))
-    points = venues.select(F.col("id").alias("place_venue_id"), "lat", "lon")
-    inside = within_radius(_asked(requests).filter("radius_m IS NOT NULL"), points)
-    return overlap_pairs(inside, slim, salts=1, keys=["place_venue_id"]).filter(_wanted()).select(
+        first_number(F.col("first_day")).alias("_first"), last_number(F.col("last_day")).alias("_last")).repartition(partitions, "id")
+    inside = within_radius(_asked(requests).filter("radius_m IS NOT NULL"), _points(venues), index=index)
+    return inside.join(slim, "place_venue_id").filter("_first <= _to AND _last >= _from").filter(_wanted()).select(
         "request_id", "id", "rows", "date_from", "first_day", "last_day", distance_km(F.col("metres")).alias("distance_km"))
 
 
+def _points(venues: DataFrame) -> DataFrame:
+    return venues.select(F.col("id").alias("place_venue_id"), "lat", "lon")
+
+
 def _wanted() -> Column:
     """The item is of a kind asked for, and free where that is asked for or not known."""
     return (F.col("kinds").isNull() | F.array_contains("kinds", F.col("kind"))) & (
@@ -228,8 +233,8 @@ def _group_keys() -> Column:
 
 
 def by_day(requests: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((request_id, total), matched pairs that can be among the first `rows`, were they ordered by day
-    alone) for requests without a radius.
+    """((request_id, total) of requests without a radius, matched pairs that can be among the first
+    `rows` of those without a point too, which are ordered by day alone).
 
     No pair is made to count: an item meets [from, to] unless it starts after `to` or ended before
     `from`, and never both, so a total is a difference of running counts by day. The same counts bound
@@ -237,7 +242,7 @@ def by_day(requests: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]
     the least of a few doubling L that certainly holds `rows` of them bounds the join: its pairs grow
     with the rows returned, not with requests times items."""
     ask = requests.filter("radius_km IS NULL").select(
-        "request_id", "rows", "date_from", "kinds", "free_only",
+        "request_id", "rows", "date_from", "kinds", "free_only", F.col("lat").isNotNull().alias("pointed"),
         first_number(F.col("date_from")).alias("_from"), last_number(F.col("date_to")).alias("_to"))
     slim = found.select("id", "kind", "is_free", "first_day", "last_day",
                         first_number(F.col("first_day")).alias("_first"), last_number(F.col("last_day")).alias("_last"))
@@ -266,19 +271,19 @@ def by_day(requests: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]
         values = got if values is None else values.unionByName(got)
     by_reach = values.groupBy("request_id", "rows", "_until").agg(
         F.sum(F.col("sign") * F.col("upto")).alias("least"), F.sum(F.col("whole") * F.col("upto")).alias("total"))
-    bounds = by_reach.groupBy("request_id").agg(
+    bounds = materialize(by_reach.groupBy("request_id").agg(
         F.max("total").alias("total"),
-        F.coalesce(F.min(F.when(F.col("least") >= F.col("rows"), F.col("_until"))), F.lit(OPEN_FUTURE)).alias("_until"))
+        F.coalesce(F.min(F.when(F.col("least") >= F.col("rows"), F.col("_until"))), F.lit(OPEN_FUTURE)).alias("_until")))
 
     # A run matters by its last day here, so it joins as that one day.
-    window = ask.withColumn("_from", begin).join(bounds.select("request_id", "_until"), "request_id").withColumnRenamed(
+    window = ask.filter("NOT pointed").withColumn("_from", begin).join(bounds.select("request_id", "_until"), "request_id").withColumnRenamed(
         "_to", "_end").withColumn("_to", F.col("_until"))
     ends = runs.withColumnRenamed("_first", "_start").withColumn("_first", F.col("_last"))
     near = overlap_pairs(window, ends).filter("_start <= _end")
     rest = overlap_pairs(ask, odd)
     columns = ["request_id", "id", "rows", "date_from", "first_day", "last_day"]
     odds = rest.filter(_wanted())
-    pairs = near.filter(_wanted()).select(*columns).unionByName(odds.select(*columns))
+    pairs = near.filter(_wanted()).select(*columns).unionByName(odds.filter("NOT pointed").select(*columns))
     extra = odds.groupBy("request_id").agg(F.count("*").alias("odd"))
     total = bounds.join(extra, "request_id", "left").select(
         "request_id", (F.col("total") + F.coalesce("odd", F.lit(0))).alias("total"))
@@ -318,29 +323,29 @@ def _first_radius(asked: DataFrame, items: DataFrame, points: DataFrame) -> Data
     return asked.join(level, "request_id", "left").withColumn("radius_m", F.coalesce(radius, F.lit(_WIDEST_M)))
 
 
-def nearest(requests: DataFrame, found: DataFrame, venues: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((request_id, total), matched pairs that are sure to hold the first `rows`) for requests with a
-    point and no radius, which are ordered by distance, what has no place last.
+def nearest(requests: DataFrame, found: DataFrame, venues: DataFrame, total: DataFrame, index=None) -> DataFrame:
+    """Matched pairs that are sure to hold the first `rows` of requests with a point and no radius, which
+    are ordered by distance, what has no place last. `total` is that of `by_day`.
 
     Circles grow until one holds `rows` matches: the first is guessed from counts of cells, each request
     that finds too few has its own tripled, and those that reach around the world, or have few matches
     in all, meet theirs by day. So pairs grow with the rows that are returned, not with requests times
     items; totals come from running counts by day."""
     ask = requests.filter("lat IS NOT NULL AND radius_km IS NULL")
-    total = materialize(by_day(ask, found)[0])
-    points = venues.select(F.col("id").alias("place_venue_id"), "lat", "lon")
+    points = _points(venues)
+    index = index or indexed(points)
     slim = found.select(
         "id", "kind", "is_free", "first_day", "last_day", "place_venue_id",
         first_number(F.col("first_day")).alias("_first"), last_number(F.col("last_day")).alias("_last"))
-    known = materialize(ask.join(total, "request_id").withColumn("all_items", F.lit(found.count())))
+    known = ask.join(total, "request_id").withColumn("all_items", F.lit(found.count()))
     many = known.filter(F.col("total") > _FEW * F.col("rows"))
     pending = materialize(_first_radius(many.select("request_id", "rows", "lat", "lon", "total", "all_items"), slim, points))
     columns = ["request_id", "id", "rows", "date_from", "first_day", "last_day", "metres"]
     rounds = []
     while pending.filter(F.col("radius_m") < _WIDEST_M).limit(1).count():
         circles = _asked(requests).drop("radius_m").join(pending.select("request_id", "radius_m"), "request_id")
-        inside = within_radius(circles.filter(F.col("radius_m") < _WIDEST_M), points)
-        met = materialize(overlap_pairs(inside, slim, salts=1, keys=["place_venue_id"]).filter(_wanted()).select(*columns, "radius_m"))
+        inside = within_radius(circles.filter(F.col("radius_m") < _WIDEST_M), points, index=index)
+        met = materialize(inside.join(slim, "place_venue_id").filter("_first <= _to AND _last >= _from").filter(_wanted()).select(*columns, "radius_m"))
         # Distances are ordered by steps of 100 m, so the last step of a circle may go on outside it.
         n = met.filter("metres <= radius_m - 100").groupBy("request_id").agg(F.count("*").alias("n"))
         judged = pending.join(n, "request_id", "left").withColumn("enough", F.coalesce("n", F.lit(0)) >= F.col("rows"))
@@ -354,12 +359,12 @@ def nearest(requests: DataFrame, found: DataFrame, venues: DataFrame) -> tuple[D
     pairs = rest.select(*columns)
     for met in rounds:
         pairs = pairs.unionByName(met.select(*columns))
-    return total, pairs.withColumn("distance_km", distance_km(F.col("metres"))).drop("metres")
+    return pairs.withColumn("distance_km", distance_km(F.col("metres"))).drop("metres")
 
 
 def search_totals(requests: DataFrame, found: DataFrame, venues: DataFrame) -> DataFrame:
     """`totals` of all requests, without making the pairs of those that have no radius."""
-    counted = matches(requests.filter("radius_km IS NOT NULL"), found, venues).groupBy("request_id").agg(F.count("*").alias("total"))
+    counted = matches(requests, found, venues).groupBy("request_id").agg(F.count("*").alias("total"))
     counted = counted.unionByName(by_day(requests, found)[0])
     total = F.coalesce("total", F.lit(0).cast("long"))
     return requests.select("request_id", "rows").join(counted, "request_id", "left").select(
@@ -370,7 +375,8 @@ def search_totals(requests: DataFrame, found: DataFrame, venues: DataFrame) -> D
 def search(requests: DataFrame, found: DataFrame, venues: DataFrame) -> DataFrame:
     """The rows of each request in order: nearest first when it has a point, then the soonest to
     end, open-ended last. `total` counts what matched before the cut to `rows`."""
-    matched = matches(requests.filter("radius_km IS NOT NULL"), found, venues).withColumn("coarse", _coarse())
+    index = indexed(_points(venues))
+    matched = matches(requests, found, venues, index).withColumn("coarse", _coarse())
     # First pass: how many rows stand at each step of the leading order column. That gives the total
     # and the last step that can be returned, so the second pass orders few rows and no others.
     steps = matched.groupBy("request_id", "rows", "coarse").agg(F.count("*").alias("n"))
@@ -380,11 +386,11 @@ def search(requests: DataFrame, found: DataFrame, venues: DataFrame) -> DataFram
         F.coalesce(F.min(F.when(F.col("upto") >= F.col("rows"), F.col("coarse"))), F.max("coarse")).alias("last_step"))
     columns = ["request_id", "rows", "total", "id", "date_from", "first_day", "last_day", "distance_km"]
     first = matched.join(counted, "request_id").filter("coarse <= last_step").select(*columns)
-    totals_by_day, pairs = by_day(requests.filter("lat IS NULL"), found)
-    first = first.unionByName(pairs.join(totals_by_day, "request_id").withColumn(
+    total, pairs = by_day(requests, found)
+    total = materialize(total)
+    first = first.unionByName(pairs.join(total, "request_id").withColumn(
         "distance_km", F.lit(None).cast("double")).select(*columns))
-    near_totals, pairs = nearest(requests, found, venues)
-    first = first.unionByName(pairs.join(near_totals, "request_id").select(*columns))
+    first = first.unionByName(nearest(requests, found, venues, total, index).join(total, "request_id").select(*columns))
     order = Window.partitionBy("request_id").orderBy(
         F.col("distance_km").asc_nulls_last(), F.col("last_day").asc_nulls_last(),
         F.col("first_day").asc_nulls_first(), "id")
