@@ -117,6 +117,8 @@ def within_radius(
     leaves, spots = index or indexed(points, small)
     near = _leaves_near(centers.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumnsRenamed({"lat": "_clat", "lon": "_clon"}), leaves)
     near = near.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    # The join multiplies these few small rows, so they are dealt evenly first.
+    near = near.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_leaf", "_block", "_clat", "_clon")
     return (
         near.drop("_n", "_blocks").join(spots, ["_leaf", "_block"])
         .withColumn("metres", distance_m(

@@ -184,17 +184,23 @@ def matches(requests: DataFrame, found: DataFrame, venues: DataFrame, index=None
     """Every (request, item) that meets a request with a radius, with what results are ordered by.
 
     Requests meet the venues inside their radius first, on a quadtree, and then only those venues' items
-    (slim: what is filtered and ordered by, nothing else). The join multiplies rows, so the items are
-    spread evenly before."""
-    partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (slim: what is filtered and ordered by, nothing else)."""
     slim = found.filter("place_venue_id IS NOT NULL").select(
         "id", "kind", "is_free", "first_day", "last_day", "place_venue_id",
-        first_number(F.col("first_day")).alias("_first"), last_number(F.col("last_day")).alias("_last")).repartition(partitions, "id")
+        first_number(F.col("first_day")).alias("_first"), last_number(F.col("last_day")).alias("_last"))
     inside = within_radius(_asked(requests).filter("radius_m IS NOT NULL"), _points(venues), index=index)
-    return inside.join(slim, "place_venue_id").filter("_first <= _to AND _last >= _from").filter(_wanted()).select(
+    return _items_inside(inside, slim).select(
         "request_id", "id", "rows", "date_from", "first_day", "last_day", distance_km(F.col("metres")).alias("distance_km"))
 
 
+def _items_inside(inside: DataFrame, slim: DataFrame) -> DataFrame:
+    """The wanted items of the venues inside each circle. The join multiplies rows, so the pairs of
+    request and venue are dealt evenly before, whatever few tasks the circles came from."""
+    partitions = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return inside.repartition(partitions, "request_id", "place_venue_id").join(slim, "place_venue_id").filter(
+        "_first <= _to AND _last >= _from").filter(_wanted())
+
+
 def _points(venues: DataFrame) -> DataFrame:
     return venues.select(F.col("id").alias("place_venue_id"), "lat", "lon")
 
@@ -345,7 +351,7 @@ def nearest(requests: DataFrame, found: DataFrame, venues: DataFrame, total: Dat
     while pending.filter(F.col("radius_m") < _WIDEST_M).limit(1).count():
         circles = _asked(requests).drop("radius_m").join(pending.select("request_id", "radius_m"), "request_id")
         inside = within_radius(circles.filter(F.col("radius_m") < _WIDEST_M), points, index=index)
-        met = materialize(inside.join(slim, "place_venue_id").filter("_first <= _to AND _last >= _from").filter(_wanted()).select(*columns, "radius_m"))
+        met = materialize(_items_inside(inside, slim).select(*columns, "radius_m"))
         # Distances are ordered by steps of 100 m, so the last step of a circle may go on outside it.
         n = met.filter("metres <= radius_m - 100").groupBy("request_id").agg(F.count("*").alias("n"))
         judged = pending.join(n, "request_id", "left").withColumn("enough", F.coalesce("n", F.lit(0)) >= F.col("rows"))
