@@ -25,7 +25,7 @@ NOT_OVER = date(1998, 3, 5)
     left join (select venue_id, count(*) n from v_art_events group by 1) a on a.venue_id = v.id
     where v.is_pilot order by name, id limit 100""")
 def browse_venues(t):
-    return browse.venues(t["v_venues"], t["v_pages"], t["v_exhibitions"], t["v_art_events"])
+    return browse.venues(t["v_venues"], t["v_pages"], t["v_exhibitions"], t["v_art_events"], limit=100)
 
 
 @query("browse_seeds", """
@@ -69,7 +69,7 @@ def browse_exhibitions(t):
     select {_ITEM} from v_exhibitions i join v_venues v on v.id = venue_id
     where contains(lower(title), 'ring') order by v.name, start_date nulls last, i.id limit 100""")
 def browse_exhibitions_titled(t):
-    return _flat(browse.exhibitions(t["v_exhibitions"], t["v_venues"], title="RING"))
+    return _flat(browse.exhibitions(t["v_exhibitions"], t["v_venues"], title="RING", limit=100))
 
 
 @query("browse_art_events", f"""

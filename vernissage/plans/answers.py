@@ -35,10 +35,11 @@ def _lists(inputs: Column, key: str) -> tuple[Column, Column]:
     return F.flatten(F.filter(parsed, lambda p: p.isNotNull())), bad
 
 
-def read_answers(answers: DataFrame) -> DataFrame:
+def read_answers(answers: DataFrame, most: int | None = None) -> DataFrame:
     """One row per page: page_id, listing, link_count, fetched_on, links, exhibitions and events as
-    arrays of JSON texts, `capped`, and `reason` where the whole answer cannot be used. A listing is
-    cut to its first items before anything in it is judged."""
+    arrays of JSON texts, `capped`, and `reason` where the whole answer cannot be used. All items are
+    taken, or up to `most` of a kind where a number is given: a listing is then cut to its first items
+    before anything in it is judged, and any other page with more is refused."""
     calls = F.transform("tool_inputs", lambda s: F.from_json(s, _RAW))
     read = answers.withColumn("_calls", calls)
     shows, bad_shows = _lists(F.col("_calls"), "exhibitions")
@@ -50,10 +51,11 @@ def read_answers(answers: DataFrame) -> DataFrame:
         "reason": F.when((F.size("_calls") == 0) | F.exists("_calls", lambda m: m.isNull()), "not an answer")
         .when(unknown, "unknown key").when(bad_shows | bad_events, "not a list"),
     })
-    cut = lambda c: F.when(F.col("listing"), F.slice(c, 1, vocab.MAX_ITEMS)).otherwise(F.col(c))
-    over = ~F.col("listing") & (
-        (F.size("_shows") > vocab.MAX_ITEMS) | (F.size("_events") > vocab.MAX_ITEMS))
-    full = (F.size("_shows") >= vocab.MAX_ITEMS) | (F.size("_events") >= vocab.MAX_ITEMS)
+    none = most is None
+    cut = lambda c: F.col(c) if none else F.when(F.col("listing"), F.slice(c, 1, most)).otherwise(F.col(c))
+    longest = F.greatest(F.size("_shows"), F.size("_events"))
+    over = F.lit(False) if none else ~F.col("listing") & (longest > most)
+    full = F.lit(False) if none else longest >= most
     return read.select(
         "page_id", "listing", "link_count", "fetched_on", "links",
         cut("_shows").alias("exhibitions"), cut("_events").alias("events"),
@@ -140,10 +142,10 @@ def judge_items(read: DataFrame) -> DataFrame:
     return items.withColumn("reason", reason)
 
 
-def validate_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def validate_answers(answers: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(exhibitions, events, pages). One bad item refuses its page, so `pages` says per page whether
     it was refused and why, what it yielded, and whether it was cut at the cap."""
-    read = read_answers(answers)
+    read = read_answers(answers, most)
     judged = judge_items(read)
     verdict = judged.groupBy("page_id").agg(
         F.min_by("reason", F.when(F.col("reason").isNotNull(), F.struct("list", "ord"))).alias("_item_reason"),

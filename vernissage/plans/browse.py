@@ -20,7 +20,7 @@ def _take(df: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
 
 def venues(
     venues: DataFrame, pages: DataFrame, exhibitions: DataFrame, events: DataFrame, *,
-    pilot_only: bool = True, name: str | None = None, limit: int | None = 100,
+    pilot_only: bool = True, name: str | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Venues by name with how many pages, exhibitions and events each has."""
     chosen = venues
@@ -45,7 +45,7 @@ def _named(df: DataFrame, venues: DataFrame, how: str = "inner") -> DataFrame:
 
 
 def seeds(seeds: DataFrame, venues: DataFrame, *, venue_id: int | None = None,
-          limit: int | None = 100) -> DataFrame:
+          limit: int | None = None) -> DataFrame:
     chosen = seeds if venue_id is None else seeds.filter(F.col("venue_id") == venue_id)
     rows = _named(chosen, venues).select(
         "venue_id", "venue_name", "url", "page_type", "confidence", "dated_items", "language",
@@ -54,7 +54,7 @@ def seeds(seeds: DataFrame, venues: DataFrame, *, venue_id: int | None = None,
 
 
 def pages(pages: DataFrame, venues: DataFrame, *, venue_id: int | None = None,
-          limit: int | None = 100) -> DataFrame:
+          limit: int | None = None) -> DataFrame:
     """Every crawled page by its metadata, listings first within each venue."""
     chosen = pages if venue_id is None else pages.filter(F.col("venue_id") == venue_id)
     counted = F.size(F.split(strip_space(F.col("raw_text")), r"(?U)\s+")).cast("long")
@@ -90,7 +90,7 @@ def _items(df: DataFrame, venue_id: int | None, source_url: str | None, title: s
 def exhibitions(
     exhibitions: DataFrame, venues: DataFrame, *, venue_id: int | None = None,
     source_url: str | None = None, title: str | None = None, not_over_on: date | None = None,
-    limit: int | None = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     """Stored exhibitions, earliest start first within each venue; one with no end is not over."""
     chosen = _items(exhibitions, venue_id, source_url, title)
@@ -103,7 +103,7 @@ def exhibitions(
 def art_events(
     events: DataFrame, venues: DataFrame, *, venue_id: int | None = None,
     source_url: str | None = None, title: str | None = None, kind: str | None = None,
-    not_over_on: date | None = None, limit: int | None = 100,
+    not_over_on: date | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Stored events; one with no end is over after its start day, one with no date is kept."""
     chosen = _items(events, venue_id, source_url, title)
@@ -123,7 +123,7 @@ def art_events(
 
 def feed_events(
     snapshots: DataFrame, occurrences: DataFrame, venues: DataFrame, *,
-    venue_id: int | None = None, not_over_on: date | None = None, limit: int | None = 100,
+    venue_id: int | None = None, not_over_on: date | None = None, limit: int | None = None,
 ) -> DataFrame:
     """The feed's events, one row per occurrence ever stored, earliest start first."""
     kept = occurrences.select(
