@@ -184,7 +184,7 @@ def _neighbours(paths: DataFrame, near: int, store: Store) -> DataFrame:
 
 def _likely(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The pairs whose signatures agree in as many values as linked sets do, less DEVIATIONS standard
-    deviations (one linked pair in some millions has fewer)."""
+    deviations (some three linked pairs in a million have fewer)."""
     share = percent / 100
     least = VALUES * share - DEVIATIONS * (VALUES * share * (1 - share)) ** 0.5
 
