@@ -36,7 +36,7 @@ def _plain(requests, items, venues):
     meets = (F.coalesce(F.col("first_day") <= F.col("date_to"), F.lit(True)) & F.coalesce(F.col("last_day") >= F.col("date_from"), F.lit(True)))
     placed = items.join(venues.select(F.col("id").alias("place_venue_id"), F.col("lat").alias("vlat"), F.col("lon").alias("vlon")), "place_venue_id", "left")
     return requests.join(placed, meets & search._wanted()).withColumn(
-        "distance_km", distance_km(distance_m(F.col("vlat"), F.col("vlon"), F.col("lat"), F.col("lon"))))
+        "metres", distance_m(F.col("vlat"), F.col("vlon"), F.col("lat"), F.col("lon"))).withColumn("distance_km", distance_km(F.col("metres")))
 
 
 def _first(pairs):
