@@ -10,6 +10,7 @@ from test_rings import _plain
 from vernissage.operators.places import place_names, resolve_places
 from vernissage.plans import browse, costs, search
 from vernissage.plans.quality import leaked
+from vernissage.session import materialize
 
 WEEKEND = (date(2026, 11, 5), date(2026, 11, 8))
 REQUESTS = {
@@ -43,7 +44,7 @@ def answers(spark, tables):
     asked = spark.createDataFrame([(name, *r) for name, (r, _) in REQUESTS.items()], SCHEMA)
     accepted, refused = search.check_requests(asked, place_names(corpus.places(spark), tables["venues"]))
     assert refused.count() == 0
-    found = search.candidates(**tables)
+    found = materialize(search.candidates(**tables))
     rows = search.search(accepted, found, tables["venues"]).orderBy("position").collect()
     totals = search.search_totals(accepted, found, tables["venues"]).collect()
     plain = _plain(accepted, found, tables["venues"]).filter("radius_km IS NULL OR metres <= radius_km * 1000").groupBy("request_id").count()
