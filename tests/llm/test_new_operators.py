@@ -147,6 +147,24 @@ def test_lsh_forest_keeps_a_family_together(corpus):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+@pytest.mark.parametrize(("n", "percent", "costly"), [(3, 90, 8), (5, 80, 8), (2, 60, 1)])
+def test_jaccard_join_with_null_and_repeated_ids(corpus, n, percent, costly):
+    """Also a family of copies of which few are linked: they share segments and no rare shingle."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = made(3, 60) + [(7, "a b c"), (7, "d e f g h i j k"), (None, made(3)[0][1]), (None, "n o p q r s"), (None, "n o p q r s")]
+    for k in range(60):
+        text = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 8])):
+            text[at] = f"x{rng.randrange(10**6)}"
+        rows.append((None if k % 9 == 4 else 2000 + k, " ".join(text)))
+    got = [tuple(r) for r in jaccard.jaccard_components(corpus(rows), n_words=n, percent=percent, costly=costly).select(
+        "doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got, key=text_key) == sorted((r[:3] for r in links(rows, n, percent)), key=text_key)
+    if percent == 90:
+        assert len({c for i, _, c in got if i is not None and i >= 2000}) > 5
+
+
 def test_recall_against_the_exact_join(spark, corpus):
     """Pairs just above the threshold among much that is alike: at least 99 of 100 are found."""
     rng = random.Random(9)

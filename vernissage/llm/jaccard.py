@@ -11,15 +11,18 @@ costly keys are worth no more than it may do without (one for a segment, two for
 neighbourhood) leaves them out, any other keeps all; that loses no pair, since a key that two sets share
 is costly for both or for neither.
 
-Candidates are verified on the whole sets. Only links that can change a component are verified: equal
-sets are one class from the start; in each list of classes with an equal segment, all are compared with
-the list's hub (the class that shares most segments with others), the hub shared most first; then lists whose members still lie in
-different components are compared across those, behind an exact bound from parity bitmaps. So a group
+Candidates are verified on the whole sets, which are made once. Only links that can change a component
+are verified: equal sets are one class from the start; in each list of classes with an equal segment, all
+are compared with the list's hub (the class that shares most segments with others), the hub shared most
+first. Members of lists that then still lie in different components are compared by prefixes: with
+shingles in one order for all, the rarest first, two linked sets share one among the first few of the
+smaller and the first few of the larger set, so what a whole list has in common makes no pairs. So a group
 of near copies costs about its size, and no link between different components is lost.
 
 Defined cases: a null, empty or blank text has an empty set, size 0, and is linked with nothing; a text
-of fewer words than a shingle is one shingle of all its words; repeated ids are kept as they are and
-share their class; extra columns are ignored."""
+of fewer words than a shingle is one shingle of all its words; repeated ids are kept as they are, each
+row with its own text; a row without an id is linked like any other, and a component is named by its
+smallest id, null if it has none; extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vernissage.llm import tokens as T
@@ -121,82 +124,75 @@ def signatures(values: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(keys), np.concatenate(kinds)
 
 
-def _set_table(docs: DataFrame, n_words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash): two sets are one class when both hash words agree."""
+def _set_table(keyed: DataFrame, n_words: int) -> DataFrame:
+    """(doc_id, row, n_shingles, h1, h2): two sets are one class when both hash words agree."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch.column(1)):
+            for part in T.slices(batch.column(2)):
                 values, first = shingle_sets(part, n_words)
                 mixed = np.zeros(len(values) + 1, dtype=T.U)
                 np.cumsum(T.mix(values), dtype=T.U, out=mixed[1:])
                 again = np.zeros(len(values) + 1, dtype=T.U)
                 np.cumsum(T.mix(values * T.BASE), dtype=T.U, out=again[1:])
-                n = np.diff(first)
+                n, own = np.diff(first), slice(part.at, part.at + len(part))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0)[part.at : part.at + len(part)], pa.array(n, pa.int64()),
+                    batch.column(0)[own], batch.column(1)[own], pa.array(n, pa.int64()),
                     pa.array(T.longs(mixed[first[1:]] - mixed[first[:-1]])),
                     pa.array(T.longs(again[first[1:]] - again[first[:-1]])),
-                ], names=["doc_id", "n_shingles", "h1", "h2"])
+                ], names=["doc_id", "row", "n_shingles", "h1", "h2"])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return keyed.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, n_shingles long, h1 long, h2 long")
 
 
-def _signature_rows(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """(cls, key, code): one row for each signature of each representative document."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for part in T.slices(batch.column(1), 1 << 20):
-                values, first = shingle_sets(part, n_words)
-                made = [signatures(values[first[i] : first[i + 1]], bands) for i in range(len(part))]
-                lengths = np.array([len(k) for k, _ in made])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(ids[part.at : part.at + len(part)], lengths), pa.int64()),
-                    pa.array(T.longs(np.concatenate([k for k, _ in made]))) if made else pa.array([], pa.int64()),
-                    pa.array(np.concatenate([k for _, k in made])),
-                ], names=["cls", "key", "code"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "cls long, key long, code short")
+def _parity(values: np.ndarray) -> np.ndarray:
+    """A set's parity bitmap: each element flips one bit, so two bitmaps differ in at most as many bits as
+    the sets in elements. Of at least 0.7 bits an element, a power of two in size, so that of unrelated
+    sets differs in more bits than linked sets can differ in elements."""
+    size = 64 * BITMAP_WORDS
+    while size < 0.7 * len(values):
+        size *= 2
+    place = (T.mix(values ^ T.U(0xA0761D6478BD642F)) % T.U(size)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=size) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _whole_sets(docs: DataFrame, n_words: int) -> DataFrame:
-    """(cls, n, items, bits): the set itself, and its parity bitmap - each element flips one bit, so
-    two bitmaps differ in at most as many bits as the sets in elements."""
+def _whole_sets(keyed: DataFrame, n_words: int) -> DataFrame:
+    """(cls, n, items, bits): each text's set and its parity bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch.column(1), 1 << 20):
                 values, first = shingle_sets(part, n_words)
-                n = np.diff(first)
+                bits = [_parity(values[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0)[part.at : part.at + len(part)], pa.array(n, pa.int64()),
-                    T.lists(T.longs(values), n),
-                ], names=["cls", "n", "items"])
+                    batch.column(0)[part.at : part.at + len(part)], pa.array(np.diff(first), pa.int64()),
+                    T.lists(T.longs(values), np.diff(first)),
+                    T.lists(np.concatenate(bits), np.array([len(x) for x in bits])),
+                ], names=["cls", "n", "items", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "cls long, n long, items array<long>")
+    return keyed.select("row", "text").mapInArrow(run, "cls long, n long, items array<long>, bits array<long>")
 
 
-def _bitmaps(docs: DataFrame, n_words: int) -> DataFrame:
-    """(cls, n, bits): each set's parity bitmap of at least 0.7 bits an element, a power of two in size,
-    so that of unrelated sets differs in more bits than linked sets can differ in elements."""
+def _signature_rows(whole: DataFrame, percent: int, turn: int, turns: int) -> DataFrame:
+    """(cls, key, code): the signatures of each set whose keys are of this turn."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
         for batch in batches:
-            for part in T.slices(batch.column(1), 1 << 20):
-                values, first = shingle_sets(part, n_words)
-                place, packed = T.mix(values ^ T.U(0xA0761D6478BD642F)), []
-                for a, b in zip(first[:-1], first[1:], strict=True):
-                    size = 64 * BITMAP_WORDS
-                    while size < 0.7 * (b - a):
-                        size *= 2
-                    count = np.bincount((place[a:b] % T.U(size)).astype(np.int64), minlength=size)
-                    packed.append(np.packbits((count & 1).astype(np.uint8)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0)[part.at : part.at + len(part)], pa.array(np.diff(first), pa.int64()),
-                    T.lists(np.concatenate(packed), np.array([len(x) for x in packed])),
-                ], names=["cls", "n", "bits"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "cls long, n long, bits array<long>")
+            ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            values, first = lists.values.to_numpy(zero_copy_only=False).view(T.U), lists.offsets.to_numpy()
+            found, waiting = [], 0
+            for i in range(len(ids)):
+                keys, codes = signatures(values[first[i] : first[i + 1]], bands)
+                own = keys % T.U(turns) == T.U(turn)
+                found.append((ids[i], keys[own], codes[own]))
+                waiting += len(found[-1][1])
+                if waiting > 1 << 18 or i == len(ids) - 1:
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.repeat(np.array([x[0] for x in found]), [len(x[1]) for x in found]), pa.int64()),
+                        pa.array(T.longs(np.concatenate([x[1] for x in found]))),
+                        pa.array(np.concatenate([x[2] for x in found])),
+                    ], names=["cls", "key", "code"])
+                    found, waiting = [], 0
+
+    return whole.select("cls", "items").mapInArrow(run, "cls long, key long, code short")
 
 
 def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -215,13 +211,11 @@ def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return near.filter(f"size(ba) <> size(bb) OR {off} * {100 + percent} <= {100 - percent} * (na + nb)").select("a", "b")
 
 
-def _verify(pairs: DataFrame, reps: DataFrame, n_words: int, percent: int, store: Store, name: str) -> DataFrame:
+def _verify(pairs: DataFrame, whole: DataFrame, percent: int, store: Store, name: str) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     pairs = store.put(pairs, f"{name}-pairs")
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = store.put(_whole_sets(reps.join(ends, "doc_id", "left_semi"), n_words), f"{name}-sets")
-    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
-    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
+    left = whole.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
+    right = whole.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
     near = F.expr(f"least(na, nb) * 100 >= {percent} * greatest(na, nb)")
     # Members bring their sets to the hub, not the hub's to each member.
     left = left.join(pairs.select("a").distinct(), "a", "left_semi")
@@ -230,48 +224,70 @@ def _verify(pairs: DataFrame, reps: DataFrame, n_words: int, percent: int, store
     linked = both.withColumn("common", common).filter(
         f"common * 100 >= {percent} * (na + nb - common)").select("a", "b")
     linked = store.put(linked, f"{name}-links")
-    store.drop(f"{name}-sets")
+    store.drop(f"{name}-pairs")
     return linked
 
 
+def _lists(met: DataFrame, percent: int, costly: int) -> DataFrame:
+    """(cls, key, pop): the keys that each class is looked up by, and how often they are shared in all.
+    All of it is decided per class, after one shuffle."""
+    bands = Bands(percent)
+    room = F.array(*(F.lit(bands.room(b)) for b in range(len(bands.uppers))))
+    dealt = met.repartition("cls").withColumn("tag", F.expr("code div 2").cast("int"))
+    heavy = F.col("freq") > costly
+    worth = F.sum(F.when(heavy, 1 + F.col("code") % 2)).over(Window.partitionBy("cls", "tag"))
+    marked = dealt.withColumn("left_out", heavy & (worth <= F.get(room, F.col("tag"))))
+    once = marked.groupBy("cls", "key").agg(F.max("freq").alias("freq"), F.max("left_out").alias("left_out")).filter("NOT left_out")
+    return once.withColumn("pop", F.sum("freq").over(Window.partitionBy("cls"))).select("cls", "key", "pop")
+
+
+def _prefix_pairs(members: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Pairs of `members` (cls, c) of different components c that a link is possible for. With the items of
+    all sets in one order, rarest first, let a linked pair's first common item stand at place i of the
+    larger and j of the smaller set, n and m items long: n - i and m - j are at least what they share."""
+    held = members.join(whole.select("cls", "n", "items"), "cls").dropDuplicates(["cls"]).select(
+        "cls", "c", "n", F.explode("items").alias("item"))
+    often = held.groupBy("item").agg(F.count("*").alias("freq")).filter("freq > 1")
+    by_rarity = Window.partitionBy("cls").orderBy(F.coalesce("freq", F.lit(1)), "item")
+    placed = held.join(often, "item", "left").withColumn("place", F.row_number().over(by_rarity) - 1)
+    # As many places as leave what a pair must share: with any smaller set, and with one at least as large.
+    placed = placed.filter(f"freq > 1 AND (n - place) * 100 >= {percent} * n").select("item", "cls", "c", "n", "place")
+    short = placed.filter(f"(n - place) * {100 + percent} >= 2 * {percent} * n")
+    larger, smaller = placed.alias("p"), short.alias("q")
+    return larger.join(smaller, F.expr(
+        f"p.item = q.item AND p.c <> q.c AND (p.n > q.n OR (p.n = q.n AND p.cls > q.cls)) "
+        f"AND least(p.n - p.place, q.n - q.place) * {100 + percent} >= {percent} * (p.n + q.n)")).select(
+        F.col("q.cls").alias("a"), F.col("p.cls").alias("b")).distinct()
+
+
 def jaccard_components(
     docs: DataFrame, *, n_words: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT, costly: int = COSTLY,
 ) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) for every row of `docs` (doc_id, text). class_id:
     the smallest document with the same set; component_id: the smallest document that links lead to."""
     store = Store(docs.sparkSession)
-    sets = store.put(_set_table(docs, n_words), "sets")
-    classes = sets.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("cls"))
-    firsts = store.put(classes, "classes")
-    # Of documents that share an id, the text is taken whose set the class is named after.
-    reps = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
-        firsts.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi")
-    rows = store.put(_signature_rows(reps, n_words, percent), "signatures")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # Inside, rows go by a key of their own: ids can be null or repeat with another text.
+    keyed = keyed.withColumn("row", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
+    sets = store.put(_set_table(keyed, n_words), "sets")
+    firsts = store.put(sets.filter("n_shingles > 0").groupBy("h1", "h2").agg(
+        F.min("row").alias("cls"), F.min("doc_id").alias("class_id")), "classes")
+    whole = store.put(_whole_sets(keyed.join(firsts.select(F.col("cls").alias("row")), "row", "left_semi"), n_words), "whole")
     for k in range(PASSES):
         # Both the count and the join read one exchange; a pass is in flight at a time.
-        dealt = rows.filter(F.pmod("key", F.lit(PASSES)) == k).repartition("key")
+        dealt = _signature_rows(whole, percent, k, PASSES).repartition("key")
         shared = dealt.groupBy("key").agg(F.count("*").alias("freq")).filter("freq > 1")
         store.put(dealt.join(shared, "key"), f"met/pass={k}")
-    met = store.get("met", "cls long, key long, code short, freq long")
-    store.drop("signatures")
-    bands = Bands(percent)
-    room = F.array(*(F.lit(bands.room(b)) for b in range(len(bands.uppers))))
-    heavy = met.filter(f"freq > {costly}").withColumn("tag", F.expr("code div 2").cast("int"))
-    light = heavy.groupBy("cls", "tag").agg(F.sum(1 + F.col("code") % 2).alias("worth")).filter(
-        F.col("worth") <= F.get(room, F.col("tag"))).select("cls", "tag")
-    skipped = heavy.join(light, ["cls", "tag"]).select("cls", "key")
-    lists = met.join(skipped, ["cls", "key"], "left_anti").select("cls", "key", "freq").distinct()
-    popular = lists.groupBy("cls").agg(F.sum("freq").alias("pop"))
-    lists = store.put(lists.join(popular, "cls").select("cls", "key", "pop"), "lists")
+    lists = store.put(_lists(store.get("met", "cls long, key long, code short, freq long"), percent, costly), "lists")
     store.drop("met")
-    bits = store.put(_bitmaps(reps.join(lists.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi"), n_words), "bits")
+    bits = whole.select("cls", "n", "bits")
     hubs = lists.groupBy("key").agg(
         F.max_by("cls", F.struct("pop", -F.col("cls"))).alias("hub"), F.count("*").alias("n")).filter("n > 1")
     star = store.put(lists.join(hubs, "key").filter("cls <> hub").groupBy(F.col("hub").alias("a"), F.col("cls").alias("b")).agg(
         F.count("*").alias("keys")), "star")
     # First the hub that a class shares most with, then the others that could still join components.
     best = star.groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b")
-    verify = lambda pairs, name: _verify(_possible(pairs, bits, percent), reps, n_words, percent, store, name)
+    verify = lambda pairs, name: _verify(_possible(pairs, bits, percent), whole, percent, store, name)
     links = verify(best, "best")
     labels = components(links, store, "first")
 
@@ -286,18 +302,19 @@ def jaccard_components(
     # What is left: lists whose members lie in different components.
     marked = told(lists.select("key", F.col("cls").alias("a")), "a")
     open_keys = marked.groupBy("key").agg(F.min("c_a").alias("lo"), F.max("c_a").alias("hi")).filter("lo < hi")
-    left = store.put(marked.join(open_keys.select("key"), "key", "left_semi"), "open")
-    across = left.join(left.select("key", F.col("a").alias("b"), F.col("c_a").alias("c_b")), "key").filter(
-        "a < b AND c_a <> c_b").select("a", "b").distinct()
+    left = store.put(marked.join(open_keys.select("key"), "key", "left_semi").select(
+        F.col("a").alias("cls"), F.col("c_a").alias("c")).distinct(), "open")
+    store.drop("lists")
+    across = store.put(_prefix_pairs(left, whole, percent), "across")
     for tried in (best, done):
         across = across.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(
             tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     labels = components(links.union(verify(across, "rest")), store, "last")
-    store.drop("lists", "bits", "star", "open", "others")
-    named = firsts.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "h1", "h2", "cls", F.coalesce("component", "cls").alias("component"))
-    return sets.join(named.withColumn("n_shingles", F.lit(None)).drop("n_shingles"), ["h1", "h2"], "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("cls")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    store.drop("whole", "star", "open", "others", "across")
+    named = firsts.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
+        "component", F.coalesce("component", "cls"))
+    ids = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = named.join(ids, "component").select("h1", "h2", "class_id", "component_id")
+    return sets.join(named, ["h1", "h2"], "left").select(
+        "doc_id", "n_shingles", *(F.when(F.col("n_shingles") > 0, F.col(c)).otherwise(F.col("doc_id")).alias(c)
+                                  for c in ("class_id", "component_id")))
