@@ -3,15 +3,16 @@
 The words of a source's documents, one after another, are packed into blocks of a fixed number of
 words. How many slots of each output shard a source gets is drawn from a multinomial of the targets, one
 seeded draw a shard. The slots of a source are numbered over the shards; slot j takes block P(j) of the
-source, P being a pseudorandom permutation of its block numbers, another one on every pass over them. So
-no block comes k+1 times before all have come k times. Draws beyond a source's target go to the sources
-that fell short, in a last shard; each source's slots are then its target to within one block.
+source, P being a pseudorandom permutation of its whole blocks, another one on every pass over them, with
+what is left over, the last and shorter block, at its end. So no block comes k+1 times before all have
+come k times. Draws beyond a source's target go to the sources that fell short, in a last shard, and a
+source's last slot takes a part of its block: each source takes its target to the word, however small.
 
 Everything is a function of the rows and the seed: reruns agree. Nothing about documents reaches the
 driver; per source (a closed list, as it has weights) one row of totals does.
 
 Defined cases: null and blank texts have size 0 and nothing is taken of them; a null source is a source
-of its own, the last; rows with equal ids are separate documents; without any words nothing is taken and
+of its own, the last; rows without an id or with equal ids are separate documents; without any words nothing is taken and
 targets are 0; extra columns are ignored."""
 
 from __future__ import annotations
@@ -35,20 +36,21 @@ MOST_SHARDS = 100_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): the words of every whole text."""
+    """(doc_id, source, row, size): the words of every whole text, and a key of id and text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch.column(2)):
+            for part in T.slices(batch.column(3)):
                 start, _ = T.word_spans(part.data, part.bounds)
                 counts = np.diff(np.searchsorted(start, part.bounds))
                 own = slice(part.at, part.at + len(part))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[own], batch.column(1)[own], pa.array(counts, pa.int64())],
-                    names=["doc_id", "source", "size"])
+                    [batch.column(0)[own], batch.column(1)[own], batch.column(2)[own], pa.array(counts, pa.int64())],
+                    names=["doc_id", "source", "row", "size"])
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                        F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, source string, size long")
+    kept = kept.withColumn("row", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
+    return kept.select("doc_id", "source", "row", "text").mapInArrow(run, "doc_id long, source string, row long, size long")
 
 
 def targets(totals: Sequence[int], weights: Sequence[float], share: float, most: float) -> list[float]:
@@ -71,6 +73,17 @@ def targets(totals: Sequence[int], weights: Sequence[float], share: float, most:
     return given
 
 
+def slots_of(target: float, total: int, most: int, block_words: int) -> tuple[int, int]:
+    """(slots, words of the last one) that take `target` of a source's `total` words: whole passes over
+    its blocks, then whole blocks, then a part of one."""
+    want = min(round(target), most * total)
+    if want <= 0:
+        return 0, 0
+    passes, rest = divmod(want, total)
+    more = -(-rest // block_words)
+    return passes * -(-total // block_words) + more, rest - (more - 1) * block_words if more else block_words
+
+
 def permuted(slot: np.ndarray, n: int, key: int) -> np.ndarray:
     """A pseudorandom permutation of 0..n-1 (a Feistel network on pairs, walked until inside)."""
     side = np.uint64(int(np.ceil(np.sqrt(n))))
@@ -102,7 +115,9 @@ def mix(
     totals = [r["size"] for r in found]
     given = targets(totals, [weights[i % len(weights)] for i in range(len(found))], share, most)
     blocks = [-(-n // block_words) for n in totals]
-    slots = [min(round(t / block_words), most * n) for t, n in zip(given, blocks, strict=True)]
+    whole = [n // block_words for n in totals]
+    dealt_out = [slots_of(t, n, most, block_words) for t, n in zip(given, totals, strict=True)]
+    slots, last_words = [n for n, _ in dealt_out], [n for _, n in dealt_out]
     schema = "source string, source_no int, source_size long, target double"
     source_rows = spark.createDataFrame(
         [(r.source, i, totals[i], given[i]) for i, r in enumerate(found)], schema)
@@ -113,8 +128,8 @@ def mix(
     rows = sized.join(F.broadcast(source_rows) if len(found) <= 10_000 else source_rows,
                       sized["source"].eqNullSafe(source_rows["source"]))
     rows = rows.select(source_rows["source_no"], "doc_id", sized["source"], "size", "source_size", "target",
-                       F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(chunks)).alias("chunk"))
-    inside = Window.partitionBy("source_no", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+                       "row", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(chunks)).alias("chunk"))
+    inside = Window.partitionBy("source_no", "chunk").orderBy("doc_id", "row", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = store.put(rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))), "placed")
     over = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("source_no", "chunk").agg(F.sum("size").alias("n")).select(
@@ -150,27 +165,29 @@ def mix(
         for batch in batches:
             for shard, no, n, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 slot = np.arange(first, min(first + n, slots[no]))
-                taken = np.empty(len(slot), dtype=np.int64)
-                turn = slot // max(blocks[no], 1)
+                turn, taken = slot // max(blocks[no], 1), slot % max(blocks[no], 1)
                 for k in np.unique(turn):
-                    at = turn == k
-                    taken[at] = permuted(slot[at] % blocks[no], blocks[no], (seed * 1_000_003 + no) * 64 + int(k))
+                    at = (turn == k) & (taken < whole[no])  # the shorter block stays the last of its pass
+                    if at.any():
+                        taken[at] = permuted(taken[at], whole[no], (seed * 1_000_003 + no) * 64 + int(k))
+                words = np.where(slot == slots[no] - 1, last_words[no], block_words)
                 if len(slot):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(slot), shard), pa.int64()), pa.array(slot, pa.int64()),
-                         pa.array(np.full(len(slot), no), pa.int32()), pa.array(taken, pa.int64())],
-                        names=["shard", "slot", "source_no", "block"])
+                         pa.array(np.full(len(slot), no), pa.int32()), pa.array(taken, pa.int64()), pa.array(words, pa.int64())],
+                        names=["shard", "slot", "source_no", "block", "slot_words"])
 
     parts = max(1, min(shards, 4 * spark.sparkContext.defaultParallelism))
     filled = dealt.select("shard", "source_no", "n", "first").repartition(parts, "shard", "source_no").mapInArrow(
-        fill, "shard long, slot long, source_no int, block long")
+        fill, "shard long, slot long, source_no int, block long, slot_words long")
     held = placed.filter("size > 0").withColumn("block", F.explode(F.expr(
         f"sequence(row_start div {block_words}, (row_start + size - 1) div {block_words})")))
     held = held.select(
-        "source_no", "block", "row_start", "doc_id",
+        "source_no", "block", "row_start", "doc_id", F.expr(f"greatest(row_start - block * {block_words}, 0L)").alias("at"),
         F.expr(f"greatest(block * {block_words} - row_start, 0L)").alias("first_word"),
         F.expr(f"least((block + 1) * {block_words}, row_start + size) - greatest(block * {block_words}, row_start)").alias("n_words"))
-    pieces = filled.join(held, ["source_no", "block"]).select(
+    pieces = filled.join(held, ["source_no", "block"]).filter("at < slot_words").withColumn(
+        "n_words", F.least("n_words", F.col("slot_words") - F.col("at"))).select(
         "shard", "slot", "source_no", "block", "row_start", "doc_id", "first_word", "n_words")
     return placed, pieces
 
