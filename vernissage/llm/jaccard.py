@@ -14,8 +14,9 @@ is costly for both or for neither.
 Candidates are verified on the whole sets, which are made once. Only links that can change a component
 are verified: equal sets are one class from the start; in each list of classes with an equal segment, all
 are compared with the list's hub (the class that shares most segments with others), the hub shared most
-first. Members of lists that then still lie in different components are compared by prefixes: with
-shingles in one order for all, the rarest first, two linked sets share one among the first few of the
+first. Lists whose members then still lie in different components are compared pair by pair if they are
+no longer than a key that is not costly, which is linear in their rows; members of longer ones are
+compared by prefixes: with shingles in one order for all, the rarest first, two linked sets share one among the first few of the
 smaller and the first few of the larger set, so what a whole list has in common makes no pairs. So a group
 of near copies costs about its size, and no link between different components is lost.
 
@@ -184,7 +185,7 @@ def _signature_rows(whole: DataFrame, percent: int, turn: int, turns: int) -> Da
                 own = keys % T.U(turns) == T.U(turn)
                 found.append((ids[i], keys[own], codes[own]))
                 waiting += len(found[-1][1])
-                if waiting > 1 << 18 or i == len(ids) - 1:
+                if waiting > 1 << 16 or i == len(ids) - 1:
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.repeat(np.array([x[0] for x in found]), [len(x[1]) for x in found]), pa.int64()),
                         pa.array(T.longs(np.concatenate([x[1] for x in found]))),
@@ -241,20 +242,25 @@ def _lists(met: DataFrame, percent: int, costly: int) -> DataFrame:
     return once.withColumn("pop", F.sum("freq").over(Window.partitionBy("cls"))).select("cls", "key", "pop")
 
 
-def _prefix_pairs(members: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Pairs of `members` (cls, c) of different components c that a link is possible for. With the items of
-    all sets in one order, rarest first, let a linked pair's first common item stand at place i of the
+def _prefix_pairs(members: DataFrame, whole: DataFrame, percent: int, store: Store) -> DataFrame:
+    """Pairs of `members` (cls, c, n) of different components c that a link is possible for. With the items
+    of all sets in one order, rarest first, let a linked pair's first common item stand at place i of the
     larger and j of the smaller set, n and m items long: n - i and m - j are at least what they share."""
-    held = members.join(whole.select("cls", "n", "items"), "cls").dropDuplicates(["cls"]).select(
-        "cls", "c", "n", F.explode("items").alias("item"))
-    often = held.groupBy("item").agg(F.count("*").alias("freq")).filter("freq > 1")
-    by_rarity = Window.partitionBy("cls").orderBy(F.coalesce("freq", F.lit(1)), "item")
-    placed = held.join(often, "item", "left").withColumn("place", F.row_number().over(by_rarity) - 1)
+    held = whole.join(members.select("cls"), "cls", "left_semi").select("cls", F.explode("items").alias("item"))
+    for k in range(PASSES):
+        part = held.filter(F.pmod("item", F.lit(PASSES)) == k).repartition("item")
+        often = part.groupBy("item").agg(F.count("*").alias("freq")).filter("freq > 1")
+        store.put(part.join(often, "item"), f"often/pass={k}")
+    often = store.get("often", "item long, cls long, freq long").join(members, "cls")
+    # Items of one set come first and are not listed. Equal rows of `whole` tie.
+    by_set = Window.partitionBy("cls")
+    placed = often.withColumn("rank", F.dense_rank().over(by_set.orderBy("freq", "item"))).withColumn(
+        "place", F.col("n") - F.max("rank").over(by_set) + F.col("rank") - 1)
     # As many places as leave what a pair must share: with any smaller set, and with one at least as large.
-    placed = placed.filter(f"freq > 1 AND (n - place) * 100 >= {percent} * n").select("item", "cls", "c", "n", "place")
+    placed = store.put(placed.filter(f"(n - place) * 100 >= {percent} * n").select("item", "cls", "c", "n", "place"), "placed")
+    store.drop("often")
     short = placed.filter(f"(n - place) * {100 + percent} >= 2 * {percent} * n")
-    larger, smaller = placed.alias("p"), short.alias("q")
-    return larger.join(smaller, F.expr(
+    return placed.alias("p").join(short.alias("q"), F.expr(
         f"p.item = q.item AND p.c <> q.c AND (p.n > q.n OR (p.n = q.n AND p.cls > q.cls)) "
         f"AND least(p.n - p.place, q.n - q.place) * {100 + percent} >= {percent} * (p.n + q.n)")).select(
         F.col("q.cls").alias("a"), F.col("p.cls").alias("b")).distinct()
@@ -274,10 +280,11 @@ def jaccard_components(
         F.min("row").alias("cls"), F.min("doc_id").alias("class_id")), "classes")
     whole = store.put(_whole_sets(keyed.join(firsts.select(F.col("cls").alias("row")), "row", "left_semi"), n_words), "whole")
     for k in range(PASSES):
-        # Both the count and the join read one exchange; a pass is in flight at a time.
-        dealt = _signature_rows(whole, percent, k, PASSES).repartition("key")
-        shared = dealt.groupBy("key").agg(F.count("*").alias("freq")).filter("freq > 1")
-        store.put(dealt.join(shared, "key"), f"met/pass={k}")
+        # The count and the join read one table; the signatures of one pass lie there at a time.
+        own = store.put(_signature_rows(whole, percent, k, PASSES), "turn")
+        shared = own.groupBy("key").agg(F.count("*").alias("freq")).filter("freq > 1")
+        store.put(own.join(shared, "key"), f"met/pass={k}")
+    store.drop("turn")
     lists = store.put(_lists(store.get("met", "cls long, key long, code short, freq long"), percent, costly), "lists")
     store.drop("met")
     bits = whole.select("cls", "n", "bits")
@@ -301,16 +308,22 @@ def jaccard_components(
     labels = components(links, store, "second")
     # What is left: lists whose members lie in different components.
     marked = told(lists.select("key", F.col("cls").alias("a")), "a")
-    open_keys = marked.groupBy("key").agg(F.min("c_a").alias("lo"), F.max("c_a").alias("hi")).filter("lo < hi")
-    left = store.put(marked.join(open_keys.select("key"), "key", "left_semi").select(
-        F.col("a").alias("cls"), F.col("c_a").alias("c")).distinct(), "open")
+    open_keys = marked.groupBy("key").agg(
+        F.min("c_a").alias("lo"), F.max("c_a").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    left = store.put(marked.join(open_keys.select("key", "n"), "key"), "open")
+    short = left.filter(F.col("n") <= costly)
+    pairs = short.join(short.select("key", F.col("a").alias("b"), F.col("c_a").alias("c_b")), "key").filter(
+        "a < b AND c_a <> c_b").select("a", "b").distinct()
+    members = left.filter(F.col("n") > costly).select(F.col("a").alias("cls"), F.col("c_a").alias("c")).distinct()
+    members = store.put(members.join(whole.select("cls", "n").distinct(), "cls"), "members")
     store.drop("lists")
-    across = store.put(_prefix_pairs(left, whole, percent), "across")
+    across = store.put(pairs.union(_prefix_pairs(members, whole, percent, store)).distinct(), "across")
+    store.drop("open", "placed")
     for tried in (best, done):
         across = across.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(
             tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     labels = components(links.union(verify(across, "rest")), store, "last")
-    store.drop("whole", "star", "open", "others", "across")
+    store.drop("whole", "star", "members", "others", "across")
     named = firsts.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "component", F.coalesce("component", "cls"))
     ids = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
