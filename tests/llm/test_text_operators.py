@@ -372,3 +372,45 @@ def test_both_ways_judge_items_that_repeat_themselves(spark, corpus):
     got = [sorted((tuple(r) for r in decontaminate.contaminated(corpus(rows), tests, most_seeds=m).collect()), key=str) for m in (10**6, 0)]
     assert got[0] == got[1]
     assert [r[:2] + r[3:4] for r in got[0]].count((None, 1, 100)) == 1 and len(got[0]) == 2 + 3 * 3
+
+
+@pytest.mark.parametrize(("chunk", "bucket"), [(1 << 17, 1 << 20), (40, 50)])
+def test_seeds_are_all_kmers_that_two_texts_hold(spark, corpus, monkeypatch, chunk, bucket):
+    monkeypatch.setattr(chaining, "MOST_WORDS", chunk)
+    monkeypatch.setattr(chaining, "BUCKET_WORDS", bucket)
+    rows = made(17, 40)
+    store = chaining.Store(spark)
+    full = store.put(chaining._prepared(corpus(rows)), "prepared")
+    table = store.put(chaining._chunked(full), "texts")
+    met = chaining._met(table, 3, store).collect()
+    texts = {r.row: list(r.words) for r in full.collect()}
+    held = collections.defaultdict(lambda: collections.defaultdict(list))
+    for row, w in texts.items():
+        for i in range(len(w) - 2):
+            held[tuple(w[i : i + 3])][row].append(i)
+    want = {(row, tuple(places), min(of), tuple(of[min(of)])) for of in held.values() if len(of) > 1 for row, places in of.items()}
+    assert {(r.row, tuple(sorted(r.places)), r.hub, tuple(sorted(r.x))) for r in met} == want
+    assert len({r.seed for r in met}) == sum(len(of) > 1 for of in held.values()) > 100
+
+
+def test_texts_that_repeat_themselves(corpus):
+    rng = random.Random(21)
+    noise = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    rows = [(1, "ab " * 1600), (2, " ".join([*noise(60), *["ab"] * 1200, *noise(60)])), (3, "to and fro " * 500),
+            (4, " ".join([*noise(70), *("to and fro".split() * 420)])), (5, " ".join(noise(300)))]
+    got = {r.doc_id: r for r in chaining.fuzzy_passages(corpus(rows)).collect()}
+    assert [got[i].class_id for i in (1, 2, 3, 4, 5)] == [1, 1, 3, 3, 5]
+    assert [tuple(s) for s in got[1].spans] == [(0, 1600)] and [tuple(s) for s in got[3].spans] == [(0, 1500)]
+    assert [tuple(s) for s in got[2].spans] == [(60, 1260)] and got[5].n_spans == 0
+    assert len(got[4].spans) == 1 and got[4].spans[0].b == 1330 and 68 <= got[4].spans[0].a <= 70
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_language_without_ids_is_sampled(corpus, seed):
+    rng = random.Random(5)
+    kinds = {"xx": ["salo", "mira", "tolo", "rani"], "yy": ["grunt", "strok", "blimp", "kraft"]}
+    rows = [(i if x == "xx" else None, " ".join(rng.choice(kinds[x]) for _ in range(rng.randint(3, 40))), x) for i, x in enumerate(["xx", "yy"] * 200)]
+    docs = corpus(rows)
+    model = langid.train(docs, per_language=20, seed=seed)
+    right = langid.predict(docs, model, keep=("lang",)).filter("lang = lang_pred").count()
+    assert right >= 396
