@@ -130,17 +130,17 @@ def _features(docs: DataFrame) -> DataFrame:
 def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, seed: int = 1) -> Model | None:
     """Learn from (doc_id, text, lang); rows without a language or a text are passed over."""
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        F.col("lang").cast("string").alias("lang"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.withColumn("hash", F.xxhash64(F.lit(seed), "text"))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("hash", 0.01).alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return None
-    # About per_language rows of each: those whose hash lies below their language's cut.
+    # About per_language different texts of each, whatever their ids: those whose hash lies below the cut.
     spark = labelled.sparkSession
     cuts = spark.createDataFrame(
-        [(x, min(1 << 30, -(-(per_language << 30) // n))) for x, n in counts.items()], "lang string, cut long")
-    picked = rows.join(cuts, "lang").filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < F.col("cut"))
+        [(x, min(1 << 30, -(-(per_language << 30) // max(n, 1)))) for x, n in counts.items()], "lang string, cut long")
+    picked = rows.join(cuts, "lang").filter(F.pmod("hash", F.lit(1 << 30)) < F.col("cut")).dropDuplicates(["lang", "hash"])
     got = _features(picked.select("lang", "text")).toArrow()
     y = np.array([languages.index(x) for x in got.column("lang").to_pylist()])
     buckets = got.column("buckets").combine_chunks()
