@@ -195,13 +195,14 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHO
 
     found = store.put(keyed.filter(F.octet_length("text") >= length).mapInArrow(
         find, "doc_id long, th long, pos int, gram long, around long, low short, top short"), "anchors")
-    shared = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # Written before it is joined, so that AQE can send it whole or split a gram that many places have.
+    shared = store.put(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "shared")
     met = store.put(found.join(shared, "gram", "left_semi"), "met")
-    store.drop("anchors")
+    store.drop("anchors", "shared")
     kinds = met.groupBy("gram", "around").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos", "low", "top")).alias("at"))
     kinds = store.put(kinds.select("gram", "around", "n", "at.*"), "kinds")
-    many = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    many = store.put(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "many")
     open_ = store.put(kinds.join(many, "gram"), "open")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
