@@ -137,10 +137,8 @@ def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, seed: int =
     if not languages:
         return None
     # About per_language different texts of each, whatever their ids: those whose hash lies below the cut.
-    spark = labelled.sparkSession
-    cuts = spark.createDataFrame(
-        [(x, min(1 << 30, -(-(per_language << 30) // max(n, 1)))) for x, n in counts.items()], "lang string, cut long")
-    picked = rows.join(cuts, "lang").filter(F.pmod("hash", F.lit(1 << 30)) < F.col("cut")).dropDuplicates(["lang", "hash"])
+    cuts = F.create_map(*(F.lit(v) for x, n in counts.items() for v in (x, min(1 << 30, -(-(per_language << 30) // max(n, 1))))))
+    picked = rows.filter(F.pmod("hash", F.lit(1 << 30)) < F.try_element_at(cuts, F.col("lang"))).dropDuplicates(["lang", "hash"])
     got = _features(picked.select("lang", "text")).toArrow()
     y = np.array([languages.index(x) for x in got.column("lang").to_pylist()])
     buckets = got.column("buckets").combine_chunks()
