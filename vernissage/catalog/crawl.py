@@ -78,8 +78,7 @@ _PAGE = ("venue_id", "kind", "status", "http_status", "content_hash", "raw_text"
       case when f.url is not null then {_RUN} else s.fetched_at end as fetched_at, {", ".join("s." + c for c in crawl.MARKS)}
     from s full outer join f on f.url = s.url""")
 def merge_pages(t):
-    crawled = crawl.page_changes(t["v_pages"], t["v_crawled"], t["v_venues"])
-    merged = crawl.merge_pages(t["v_pages"].filter("id % 7 <> 0"), crawled, RUN)
+    merged = crawl.merge_pages(t["v_pages"].filter("id % 7 <> 0"), crawl.fetched(t["v_crawled"]), RUN)
     return merged.withColumns({
         "text_md5": F.md5("raw_text"), "links": F.when(F.col("links").isNotNull(), F.size("links").cast("long"))
     }).drop("id", "raw_text")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,12 +38,19 @@ def page_status(robots: Column, answered: Column, http_status: Column, challenge
     )
 
 
-def page_changes(stored: DataFrame, crawled: DataFrame, homes: DataFrame) -> DataFrame:
+def fetched(crawled: DataFrame) -> DataFrame:
+    """Crawled pages with content_hash; it and the text are kept on ok pages only."""
+    ok = F.col("status") == "ok"
+    return crawled.withColumn("content_hash", F.when(ok, F.sha2(F.col("raw_text"), 256))).withColumn(
+        "raw_text", F.when(ok, F.col("raw_text")))
+
+
+def page_changes(stored: DataFrame, crawled: DataFrame, homes: DataFrame, keys: Sequence[str] = ("url",)) -> DataFrame:
     """Crawled pages (url, venue_id, kind, status, http_status, raw_text, final_url) with words,
     content_hash, change (new, changed, unchanged; ok pages only) and broken (gone, homepage;
     listings only). `homes` gives each venue's website_url."""
     ok = F.col("status") == "ok"
-    held = stored.select("url", F.col("content_hash").alias("_stored"))
+    held = stored.select(*keys, F.col("content_hash").alias("_stored"))
     sites = homes.select(F.col("id").alias("venue_id"), url_key(F.col("website_url")).alias("_home"))
     change = F.when(ok, F.when(F.col("_stored").isNull(), "new")
                     .when(F.col("_stored") == F.col("content_hash"), "unchanged").otherwise("changed"))
@@ -50,28 +58,29 @@ def page_changes(stored: DataFrame, crawled: DataFrame, homes: DataFrame) -> Dat
     home = (url_key(F.col("final_url")) == F.col("_home")) & (F.col("_home") != url_key(F.col("url")))
     broken = F.when(F.col("kind") == "listing", F.when(gone, "gone").when(home, "homepage"))
     return (
-        crawled.withColumn("words", word_count(F.col("raw_text")).cast("long"))
-        .withColumn("content_hash", F.when(ok, F.sha2(F.col("raw_text"), 256)))
-        .withColumn("raw_text", F.when(ok, F.col("raw_text")))
-        .join(held, "url", "left").join(sites, "venue_id", "left")
+        fetched(crawled.withColumn("words", word_count(F.col("raw_text")).cast("long")))
+        .join(held, list(keys), "left").join(sites, "venue_id", "left")
         .withColumn("change", change).withColumn("broken", broken)
         .drop("_stored", "_home")
     )
 
 
-def merge_pages(stored: DataFrame, crawled: DataFrame, run_ts: datetime | None) -> DataFrame:
-    """By URL. A page that gave no answer is left as it was; any other takes the fetch's status,
+def merge_pages(stored: DataFrame, crawled: DataFrame, run_ts: datetime | None, keys: Sequence[str] = ("url",)) -> DataFrame:
+    """By URL, or by `keys` where pages are told apart by another column. A page that gave no answer is left as it was; any other takes the fetch's status,
     hash, text and links (none unless ok) and keeps its extraction marks. It is stamped `run_ts`, or
     without one its own fetched_at."""
     ok = F.col("status") == "ok"
+    named = ["url", *(k for k in keys if k != "url")]
     answered = crawled.filter("status <> 'unavailable'").select(
-        "url", "venue_id", "kind", "status", "http_status", (F.col("fetched_at") if run_ts is None else F.lit(run_ts).cast("timestamp_ntz")).alias("_at"),
+        *named, "venue_id", "kind", "status", "http_status", (F.col("fetched_at") if run_ts is None else F.lit(run_ts).cast("timestamp_ntz")).alias("_at"),
         *(F.when(ok, F.col(c)).alias(c) for c in ("content_hash", "raw_text")),
         F.when(ok & (F.size("links") > 0), F.col("links")).alias("links"))
-    both = side_by_side(stored, answered, ["url"])
+    both = side_by_side(stored, answered, list(keys))
     seen = F.col("new").isNotNull()
+    url = F.coalesce("new.url", "cur.url")
+    own = F.col("id") if "id" in keys else F.coalesce("cur.id", F.xxhash64(F.lit("page"), url))
     return both.select(
-        F.coalesce("cur.id", F.xxhash64(F.lit("page"), "url")).alias("id"), "url",
+        own.alias("id"), url.alias("url"),
         *(F.when(seen, F.col(f"new.{c}")).otherwise(F.col(f"cur.{c}")).alias(c) for c in CRAWLED),
         F.when(seen, F.col("new._at")).otherwise(F.col("cur.fetched_at")).alias("fetched_at"),
         *(F.col(f"cur.{c}").alias(c) for c in MARKS),
