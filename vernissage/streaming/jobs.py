@@ -137,22 +137,23 @@ def merging(
     return apply
 
 
-def page_merge(table: DataFrame, batch: DataFrame, homes: DataFrame) -> dict[str, DataFrame]:
+def page_merge(table: DataFrame, batch: DataFrame, homes: DataFrame, keys: Sequence[str] = ("url",)) -> dict[str, DataFrame]:
     """Crawled pages (with fetched_at) into the page table; what changed goes to `changes`. Each page
     keeps the time of its own newest fetch that got an answer, and an older fetch that comes late
-    changes nothing: the table does not depend on how fetches are cut into batches."""
-    held = table.select("url", F.col("fetched_at").alias("_held"))
-    newest = last_per_key(batch.filter("status <> 'unavailable'"), ["url"], ["fetched_at"]).join(held, "url", "left")
+    changes nothing: the table does not depend on how fetches are cut into batches. A page is its URL, or
+    its `keys` where two pages may have one address."""
+    held = table.select(*keys, F.col("fetched_at").alias("_held"))
+    newest = last_per_key(batch.filter("status <> 'unavailable'"), list(keys), ["fetched_at"]).join(held, list(keys), "left")
     fresh = newest.filter("_held IS NULL OR fetched_at > _held").drop("_held")
-    pages = crawl.page_changes(table, fresh, homes)
-    merged = crawl.merge_pages(table, pages, None)
+    pages = crawl.page_changes(table, fresh, homes, keys)
+    merged = crawl.merge_pages(table, pages, None, keys)
     return {"table": merged, "changes": pages.select("url", "venue_id", "status", "change", "broken")}
 
 
-def fetched_pages(pages: DataFrame) -> DataFrame:
-    """A stream of fetches without repeats of one fetch."""
+def fetched_pages(pages: DataFrame, keys: Sequence[str] = ("url",)) -> DataFrame:
+    """A stream of fetches without repeats of one fetch of a page."""
     timed = pages.withColumn("_at", utc_to_instant(F.col("fetched_at"))).withWatermark("_at", LATE)
-    return timed.dropDuplicatesWithinWatermark(["url", "_at"]).drop("_at")
+    return timed.dropDuplicatesWithinWatermark([*keys, "_at"]).drop("_at")
 
 
 def event_merge(table: DataFrame, batch: DataFrame, venues: DataFrame) -> dict[str, DataFrame]:
