@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,26 +61,31 @@ def _ring(text: Column) -> Column:
         F.try_element_at(F.split(v, r"\s+"), F.lit(2)).try_cast("double").alias("y")))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` worked out once a row: Spark shares no steps inside higher-order functions."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _moments(ring: Column) -> Column:
     """struct(a, x, y): twice the signed area and its first moments about the first vertex."""
-    origin = ring[0]
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    edges = F.zip_with(
-        F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1),
-        lambda p, q: F.struct(
-            (p["x"] - origin["x"]).alias("px"), (p["y"] - origin["y"]).alias("py"),
-            (q["x"] - origin["x"]).alias("qx"), (q["y"] - origin["y"]).alias("qy")))
 
     def add(total: Column, e: Column) -> Column:
-        cross = e["px"] * e["qy"] - e["qx"] * e["py"]
-        return F.struct(
+        return _once(e["px"] * e["qy"] - e["qx"] * e["py"], lambda cross: F.struct(
             (total["a"] + cross).alias("a"), (total["x"] + (e["px"] + e["qx"]) * cross).alias("x"),
-            (total["y"] + (e["py"] + e["qy"]) * cross).alias("y"))
+            (total["y"] + (e["py"] + e["qy"]) * cross).alias("y")))
+
+    def of(ring: Column, origin: Column) -> Column:
+        edges = F.zip_with(
+            F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1),
+            lambda p, q: F.struct(
+                (p["x"] - origin["x"]).alias("px"), (p["y"] - origin["y"]).alias("py"),
+                (q["x"] - origin["x"]).alias("qx"), (q["y"] - origin["y"]).alias("qy")))
+        return _once(F.aggregate(edges, zero, add), lambda sums: F.struct(
+            sums["a"].alias("a"), (sums["x"] / 3 + origin["x"] * sums["a"]).alias("x"),
+            (sums["y"] / 3 + origin["y"] * sums["a"]).alias("y")))
 
-    sums = F.aggregate(edges, zero, add)
-    return F.struct(
-        sums["a"].alias("a"), (sums["x"] / 3 + origin["x"] * sums["a"]).alias("x"),
-        (sums["y"] / 3 + origin["y"] * sums["a"]).alias("y"))
+    return _once(ring, lambda vertices: _once(vertices[0], lambda origin: of(vertices, origin)))
 
 
 def area_point(wkt: Column) -> Column:
@@ -94,9 +101,8 @@ def area_point(wkt: Column) -> Column:
         sign = F.signum(r["m"]["a"]) * F.when(r["outer"], 1.0).otherwise(-1.0)
         return F.struct(*((total[c] + sign * r["m"][c]).alias(c) for c in ("a", "x", "y")))
 
-    total = F.aggregate(rings, zero, add)
-    return F.struct(
-        F.try_divide(total["y"], total["a"]).alias("lat"), F.try_divide(total["x"], total["a"]).alias("lon"))
+    return _once(F.aggregate(rings, zero, add), lambda total: F.struct(
+        F.try_divide(total["y"], total["a"]).alias("lat"), F.try_divide(total["x"], total["a"]).alias("lon")))
 
 
 def places(rows: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
