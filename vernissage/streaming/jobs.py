@@ -3,16 +3,15 @@
 Roll-ups use watermarks and windows; a window is written once, when the watermark has passed its end.
 Table merges run per micro-batch into versions numbered by the batch, each computed from the one before,
 so a batch that is retried after a failure writes the same version again; a version writes the hash
-buckets that its batch touches and names the files of the others. Sessions keep a bounded state: the hours of one user's day."""
+buckets that its batch touches and names the files of the others. Sessions keep a bounded state: the blocks of one user's day."""
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vernissage import vocab
@@ -48,60 +47,43 @@ def cost_rollup(calls: DataFrame, every: str = "1 hour", slide: str | None = Non
 
 # --- conversations -------------------------------------------------------------------------------
 
-_STATE = "first array<long>, last array<long>, n array<long>"
 _SESSIONS = "user_id long, day date, session long, started_at timestamp_ntz, last_turn_at timestamp_ntz, turns long"
-_HOUR_US = 3_600_000_000
-_IDLE_US = vocab.IDLE_HOURS * _HOUR_US
-_DAY_MS = 86_400_000
-
-
-def _merge_hours(state: tuple, moments: pd.Series) -> tuple:
-    """The (first, last, count) of each hour, with more moments counted in."""
-    hours = {first // _HOUR_US: [first, last, n] for first, last, n in zip(*state, strict=True)}
-    summed = moments.groupby(moments // _HOUR_US).agg(["min", "max", "count"])
-    for hour, low, high, n in summed.itertuples():
-        held = hours.setdefault(int(hour), [int(low), int(high), 0])
-        held[0], held[1], held[2] = min(held[0], int(low)), max(held[1], int(high)), held[2] + int(n)
-    return tuple(list(x) for x in zip(*(hours[h] for h in sorted(hours)), strict=True))
-
-
-def _cut_sessions(key: tuple, state: tuple) -> pd.DataFrame:
-    rows: list[list] = []
-    for first, last, n in sorted(zip(*state, strict=True)):
-        if rows and first - rows[-1][1] <= _IDLE_US:
-            rows[-1][1], rows[-1][2] = last, rows[-1][2] + n
-        else:
-            rows.append([first, last, n])
-    return pd.DataFrame({
-        "user_id": [key[0]] * len(rows), "day": [key[1]] * len(rows), "session": range(len(rows)),
-        "started_at": pd.to_datetime([r[0] for r in rows], unit="us"),
-        "last_turn_at": pd.to_datetime([r[1] for r in rows], unit="us"),
-        "turns": [r[2] for r in rows]})
-
-
-def _keep_day(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        yield _cut_sessions(key, state.get)
-        state.remove()
-        return
-    held = state.get if state.exists else ([], [], [])
-    for batch in batches:
-        held = _merge_hours(held, batch["us"])
-    state.update(held)
-    # A local day is over for certain a day and a half after its date began in UTC.
-    ends = int(pd.Timestamp(key[1]).value // 1_000_000) + _DAY_MS + _DAY_MS // 2
-    state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+_IDLE_US = vocab.IDLE_HOURS * 3_600_000_000
+_BLOCKS = -(-25 // vocab.IDLE_HOURS) + 1  # blocks that the longest local day can touch
+_DAY_LATE = "26 hours"  # a day and its lateness
+
+
+def _join_blocks(done: Column, block: Column) -> Column:
+    """The sessions so far with one more block: it goes on with the last, or opens another."""
+    last = F.element_at(done, -1)
+    goes_on = (F.size(done) > 0) & (block["first"] - F.try_element_at(done, F.lit(-1))["last"] <= _IDLE_US)
+    grown = F.struct(last["first"].alias("first"), block["last"].alias("last"), (last["n"] + block["n"]).alias("n"))
+    return F.when(goes_on, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(
+        F.concat(done, F.array(block)))
 
 
 def stream_sessions(messages: DataFrame) -> DataFrame:
-    """Conversations (as `sessionize`) of each user's local day, once that day is over."""
+    """Conversations (as `sessionize`) of each user's local day, once that day is over: when a message of
+    the day after the next has come. Until then a late message counts.
+
+    No two messages of a block as long as the idle time are further apart than that, so a day is kept as
+    the first, last and count of its few blocks, summed before the shuffle."""
+    day = local_day(F.col("ts"))
+    ends = F.convert_timezone(F.lit(vocab.SITE_TIMEZONE), F.lit("UTC"), F.date_add(day, 1).cast("timestamp_ntz"))
     rows = messages.select(
-        "user_id", local_day(F.col("ts")).alias("day"), utc_to_instant(F.col("ts")).alias("at"))
-    return (
-        rows.withColumn("us", F.unix_micros("at")).withWatermark("at", LATE)
-        .groupBy("user_id", "day")
-        .applyInPandasWithState(_keep_day, _SESSIONS, _STATE, "append", "EventTimeTimeout")
-    )
+        "user_id", day.alias("day"), utc_to_instant(ends).alias("_ends"), F.unix_micros(utc_to_instant(F.col("ts"))).alias("us"))
+    own = [F.pmod(F.floor(F.col("us") / _IDLE_US), F.lit(_BLOCKS)) == b for b in range(_BLOCKS)]
+    kept = rows.withWatermark("_ends", _DAY_LATE).groupBy("user_id", "day", "_ends").agg(*(
+        how(F.when(mine, F.col("us"))).alias(f"_{name}{b}")
+        for b, mine in enumerate(own) for name, how in (("first", F.min), ("last", F.max), ("n", F.count))))
+    blocks = F.array(*(
+        F.when(F.col(f"_n{b}") > 0, F.struct(*(F.col(f"_{c}{b}").alias(c) for c in ("first", "last", "n")))) for b in range(_BLOCKS)))
+    none = F.array().cast("array<struct<first:bigint,last:bigint,n:bigint>>")
+    cut = F.aggregate(F.array_sort(F.array_compact(blocks)), none, _join_blocks)
+    at = lambda us: instant_to_utc(F.timestamp_micros(us))
+    return kept.select("user_id", "day", F.posexplode(cut).alias("session", "s")).select(
+        "user_id", "day", F.col("session").cast("long").alias("session"), at(F.col("s.first")).alias("started_at"),
+        at(F.col("s.last")).alias("last_turn_at"), F.col("s.n").alias("turns"))
 
 
 # --- versioned tables ----------------------------------------------------------------------------
