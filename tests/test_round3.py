@@ -59,3 +59,40 @@ def test_rings_are_read_once(spark):
     assert df._jdf.queryExecution().analyzed().toString().count("split(") <= 3  # vertices, and x and y of one
     p = df.filter("p.lat IS NOT NULL").first().p
     assert round(p.lat, 9) == round(p.lon, 9) == round((16 * 2 - 4 * 1) / 12, 9)
+
+
+def test_shared_runs_fold_as_asked(spark):
+    """The query's SQL lowers letters; the operator casefolds them, and then a sharp s is two."""
+    from vernissage.operators.shared_text import shared_runs
+
+    text = " ".join(f"w{n}" for n in range(24))
+    a = spark.createDataFrame([(1, text.replace("w12", "straße")), (2, text.replace("w12", "STRAßE"))], "id long, text string")
+    b = spark.createDataFrame([(9, text.replace("w12", "strasse"))], "id long, text string")
+    assert {tuple(r) for r in shared_runs(a, b).collect()} == {(1, 9, 24), (2, 9, 24)}
+    assert shared_runs(a, b, fold=F.lower).count() == 0
+    assert {tuple(r) for r in shared_runs(a, a.filter("id = 1"), fold=F.lower).collect()} == {(1, 1, 24), (2, 1, 24)}
+
+
+def test_sessions_count_late_messages_of_an_open_day(spark, tmp_path):
+    """A day's sessions are cut where more than six hours pass, over the night the clocks change too; a
+    message that comes hours late is one of its day as long as that day is open."""
+    from datetime import datetime
+
+    from vernissage.streaming import jobs
+
+    def deliver(*times):
+        rows = [(u, datetime.fromisoformat(t)) for u, t in times]
+        spark.createDataFrame(rows, "user_id long, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.stream_sessions(spark.readStream.schema("user_id long, ts timestamp_ntz").parquet(f"{tmp_path}/in"))
+        jobs.append_to_end(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+
+    deliver((1, "2024-10-26T22:00:00"), (1, "2024-10-27T04:00:00"), (1, "2024-10-27T10:00:00.000001"), (1, "2024-10-27T22:59:59"),
+            (2, "2024-10-27T20:00:00"))
+    deliver((1, "2024-10-28T03:00:00"))
+    deliver((2, "2024-10-27T21:00:00"))
+    deliver((-1, "2024-12-01T00:00:00"))
+    out = spark.read.schema(jobs._SESSIONS).parquet(f"{tmp_path}/out").collect()
+    assert {(r.user_id, str(r.day), r.session, r.started_at.isoformat()[11:], r.last_turn_at.isoformat()[11:], r.turns) for r in out} == {
+        (1, "2024-10-27", 0, "22:00:00", "04:00:00", 2), (1, "2024-10-27", 1, "10:00:00.000001", "10:00:00.000001", 1),
+        (1, "2024-10-27", 2, "22:59:59", "22:59:59", 1), (1, "2024-10-28", 0, "03:00:00", "03:00:00", 1),
+        (2, "2024-10-27", 0, "20:00:00", "21:00:00", 2)}

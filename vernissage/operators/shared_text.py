@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vernissage import vocab
-from vernissage.functions.text import words
+from vernissage.functions.text import casefold, words
 
 
-def _words(df: DataFrame, id_column: str) -> DataFrame:
+def _words(df: DataFrame, id_column: str, fold: Callable[[Column], Column]) -> DataFrame:
     """(id, words): each text as the hashes of its words."""
-    hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
+    hashed = F.transform(words(F.col("text"), fold), lambda w: F.xxhash64(w))
     return df.select(F.col(id_column).alias("_id"), hashed.alias("_words"))
 
 
@@ -39,6 +41,7 @@ def shared_runs(
     id_source: str = "id",
     pairs: DataFrame | None = None,
     min_words: int = vocab.MAX_SHARED_WORDS + 1,
+    fold: Callable[[Column], Column] = casefold,
 ) -> DataFrame:
     """(ours_id, source_id, run): the longest run of words each pair shares, for pairs that share
     at least `min_words`. Whole texts on both sides; case and punctuation do not count.
@@ -47,8 +50,9 @@ def shared_runs(
     and a shorter run from there lies wholly inside it: so a text none of whose sampled short runs
     meets anything shares nothing, and is dropped early. In the texts that are left, runs of `min_words` words meet
     by equality; along one diagonal (the difference of positions) consecutive meetings belong to one
-    longer run. `pairs` limits the work to given pairs."""
-    a, b = _words(ours, id_ours), _words(source, id_source)
+    longer run. `pairs` limits the work to given pairs; `fold` says which letters are one (casefolded ones,
+    where `ss` is the sharp s, unless another is given)."""
+    a, b = _words(ours, id_ours, fold), _words(source, id_source, fold)
     if pairs is None:
         step = max(min_words // 3, 1)
         short = min_words - step + 1
