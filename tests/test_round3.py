@@ -96,3 +96,24 @@ def test_sessions_count_late_messages_of_an_open_day(spark, tmp_path):
         (1, "2024-10-27", 0, "22:00:00", "04:00:00", 2), (1, "2024-10-27", 1, "10:00:00.000001", "10:00:00.000001", 1),
         (1, "2024-10-27", 2, "22:59:59", "22:59:59", 1), (1, "2024-10-28", 0, "03:00:00", "03:00:00", 1),
         (2, "2024-10-27", 0, "20:00:00", "21:00:00", 2)}
+
+
+def test_nearest_first_equals_all_pairs(spark):
+    """Also for crowded spots, the poles and the date line; crowded spots and centres are met once."""
+    from pyspark.sql import Window
+    from test_nearby import _tables
+    from vernissage.functions.geo import distance_m
+    from vernissage.operators import nearby
+
+    centers, points = _tables(spark, n=600)
+    centers = centers.unionByName(centers.withColumn("cid", F.col("cid") + 1000))
+    every = centers.withColumnsRenamed({"lat": "a", "lon": "b"}).join(points, how="cross").withColumn(
+        "m", distance_m(F.col("lat"), F.col("lon"), F.col("a"), F.col("b"))).filter("m <= radius_m").withColumn(
+        "position", F.row_number().over(Window.partitionBy("cid").orderBy("m", "pid")))
+    for k in (1, 5, 40):
+        got = {(r.cid, r.pid, r.position) for r in nearby.nearest_first(centers, points, "cid", "pid", k).collect()}
+        assert got == {(r.cid, r.pid, r.position) for r in every.filter(F.col("position") <= k).collect()} and len(got) > 80 * k / 8
+    # 400 points in a hundred metres: the circle of 1000 km around one of them need not hold the whole table.
+    crowd = points.limit(0).unionByName(spark.range(4000).selectExpr("id AS pid", "41.0 + id / 100000 AS lat", "2.0D + id * 0.01 AS lon"))
+    place = spark.createDataFrame([(41.0, 2.0, 1e6)], "lat double, lon double, radius_m double")
+    assert nearby._reach(place, crowd, 5).first().radius_m < 1e5

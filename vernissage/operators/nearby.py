@@ -16,6 +16,7 @@ from vernissage.session import materialize
 
 DEEPEST = 16
 SMALL = 512
+_LONGEST_DEGREE = 112_000.0  # metres; a degree along a meridian is under 111.7 km, along a parallel less
 _ACROSS = 6  # cells along a centre's reach
 
 
@@ -128,12 +129,38 @@ def within_radius(
     )
 
 
+def _reach(places: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """`places` (lat, lon, radius_m, ...) with the radius cut to what certainly holds `k` points: as far as
+    one can go inside the smallest cell around the place that has so many."""
+    line = lambda: F.posexplode(_lineage(*_finest(F.col("lat"), F.col("lon")), F.lit(DEEPEST))).alias("_level", "_node")
+    full = points.groupBy(*(c.alias(n) for c, n in zip(_finest(F.col("lat"), F.col("lon")), ("x", "y"), strict=True))).agg(
+        F.count("*").alias("n")).select("n", F.explode(_lineage(F.col("x"), F.col("y"), F.lit(DEEPEST))).alias("_node"))
+    full = full.groupBy("_node").agg(F.sum("n").alias("n")).filter(F.col("n") >= k).select("_node")
+    found = places.select(*places.columns, line()).join(full, "_node").groupBy(*places.columns).agg(F.max("_level").alias("_level"))
+    # A cell is 360 by 180 degrees at the root, and no degree is longer than this.
+    across = F.lit(_LONGEST_DEGREE * 540) / F.pow(F.lit(2.0), F.col("_level"))
+    return places.join(found, places.columns, "left").withColumn(
+        "radius_m", F.least("radius_m", across)).drop("_level")
+
+
 def nearest_first(centers: DataFrame, points: DataFrame, center_id: str, point_id: str, k: int) -> DataFrame:
     """The `k` nearest points of each centre within its radius, ties by id: (.., metres, position).
-    The limit is applied in every task before the shuffle."""
-    order = Window.partitionBy(center_id).orderBy("metres", point_id)
-    return within_radius(centers, points).withColumn(
-        "position", F.row_number().over(order)).filter(F.col("position") <= k)
+
+    Points of one spot are equally far from anything, so its `k` lowest ids stand for it; centres of one
+    place and radius have the same points, so these are found once; and a circle is no wider than it takes
+    to hold `k` points. The pairs compared follow the places, not the product of centres and points."""
+    here = Window.partitionBy("lat", "lon").orderBy(point_id)
+    spots = points.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumn(
+        "_n", F.row_number().over(here)).filter(F.col("_n") <= k).drop("_n")
+    asked = centers.filter("lat IS NOT NULL AND lon IS NOT NULL AND radius_m >= 0").distinct()
+    place = ["_alat", "_alon", "_ameters"]
+    places = asked.select("lat", "lon", "radius_m", *(F.col(c).alias(n) for c, n in zip(("lat", "lon", "radius_m"), place, strict=True))).distinct()
+    order = Window.partitionBy(*place).orderBy("metres", point_id)
+    near = within_radius(_reach(places, spots, k), spots).withColumn(
+        "_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n", "radius_m")
+    met = asked.withColumnsRenamed({"lat": "_alat", "lon": "_alon"}).withColumn("_ameters", F.col("radius_m")).join(near, place).drop(*place)
+    return met.withColumn("position", F.row_number().over(Window.partitionBy(center_id).orderBy("metres", point_id))).filter(
+        F.col("position") <= k)
 
 
 def one_spot(items: DataFrame, group: str, order: list[str], radius_m: float) -> DataFrame:
