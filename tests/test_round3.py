@@ -117,3 +117,23 @@ def test_nearest_first_equals_all_pairs(spark):
     crowd = points.limit(0).unionByName(spark.range(4000).selectExpr("id AS pid", "41.0 + id / 100000 AS lat", "2.0D + id * 0.01 AS lon"))
     place = spark.createDataFrame([(41.0, 2.0, 1e6)], "lat double, lon double, radius_m double")
     assert nearby._reach(place, crowd, 5).first().radius_m < 1e5
+
+
+def test_matches_follow_one_rule(monkeypatch):
+    """How many matches fit in memory at once says nothing about which are kept."""
+    import numpy as np
+    import pyarrow as pa
+    from vernissage.llm import chaining
+
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        x, y = rng.integers(0, 9, 60), rng.integers(0, 9, 80)
+        y[10:40] = x[20:50]
+        both = sorted(set(x.tolist()) & set(y.tolist()))
+        xs, ys = (pa.array([np.flatnonzero(v == b).tolist() for b in both], pa.list_(pa.int32())) for v in (x, y))
+        got = []
+        for most in (1, 50, 1 << 18):
+            monkeypatch.setattr(chaining, "MOST_MATCHES", most)
+            got.append(list(zip(*(c.tolist() for c in chaining.matches(xs, ys, 6)), strict=True)))
+        assert got[0] == got[1] == got[2]
+        assert {b - a for a, b in got[0]} >= {-10}
