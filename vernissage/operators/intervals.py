@@ -68,7 +68,7 @@ def _blocks(level: int, low: Column, high: Column) -> Column:
     )
 
 
-def _run_blocks(first: Column, last: Column) -> Column:
+def run_blocks(first: Column, last: Column) -> Column:
     """The blocks a run touches, at the one level that fits its length: never more than three."""
     blocks = None
     for level, (longest, size) in enumerate(_LEVELS):
@@ -79,7 +79,7 @@ def _run_blocks(first: Column, last: Column) -> Column:
     return F.when(last >= first, blocks.otherwise(top)).otherwise(F.array())
 
 
-def _day_blocks(day: Column) -> Column:
+def day_blocks(day: Column) -> Column:
     """The blocks one day lies in, one per level."""
     found = [
         F.struct(F.lit(level).alias("level"), F.floor(day / size).alias("block"))
@@ -108,12 +108,12 @@ def overlap_pairs(requests: DataFrame, items: DataFrame, salts: int = 8) -> Data
 
     salt = F.array(*(F.lit(n) for n in range(salts)))
     asked = requests.withColumn("_salt", F.explode(salt)).withColumn("_at", F.explode(F.concat(
-        packed(0, _run_blocks(F.col("_from"), F.col("_to"))), packed(1, _day_blocks(F.col("_from")))))).drop("_salt")
+        packed(0, run_blocks(F.col("_from"), F.col("_to"))), packed(1, day_blocks(F.col("_from")))))).drop("_salt")
     # The salt is a function of the row, not of the attempt: a recomputed task gives the same rows.
     held = items.withColumn(
         "_salt", F.pmod(F.xxhash64(*items.columns), F.lit(salts)).cast("int")
     ).withColumn("_at", F.explode(F.concat(
-        packed(0, _day_blocks(F.col("_first"))), packed(1, _run_blocks(F.col("_first"), F.col("_last")))))).drop("_salt")
+        packed(0, day_blocks(F.col("_first"))), packed(1, run_blocks(F.col("_first"), F.col("_last")))))).drop("_salt")
     inside = (F.col("_at") < levels * salts * unit) == (F.col("_first") >= F.col("_from"))
     return (
         asked.join(held, "_at")
