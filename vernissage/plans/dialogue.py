@@ -10,6 +10,7 @@ from vernissage.functions.dates import resolve_day
 from vernissage.functions.geo import distance_m
 from vernissage.functions.text import title_key, tokens
 from vernissage.operators.ordered import percentiles, running
+from vernissage.session import materialize
 
 CARRIED = ("dates", "area", "free", "kinds")
 
@@ -88,16 +89,20 @@ def seen_items(uses: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items, titles
 
 
-def mentions(replies: DataFrame, titles: DataFrame) -> DataFrame:
-    """(reply_id, key, start, stop): where each title key stands in a reply as whole words, by token.
-    Replies hold reply_id, conversation_id, text; titles conversation_id, key. A reply is cut only
-    into runs as long as some title of its conversation."""
-    # Words travel as hashes, and a run of them as two independent ones: no text is shuffled.
-    hashed = lambda key: F.transform(tokens(key), lambda w: F.xxhash64(w))
-    keys = titles.select("conversation_id", "key").distinct().withColumn("_w", hashed(F.col("key"))).select(
-        "conversation_id", "key", F.size("_w").alias("n"), F.xxhash64("_w").alias("h1"), F.hash("_w").alias("h2"))
+_KEY = ("conversation_id", "n", "h1", "h2")
+
+
+def _hashed(key: Column) -> Column:
+    """The words of a key as hashes. Words travel so, and a run of them as two independent ones: no text is shuffled."""
+    return F.transform(tokens(key), lambda w: F.xxhash64(w))
+
+
+def mentions(replies: DataFrame, keys: DataFrame) -> DataFrame:
+    """(reply_id, conversation_id, n, h1, h2, start, stop): where each title key stands in a reply as whole
+    words, by token. Replies hold reply_id, conversation_id, text; keys conversation_id and the number and
+    hashes of their words. A reply is cut only into runs as long as some title of its conversation."""
     lengths = keys.groupBy("conversation_id").agg(F.collect_set("n").alias("lengths"))
-    spoken = replies.select("reply_id", "conversation_id", hashed(title_key(F.col("text"))).alias("words"))
+    spoken = replies.select("reply_id", "conversation_id", _hashed(title_key(F.col("text"))).alias("words"))
     by_length = spoken.join(lengths, "conversation_id").select(
         "reply_id", "conversation_id", "words", F.explode("lengths").alias("n")
     ).filter(F.size("words") >= F.col("n"))
@@ -108,41 +113,48 @@ def mentions(replies: DataFrame, titles: DataFrame) -> DataFrame:
 
     runs = by_length.select("reply_id", "conversation_id", "n", F.explode(F.transform(
         F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), run)).alias("r"))
-    return runs.select("reply_id", "conversation_id", "n", "r.*").join(
-        keys, ["conversation_id", "n", "h1", "h2"]
-    ).select("reply_id", "key", "start", (F.col("start") + F.col("n")).alias("stop"))
+    return runs.select("reply_id", "conversation_id", "n", "r.*").join(keys, list(_KEY), "left_semi").select(
+        "reply_id", *_KEY, "start", (F.col("start") + F.col("n")).alias("stop"))
 
 
-def named_items(replies: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(named, ids): the titles each reply names, in order of first mention, with the nearest
-    distance of the items seen under each; and the item ids behind each title. A title counts only
-    if some mention of it is not inside a longer named one."""
-    items, titles = seen_items(uses)
-    keyed = titles.withColumn("key", title_key(F.col("title"))).filter(
-        F.length("key") >= vocab.MIN_CONTAINED_CHARS)
-    said = mentions(replies, keyed)
+def _outermost(replies: DataFrame, keys: DataFrame) -> DataFrame:
+    """(reply_id, conversation_id, n, h1, h2, first_start) of the title keys that a reply names, not only
+    inside longer named ones."""
+    said = mentions(replies, keys)
     # A mention lies inside a longer one iff a mention that starts earlier, or as early and ends
     # later, reaches its end. The window holds one reply's mentions.
     line = Window.partitionBy("reply_id").orderBy("start", F.col("stop").desc())
     reached = F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1))
     outside = said.withColumn("_inside", F.coalesce(reached >= F.col("stop"), F.lit(False)))
-    first = outside.groupBy("reply_id", "key").agg(
+    return outside.groupBy("reply_id", *_KEY).agg(
         F.min("start").alias("first_start"), F.bool_and("_inside").alias("_hidden")
     ).filter("NOT _hidden").drop("_hidden")
+
+
+def named_items(replies: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(named, ids): the titles each reply names, in order of first mention, with the nearest
+    distance of the items seen under each; and the item ids behind each title. A title counts only
+    if some mention of it is not inside a longer named one.
+
+    What a conversation was shown is written once; replies meet it by hashes of words, and texts are picked
+    up last, so rows that are sorted and shuffled hold numbers alone."""
+    items, titles = seen_items(uses)
+    words = _hashed(F.col("key"))
+    keyed = materialize(titles.withColumn("key", title_key(F.col("title"))).filter(
+        F.length("key") >= vocab.MIN_CONTAINED_CHARS).withColumns({
+            "n": F.size(words), "h1": F.xxhash64(words), "h2": F.hash(words)}))
     under = keyed.join(items.select(
         "conversation_id", "id", "distance_km", F.col("ord").alias("item_ord")), ["conversation_id", "id"])
     seen = F.struct("item_ord", "ord")
-    shown = under.groupBy("conversation_id", "key").agg(
-        F.min_by("title", seen).alias("title"), F.min("distance_km").alias("distance_km"), F.min(seen).alias("_seen"))
+    shown = materialize(under.groupBy(*_KEY, "key").agg(
+        F.min_by("title", seen).alias("title"), F.min("distance_km").alias("distance_km"), F.min(seen).alias("_seen")))
+    first = _outermost(replies, shown.select(*_KEY))
     # Two titles first named at one place keep the order they were seen in.
     order = Window.partitionBy("reply_id").orderBy("first_start", "_seen")
-    named = first.join(replies.select("reply_id", "conversation_id"), "reply_id").join(
-        shown, ["conversation_id", "key"]).select(
+    named = first.join(shown, list(_KEY)).select(
         "reply_id", "conversation_id", "key", "title",
         F.row_number().over(order).cast("long").alias("rank"), "distance_km")
-    ids = named.select("reply_id", "conversation_id", "key").join(
-        keyed.select("conversation_id", "key", "id").distinct(), ["conversation_id", "key"]
-    ).select("reply_id", "key", "id")
+    ids = first.join(materialize(keyed.select(*_KEY, "key", "id").distinct()), list(_KEY)).select("reply_id", "key", "id")
     return named, ids
 
 
