@@ -196,3 +196,27 @@ def test_components_in_sql(corpus):
     con.executemany("insert into documents values (?, ?)", rows)
     got = con.execute(shingle_components(5, 85)).fetchall()
     assert sorted(got) == sorted((k, n, c) for k, n, c, _ in links(rows, 5, 85))
+
+
+def test_regions_are_followed_while_shared(spark):
+    rng = random.Random(4)
+    rows, depths = [], len(lsh_forest.DEPTHS)
+    for cls in range(300):
+        steps = [rng.randrange(3) for _ in range(depths)]
+        rows.append((cls, rng.randrange(50), [hash(tuple(steps[: k + 1])) for k in range(depths)], steps[0] > 0))
+    members = collections.defaultdict(list)
+    for cls, popular, path, crowded in rows:
+        for p in path if crowded else path[:1]:
+            members[p].append((popular, cls))
+    want = collections.Counter((max(x)[1], cls) for x in members.values() if len(x) > 1 for _, cls in x if cls != max(x)[1])
+    written = []
+
+    class Spy(lsh_forest.Store):
+        def put(self, df, name):
+            out = super().put(df, name)
+            written.append((name, out.count()))
+            return out
+
+    star = lsh_forest._hubs(spark.createDataFrame(rows, "cls long, popular long, path array<long>, crowded boolean"), Spy(spark))
+    assert {(r.a, r.b): r.times for r in star.collect()} == want
+    assert sum(n for name, n in written if name.startswith("regions")) == sum(len(x) for x in members.values() if len(x) > 1)

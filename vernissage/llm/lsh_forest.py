@@ -182,6 +182,21 @@ def _neighbours(paths: DataFrame, near: int, store: Store) -> DataFrame:
     return found.filter("a IS NOT NULL").select("a", "b").union(met.filter("b IS NOT NULL"))
 
 
+def _hubs(paths: DataFrame, store: Store) -> DataFrame:
+    """(a, b, times): each set b with the hub a of every region it shares, from depth to depth while the first
+    region is crowded. Who is alone in a region is alone in all below it and is not followed further."""
+    paths = paths.select("cls", "popular", "path", "crowded")
+    for k in range(len(DEPTHS)):
+        every = paths.withColumn("p", F.get("path", F.lit(k)))
+        hubs = every.groupBy("p").agg(F.max(F.struct("popular", "cls")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
+        shared = store.put(every.join(hubs.select("p", F.col("hub.cls").alias("hub")), "p").drop("p"), f"regions/depth={k}")
+        paths = shared.filter("crowded").drop("hub")
+    every = store.get("regions", "cls long, hub long").filter("cls <> hub")
+    star = store.put(every.groupBy(F.col("hub").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("times")), "star")
+    store.drop("regions")
+    return star
+
+
 def _likely(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The pairs whose signatures agree in as many values as linked sets do, less DEVIATIONS standard
     deviations (some three linked pairs in a million have fewer)."""
@@ -249,11 +264,7 @@ def near_duplicates(
     paths = store.put(_paths(members), "paths")
     store.drop("met")
 
-    # Each set meets the hub of its regions, from depth to depth while the region before is crowded.
-    every = paths.select("cls", "popular", F.explode(F.when(F.col("crowded"), F.col("path")).otherwise(F.slice("path", 1, 1))).alias("p"))
-    hubs = every.groupBy("p").agg(F.max(F.struct("popular", "cls")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    star = store.put(every.join(hubs, "p").filter(F.col("cls") != F.col("hub.cls")).groupBy(
-        F.col("hub.cls").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("times")), "star")
+    star = _hubs(paths, store)
     beside = _neighbours(paths, near, store)
 
     best = store.put(_likely(star.groupBy("b").agg(F.max(F.struct("times", "a")).alias("best")).select("best.a", "b"), members, percent), "best")
