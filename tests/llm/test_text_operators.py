@@ -414,3 +414,10 @@ def test_language_without_ids_is_sampled(corpus, seed):
     model = langid.train(docs, per_language=20, seed=seed)
     right = langid.predict(docs, model, keep=("lang",)).filter("lang = lang_pred").count()
     assert right >= 396
+
+
+def test_few_scores_do_not_set_the_rejection():
+    rng = np.random.default_rng(5)
+    over = lambda n: np.mean([(rng.beta(20, 4, 2000) < langid.rejection_threshold(rng.beta(20, 4, n))).mean() for _ in range(200)])
+    assert over(30) < 0.005 and 0.0005 < over(5000) < 0.002
+    assert langid.rejection_threshold(np.empty(0)) == 0

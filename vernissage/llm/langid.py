@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +128,20 @@ def _features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, buckets array<int>, shares array<float>")
 
 
+def rejection_threshold(right: np.ndarray) -> float:
+    """The score below which REJECT_SHARE of right predictions lie. So small a share of few scores is none of
+    them: their least one would reject far more, so it is carried on by their log-odds' mean and deviation."""
+    if not len(right):
+        return 0.0
+    found = float(np.quantile(right, REJECT_SHARE))
+    if len(right) * REJECT_SHARE < 1:
+        sure = np.clip(right, 1e-9, 1 - 1e-9)
+        odds = np.log(sure / (1 - sure))
+        low = odds.mean() + NormalDist().inv_cdf(REJECT_SHARE) * odds.std()
+        found = min(found, float(1 / (1 + np.exp(-low))))
+    return found
+
+
 def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, seed: int = 1) -> Model | None:
     """Learn from (doc_id, text, lang); rows without a language or a text are passed over."""
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(
@@ -188,7 +203,7 @@ def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, seed: int =
     temperature = min(np.geomspace(0.1, 10, 41), key=loss) if len(own) else 1.0
     odds = calibrated(temperature) if len(own) else np.ones((1, 1))
     right = odds.max(axis=1)[odds.argmax(axis=1) == own] if len(own) else np.ones(1)
-    threshold = float(np.quantile(right, REJECT_SHARE)) if len(right) else 0.0
+    threshold = rejection_threshold(right)
     padded = np.zeros((k, BUCKETS + 1), dtype=np.float32)
     padded[:, :-1] = table.T
     return Model(languages, padded, bias.astype(float), float(temperature), threshold)
