@@ -5,11 +5,12 @@ cannot differ in every one of H+1 segments, so they agree on at least one; a seg
 one-deletion neighbourhood (the segment, and the segment without each one element) tolerates one
 difference and so counts twice. Sets of similar size share a band, and H and the number of segments
 follow from the band. A few segments of each band (`Bands.room`) are indexed with their neighbourhood,
-the others as they are: those few are as many units more than H+1, which a set may do without. A key is
-costly when more than `COSTLY` sets hold it - an empty segment, or shared boiler-plate. A set whose
-costly keys are worth no more than it may do without (one for a segment, two for one with a
-neighbourhood) leaves them out, any other keeps all; that loses no pair, since a key that two sets share
-is costly for both or for neither.
+the others as they are, and there are more segments than H+1 where the smallest sets of the band leave
+some empty (`Bands.spare`): so a set may do without as many units. A key is costly when more than `COSTLY`
+sets hold it - an empty segment, or shared boiler-plate. Each set leaves out its costly keys, those that
+most sets hold first, up to what it may do without (one for a segment, two for one with a neighbourhood).
+That loses no pair: all sets take keys in one order, so of the keys that a pair shares, which are worth
+more than either may do without, neither leaves out the last.
 
 Candidates are verified on the whole sets, which are made once. Only links that can change a component
 are verified: equal sets are one class from the start; in each list of classes with an equal segment, all
@@ -42,7 +43,7 @@ from vernissage.llm.store import Store
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
 COSTLY = 8
-BAND_RATIO = 1.8
+BAND_RATIO = 1.4
 BITMAP_WORDS = 16
 PASSES = 4
 
@@ -75,6 +76,10 @@ class Bands:
         while uppers[-1] < largest:
             uppers.append(max(uppers[-1] + 1, int(uppers[-1] * BAND_RATIO)))
         self.uppers = np.array(uppers, dtype=np.int64)
+        every = range(len(uppers))
+        self.differs = np.array([self.differ(b) for b in every], dtype=np.int64)
+        self.rooms = np.array([self.room(b) for b in every], dtype=np.int64)
+        self.spares = np.array([self.spare(b) for b in every], dtype=np.int64)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.uppers, sizes)
@@ -86,50 +91,59 @@ class Bands:
         return int(2 * int(self.uppers[band]) * (100 - p) // (100 + p))
 
     def room(self, band: int) -> int:
-        """How many segments of the band's differ(band) + 1 are indexed with their neighbourhood. A
-        fiftieth of the segments of five elements is empty or nearly so, and thus costly."""
+        """How many segments of the band are indexed with their neighbourhood."""
         return 1 + (self.differ(band) + 1) // 40
 
-    def tags(self, size: int) -> list[int]:
-        """A set's own band, and the next ones in which a linked larger set can lie."""
-        own = int(self.of(np.array([size]))[0])
-        last = int(self.of(np.array([size * 100 // self.percent]))[0])
-        return list(range(own, last + 1))
-
-
-def signatures(values: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, codes) of one set (sorted distinct uint64). A code is twice the tag, plus one for keys of
-    a segment with its neighbourhood."""
-    keys, kinds = [], []
-    for tag in bands.tags(len(values)):
-        h = bands.differ(tag)
-        if h == 0:
-            continue  # such sets are linked only if equal
-        m = h + 1
-        salt = T.U(0x632BE59BD9B4E019 * (tag + 1) & 0xFFFFFFFFFFFFFFFF)
-        element = T.mix(values ^ salt)
-        segment = (element % T.U(m)).astype(np.int64)
-        sums = np.zeros(m, dtype=T.U)
-        np.add.at(sums, segment, T.mix(element))
-        where = T.mix(np.arange(m, dtype=T.U) * T.U(0x2545F4914F6CDD1D) ^ salt)
-        exact = T.mix(sums ^ where)
-        room = bands.room(tag)
-        keys.append(exact)
-        kinds.append((2 * tag + (np.arange(m) < room)).astype(np.int16))
-        own = segment < room
-        if own.any():
-            keys.append(T.mix((sums[segment[own]] - T.mix(element[own])) ^ where[segment[own]]))
-            kinds.append(np.full(int(own.sum()), 2 * tag + 1, dtype=np.int16))
-    if not keys:
-        return np.empty(0, T.U), np.empty(0, np.int16)
-    return np.concatenate(keys), np.concatenate(kinds)
+    def spare(self, band: int) -> int:
+        """How many segments the band has beyond differ(band) + 1: as many as the smallest sets looked up in
+        it are expected to leave empty, and one and a half standard deviations more; at most half as many again."""
+        least = max(1, int(self.uppers[band - 1]) * self.percent // 100) if band else 1
+        spare = 0
+        for _ in range(20):
+            segments = self.differ(band) + 1 + spare
+            empty = segments * math.exp(-least / segments)
+            spare = min((self.differ(band) + 1) // 2, max(0, math.ceil(empty + 1.5 * math.sqrt(empty)) - self.room(band)))
+        return spare
+
+
+def signatures(values: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, key, code) of all sets, which follow one another in `values` (distinct uint64 each). A set is
+    looked up in its own band and the next ones in which a linked larger set can lie. A code is twice
+    the tag, plus one for keys of a segment with its neighbourhood."""
+    n = np.diff(first)
+    own, last = bands.of(n), bands.of(n * 100 // bands.percent)
+    found = [(np.empty(0, np.int64), np.empty(0, T.U), np.empty(0, np.int16))]
+    for step in range(int((last - own).max(initial=-1)) + 1):
+        # Where nothing can differ, sets are linked only if equal.
+        tried = (n > 0) & (own + step <= last) & (bands.differs[np.minimum(own + step, last)] > 0)
+        rows = np.flatnonzero(tried)
+        if not len(rows):
+            continue
+        tag = own[rows] + step
+        m, room = bands.differs[tag] + 1 + bands.spares[tag], bands.rooms[tag]
+        salt = T.U(0x632BE59BD9B4E019) * (tag + 1).astype(T.U)
+        begin = np.cumsum(m) - m
+        of = np.repeat(np.arange(len(rows)), n[rows])
+        element = T.mix(values[np.repeat(tried, n)] ^ salt[of])
+        segment = (element % m.astype(T.U)[of]).astype(np.int64)
+        place, element = begin[of] + segment, T.mix(element)
+        sums = np.zeros(int(m.sum()), dtype=T.U)
+        np.add.at(sums, place, element)
+        part = np.repeat(np.arange(len(rows)), m)
+        number = np.arange(len(sums)) - begin[part]
+        where = T.mix(number.astype(T.U) * T.U(0x2545F4914F6CDD1D) ^ salt[part])
+        found.append((rows[part], T.mix(sums ^ where), (2 * tag[part] + (number < room[part])).astype(np.int16)))
+        near = segment < room[of]
+        place, of = place[near], of[near]
+        found.append((rows[of], T.mix((sums[place] - element[near]) ^ where[place]), (2 * tag[of] + 1).astype(np.int16)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _set_table(keyed: DataFrame, n_words: int) -> DataFrame:
     """(doc_id, row, n_shingles, h1, h2): two sets are one class when both hash words agree."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch.column(2)):
+            for part in T.slices(batch.column(2), 1 << 20):
                 values, first = shingle_sets(part, n_words)
                 mixed = np.zeros(len(values) + 1, dtype=T.U)
                 np.cumsum(T.mix(values), dtype=T.U, out=mixed[1:])
@@ -179,19 +193,14 @@ def _signature_rows(whole: DataFrame, percent: int, turn: int, turns: int) -> Da
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             values, first = lists.values.to_numpy(zero_copy_only=False).view(T.U), lists.offsets.to_numpy()
-            found, waiting = [], 0
-            for i in range(len(ids)):
-                keys, codes = signatures(values[first[i] : first[i + 1]], bands)
+            at = 0
+            while at < len(ids):  # sets of about 2**17 elements in all, or one larger set
+                to = max(at + 1, int(np.searchsorted(first, first[at] + (1 << 17), side="right")) - 1)
+                cls, keys, codes = signatures(values[first[at] : first[to]], first[at : to + 1] - first[at], bands)
                 own = keys % T.U(turns) == T.U(turn)
-                found.append((ids[i], keys[own], codes[own]))
-                waiting += len(found[-1][1])
-                if waiting > 1 << 16 or i == len(ids) - 1:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.repeat(np.array([x[0] for x in found]), [len(x[1]) for x in found]), pa.int64()),
-                        pa.array(T.longs(np.concatenate([x[1] for x in found]))),
-                        pa.array(np.concatenate([x[2] for x in found])),
-                    ], names=["cls", "key", "code"])
-                    found, waiting = [], 0
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids[at:to][cls[own]]), pa.array(T.longs(keys[own])), pa.array(codes[own])], names=["cls", "key", "code"])
+                at = to
 
     return whole.select("cls", "items").mapInArrow(run, "cls long, key long, code short")
 
@@ -233,10 +242,11 @@ def _lists(met: DataFrame, percent: int, costly: int) -> DataFrame:
     """(cls, key, pop): the keys that each class is looked up by, and how often they are shared in all.
     All of it is decided per class, after one shuffle."""
     bands = Bands(percent)
-    room = F.array(*(F.lit(bands.room(b)) for b in range(len(bands.uppers))))
+    room = F.array(*(F.lit(x) for x in (bands.rooms + bands.spares).tolist()))
     dealt = met.repartition("cls").withColumn("tag", F.expr("code div 2").cast("int"))
     heavy = F.col("freq") > costly
-    worth = F.sum(F.when(heavy, 1 + F.col("code") % 2)).over(Window.partitionBy("cls", "tag"))
+    before = Window.partitionBy("cls", "tag").orderBy(F.desc("freq"), "key")
+    worth = F.sum(F.when(heavy, 1 + F.col("code") % 2)).over(before)
     marked = dealt.withColumn("left_out", heavy & (worth <= F.get(room, F.col("tag"))))
     once = marked.groupBy("cls", "key").agg(F.max("freq").alias("freq"), F.max("left_out").alias("left_out")).filter("NOT left_out")
     return once.withColumn("pop", F.sum("freq").over(Window.partitionBy("cls"))).select("cls", "key", "pop")
