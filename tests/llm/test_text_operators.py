@@ -421,3 +421,24 @@ def test_few_scores_do_not_set_the_rejection():
     over = lambda n: np.mean([(rng.beta(20, 4, 2000) < langid.rejection_threshold(rng.beta(20, 4, n))).mean() for _ in range(200)])
     assert over(30) < 0.005 and 0.0005 < over(5000) < 0.002
     assert langid.rejection_threshold(np.empty(0)) == 0
+
+
+def test_slices_are_small_and_change_nothing():
+    import pyarrow as pa
+
+    rows = [" ".join(f"w{i}é{j % 97}" for j in range(500)) for i in range(900)] + [None, "", "x" * (3 << 20)]
+    column = pa.array(rows)
+    parts = list(T.slices(column))
+    assert [p.at for p in parts] == np.append(0, np.cumsum([len(p) for p in parts])[:-1]).tolist() and sum(len(p) for p in parts) == len(rows)
+    assert all(len(p) == 1 or len(p.data) <= 1 << 20 for p in parts)
+    whole = T.words(next(T.slices(column, 1 << 30)))
+    assert (np.concatenate([T.words(p).hash for p in parts]) == whole.hash).all()
+
+
+def test_mixing_starts_no_second_set_of_workers(spark, corpus):
+    """Small tables are local ones; tables of Python rows would go through workers of their own."""
+    from vernissage.llm.store import Store
+
+    placed, pieces = mixing.mix(corpus([(i, "w " * i, None, "ab"[i % 2]) for i in range(40)]), block_words=4, store=Store(spark))
+    for df in (placed, pieces):
+        assert "ExistingRDD" not in df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()

@@ -118,9 +118,10 @@ def mix(
     whole = [n // block_words for n in totals]
     dealt_out = [slots_of(t, n, most, block_words) for t, n in zip(given, totals, strict=True)]
     slots, last_words = [n for n, _ in dealt_out], [n for _, n in dealt_out]
-    schema = "source string, source_no int, source_size long, target double"
-    source_rows = spark.createDataFrame(
-        [(r.source, i, totals[i], given[i]) for i, r in enumerate(found)], schema)
+    # Small tables are made from Arrow: from Python rows Spark would start a second set of workers.
+    source_rows = spark.createDataFrame(pa.table({
+        "source": pa.array([r.source for r in found], pa.string()), "source_no": pa.array(range(len(found)), pa.int32()),
+        "source_size": pa.array(totals, pa.int64()), "target": pa.array(given, pa.float64())}))
 
     # Where each document begins among its source's words: sums inside chunks, then over chunks.
     # As many chunks as a chunk has rows, so neither window grows faster than the root of the input.
@@ -159,7 +160,9 @@ def mix(
     short = [(shards, i, n - reached.get(i, 0), reached.get(i, 0)) for i, n in enumerate(slots) if n > reached.get(i, 0)]
     by_shard = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     dealt = drawn.withColumn("first", F.coalesce(F.sum("n").over(by_shard), F.lit(0)))
-    dealt = dealt.unionByName(spark.createDataFrame(short, "shard long, source_no int, n long, first long"))
+    kinds = {"shard": pa.int64(), "source_no": pa.int32(), "n": pa.int64(), "first": pa.int64()}
+    dealt = dealt.unionByName(spark.createDataFrame(pa.table(
+        {c: pa.array([row[i] for row in short], kind) for i, (c, kind) in enumerate(kinds.items())})))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
