@@ -442,3 +442,29 @@ def test_mixing_starts_no_second_set_of_workers(spark, corpus):
     placed, pieces = mixing.mix(corpus([(i, "w " * i, None, "ab"[i % 2]) for i in range(40)]), block_words=4, store=Store(spark))
     for df in (placed, pieces):
         assert "ExistingRDD" not in df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_without_a_passage_are_left_out():
+    """A line of ten words is not enough; whatever has a passage, changed or shifted, stays."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(17)
+    a = rng.integers(0, 256, 300)
+    pairs, must = [], []
+    for case in range(400):
+        b = rng.integers(0, 256, 300)
+        n = 50 + case % 5
+        b[100 : 100 + n] = a[40 : 40 + n]
+        gone = rng.choice(n, case % 12, replace=False)
+        b[100 + gone] = 256 + rng.integers(0, 256, len(gone))
+        pairs.append(b)
+        must.append(bool(chaining.passages(a[40 : 40 + n] == b[100 : 100 + n], 50, 0.8)))
+    line = rng.integers(0, 256, 300)
+    line[5:15] = a[70:80]
+    codes = lambda v: np.asarray(v).astype(np.uint8).tobytes()
+    texts = pa.array([codes(b) for b in (*pairs, line)], pa.binary())
+    hubs = pa.array([codes(a)] * len(texts), pa.binary())
+    kept = np.all([chaining.equal_runs(texts, hubs, q) >= chaining.fewest_runs(q, 50, 0.8) for q in chaining.RUNS], axis=0)
+    assert sum(must) > 100 and kept[:-1][must].all() and not kept[-1]
+    assert chaining.fewest_runs(5, 50, 0.8) == 0
+    assert chaining.equal_runs(pa.array([b"", None], pa.binary()), pa.array([None, b"ab"], pa.binary()), 2).tolist() == [0, 0]
