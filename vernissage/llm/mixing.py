@@ -189,7 +189,8 @@ def mix(
         "source_no", "block", "row_start", "doc_id", F.expr(f"greatest(row_start - block * {block_words}, 0L)").alias("at"),
         F.expr(f"greatest(block * {block_words} - row_start, 0L)").alias("first_word"),
         F.expr(f"least((block + 1) * {block_words}, row_start + size) - greatest(block * {block_words}, row_start)").alias("n_words"))
-    pieces = filled.join(held, ["source_no", "block"]).filter("at < slot_words").withColumn(
+    # Spark takes the slots for as few rows as their shards, so it would gather all of them on the driver.
+    pieces = filled.hint("merge").join(held, ["source_no", "block"]).filter("at < slot_words").withColumn(
         "n_words", F.least("n_words", F.col("slot_words") - F.col("at"))).select(
         "shard", "slot", "source_no", "block", "row_start", "doc_id", "first_word", "n_words")
     return placed, pieces
