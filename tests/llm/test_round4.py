@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import corpus_pipeline
 from vernissage.llm import mixing
 
 
@@ -19,3 +22,9 @@ def test_slots_are_not_gathered_on_the_driver(corpus):
         taken[r.source] += r.taken
     sizes = [sum(i % 90 for i in range(60) if i % 2 == s) for s in (0, 1)]
     assert [taken["a"], taken["b"]] == [round(t) for t in mixing.targets(sizes, (3, 1), 1.5, 2)]
+
+
+def test_the_pipeline_ends_without_a_broadcast_of_slots(spark, corpus):
+    docs = corpus([(i, "w " * (i % 90), None, "ab"[i % 2]) for i in range(60)])
+    plan = _plan(corpus_pipeline.mixing(spark, docs, ""))
+    assert re.search(r"SortMergeJoin \[source_no#\d+, block#", plan) and not re.search(r"BroadcastHashJoin \[source_no#\d+, block#", plan)
