@@ -351,7 +351,7 @@ def resolve_places(t):
     from v_requests r join v_venues v on r.lat is not null and r.radius_km is not null
       and {lambert("v.lat", "v.lon", "r.lat", "r.lon")} <= r.radius_km * 1000""")
 def within_radius(t):
-    return _metres(nearby.within_radius(_centers(t), _points(t)))
+    return nearby.within_radius(_centers(t), _points(t), shown=_tenths).select("request_id", "venue_id", "metres")
 
 
 @query("nearest_first", f"""
@@ -376,9 +376,12 @@ def _points(t):
     return t["v_venues"].select(F.col("id").alias("venue_id"), "lat", "lon")
 
 
+def _tenths(metres):
+    return F.round(metres.cast("decimal(20,6)"), 1).cast("double")
+
+
 def _metres(df, *more):
-    return df.select("request_id", "venue_id",
-                     F.round(F.col("metres").cast("decimal(20,6)"), 1).cast("double").alias("metres"),
+    return df.select("request_id", "venue_id", _tenths(F.col("metres")).alias("metres"),
                      *(F.col(c).cast("long").alias(c) for c in more))
 
 

@@ -8,6 +8,8 @@ too, and meets the leaves inside those cells and the leaves those cells lie in."
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,7 +95,8 @@ def _leaves_near(centers: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def indexed(points: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """(leaves, points with their `_leaf` and `_block`), both written once, for any number of joins."""
+    """(leaves, points), both written once, for any number of joins. Points of one spot are `_rows` of one
+    row, some `small` of them at most, with their `_leaf` and `_block`."""
     spots = points.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumnsRenamed({"lat": "_plat", "lon": "_plon"})
     leaves = materialize(quadtree(spots.select(F.col("_plat").alias("lat"), F.col("_plon").alias("lon")), small).withColumn(
         "blocks", F.ceil(F.col("n") / small)))
@@ -103,30 +106,44 @@ def indexed(points: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame
     of = spots.select("_fine").distinct().select("_fine", F.explode(_lineage(
         F.shiftright("_fine", 20).bitwiseAND(last), F.col("_fine").bitwiseAND(last), F.lit(DEEPEST))).alias("_leaf"))
     of = of.join(leaves.select(F.col("leaf").alias("_leaf"), F.col("blocks").alias("_blocks")), "_leaf")
-    # The block is a function of the row, so a task that runs again deals it the same way.
-    block = F.pmod(F.xxhash64("_plat", "_plon", *[c for c in points.columns if c not in ("lat", "lon")]), "_blocks")
-    return leaves, materialize(spots.join(of, "_fine").withColumn("_block", block).drop("_fine", "_blocks"))
+    rest = [c for c in points.columns if c not in ("lat", "lon")]
+    # Equal rows are dealt to several blocks too, so the block is written down before rows are gathered by it.
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id(), *rest), "_blocks")
+    dealt = materialize(spots.join(of, "_fine").withColumn("_block", block).drop("_fine", "_blocks"))
+    return leaves, materialize(dealt.groupBy("_leaf", "_block", "_plat", "_plon").agg(F.collect_list(F.struct(*rest or [F.lit(True)])).alias("_rows")))
 
 
 def within_radius(
     centers: DataFrame, points: DataFrame, *, small: int = SMALL, index: tuple[DataFrame, DataFrame] | None = None,
+    shown: Callable[[Column], Column] = lambda metres: metres,
 ) -> DataFrame:
     """Every (centre, point) no further apart than the centre's `radius_m`, with `metres`; equal centres
     count once. `centers` holds lat, lon, radius_m and `points` holds lat, lon; other names must not
     clash. Centres and points without a place meet nothing; longitudes may go beyond 180. `index` is that
-    of the points (see `indexed`) where several joins share it."""
+    of the points (see `indexed`) where several joins share it; `shown` makes `metres` of the distance.
+
+    The pairs grow with the product of centres and points; what is computed follows their places. Centres of
+    one place and radius are one row, points of one spot another (some `small` at most), and the distance of
+    both, and whether it is inside, is found once; pairs are only written out from there."""
     leaves, spots = index or indexed(points, small)
-    near = _leaves_near(centers.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumnsRenamed({"lat": "_clat", "lon": "_clon"}), leaves)
+    circle = ["_clat", "_clon", "radius_m"]
+    own = [c for c in centers.columns if c not in ("lat", "lon", "radius_m")]
+    rest = [c for c in points.columns if c not in ("lat", "lon")]
+    asked = centers.filter("lat IS NOT NULL AND lon IS NOT NULL AND radius_m >= 0").withColumnsRenamed({"lat": "_clat", "lon": "_clon"}).distinct()
+    circles = asked.groupBy(*circle).agg(F.ceil(F.count("*") / small).alias("_parts"))
+    # Centres are distinct, so their hash deals them evenly and the same way in a task that runs again.
+    asked = asked.join(circles, circle).groupBy(*circle, F.pmod(F.xxhash64(*circle, *own), "_parts").alias("_part")).agg(
+        F.collect_list(F.struct(*own or [F.lit(True)])).alias("_centers"))
+    near = _leaves_near(circles.drop("_parts"), leaves).join(asked, circle)
     near = near.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    # The join multiplies these few small rows, so they are dealt evenly first.
-    near = near.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_leaf", "_block", "_clat", "_clon")
-    return (
-        near.drop("_n", "_blocks").join(spots, ["_leaf", "_block"])
-        .withColumn("metres", distance_m(
-            F.col("_plat"), F.col("_plon"), F.col("_clat"), F.col("_clon")))
-        .filter("metres <= radius_m")
-        .drop("_leaf", "_block", "_clat", "_clon", "_plat", "_plon")
-    )
+    # The join multiplies these few rows, so they are dealt evenly first.
+    near = near.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_leaf", "_block", "_part", *circle)
+    met = near.join(spots, ["_leaf", "_block"]).withColumn("metres", distance_m(
+        F.col("_plat"), F.col("_plon"), F.col("_clat"), F.col("_clon"))).filter("metres <= radius_m")
+    met = met.select("radius_m", shown(F.col("metres")).alias("metres"), "_rows", F.explode("_centers").alias("_center"))
+    met = met.select("radius_m", "metres", "_center", F.explode("_rows").alias("_point"))
+    return met.select(*("radius_m" if c == "radius_m" else F.col("_center")[c].alias(c) for c in centers.columns if c not in ("lat", "lon")),
+                      *(F.col("_point")[c].alias(c) for c in rest), "metres")
 
 
 def _reach(places: DataFrame, points: DataFrame, k: int) -> DataFrame:
